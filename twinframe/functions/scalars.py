@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable
 
 from pyspark.sql import Column, functions as F
 
@@ -51,11 +50,6 @@ def hash_uniform(key: Column) -> Column:
     return (hash_number(key).cast("double") + F.lit(0.5)) / F.lit(HASH_RANGE)
 
 
-def doubles(values: Sequence[float]) -> Column:
-    """A constant array<double>; one literal, folded by the optimizer."""
-    return F.from_json(F.lit(json.dumps([float(v) for v in values])), "array<double>")
-
-
 def count_not_above(ordered: Column, value: Column, max_size: int) -> Column:
     """How many entries of an ascending array are <= value, by binary search."""
     steps, step = [], 1

@@ -13,10 +13,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from twinframe.functions.scalars import count_not_above
-from twinframe.session import default_buckets
+from twinframe.session import default_buckets, materialize
 
 SAMPLE_PER_BUCKET = 16
 
@@ -26,6 +26,26 @@ def with_range(
 ) -> DataFrame:
     """Add ``_range``, a number that rises with ``order`` within ``key``."""
     buckets = buckets or default_buckets(rows.sparkSession)
+    if isinstance(rows.schema[order].dataType, T.NumericType):
+        evenly = [i / buckets for i in range(1, buckets)]
+        splitters = rows.groupBy(*key).agg(
+            F.array_sort(F.percentile_approx(order, evenly)).alias("_splitters")
+        )
+    else:
+        splitters = _sampled_splitters(rows, key, order, buckets)
+    splitters = materialize(splitters)
+    found = count_not_above(F.col("_splitters"), F.col(order), buckets)
+    return (
+        rows.join(F.broadcast(splitters), list(key), "left")
+        .withColumn("_range", F.coalesce(found, F.lit(0)))
+        .drop("_splitters")
+    )
+
+
+def _sampled_splitters(
+    rows: DataFrame, key: Sequence[str], order: str, buckets: int
+) -> DataFrame:
+    """Splitters for text and composite orders, from a hash sample of fixed expected size."""
     wanted = buckets * SAMPLE_PER_BUCKET
     sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
     stride = F.greatest(F.lit(1), F.expr(f"_rows div {wanted}"))
@@ -36,22 +56,12 @@ def with_range(
     )
     sample = F.array_sort(F.collect_list(order))
     step = F.greatest(F.lit(1.0), F.size("_sample") / F.lit(float(buckets)))
-    splitters = (
-        picked.groupBy(*key)
-        .agg(sample.alias("_sample"))
-        .select(
-            *key,
-            F.transform(
-                F.sequence(F.lit(0), F.least(F.size("_sample"), F.lit(buckets)) - 1),
-                lambda i: F.get("_sample", F.floor(i * step).cast("int")),
-            ).alias("_splitters"),
-        )
+    last = F.least(F.size("_sample"), F.lit(buckets)) - 1
+    every = F.transform(
+        F.sequence(F.lit(0), last), lambda i: F.get("_sample", F.floor(i * step).cast("int"))
     )
-    found = count_not_above(F.col("_splitters"), F.col(order), buckets)
-    return (
-        rows.join(F.broadcast(splitters), list(key), "left")
-        .withColumn("_range", F.coalesce(found, F.lit(0)))
-        .drop("_splitters")
+    return picked.groupBy(*key).agg(sample.alias("_sample")).select(
+        *key, every.alias("_splitters")
     )
 
 
@@ -66,7 +76,8 @@ def running_totals(
 
     Rows must be distinct on (key, order): aggregate equal values first.
     """
-    ranged = with_range(rows, key, order, buckets).repartition(*key, "_range")
+    # the counted rows are read three times below; computing them is the costly part
+    ranged = with_range(materialize(rows), key, order, buckets)
     inside = Window.partitionBy(*key, "_range").orderBy(order)
     everything = Window.partitionBy(*key)
     before = everything.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -144,20 +155,22 @@ def quantile_grid(rows: DataFrame, points: int = 2000) -> DataFrame:
         low = f"greatest(0L, {from_rank(f'greatest(_first - {shift}, 0L)')})"
         high = f"least(_cells, {from_rank(f'_next - {shift}')} - 1)"
         return F.expr(
-            f"CASE WHEN _span = 0 THEN array(0L) WHEN {low} <= {high} THEN sequence({low}, {high}) END"
+            f"CASE WHEN _span = 0 THEN array(0L) WHEN _next > {shift} AND {low} <= {high} THEN sequence({low}, {high}) END"
         )
 
-    # a column with one distinct rank has no upper neighbour and needs none
-    lower = sized.select("column", "_span", "_cells", F.explode(covered(0)).alias("j"),
-                         F.col("value").alias("_lower"), F.lit(None).cast("double").alias("_upper"))
-    upper = sized.where("_span > 0 AND _next > 1").select(
-        "column", "_span", "_cells", F.explode(covered(1)).alias("j"),
-        F.lit(None).cast("double").alias("_lower"), F.col("value").alias("_upper"))
+    # a value may be the lower neighbour of some references and the upper of others
+    roles = F.concat(
+        F.transform(F.coalesce(covered(0), F.array().cast("array<bigint>")),
+                    lambda j: F.struct(j.alias("j"), F.lit(True).alias("lower"))),
+        F.transform(F.coalesce(covered(1), F.array().cast("array<bigint>")),
+                    lambda j: F.struct(j.alias("j"), F.lit(False).alias("lower"))),
+    )
+    spread = sized.select("column", "value", "_span", "_cells", F.inline(roles))
     part = F.expr("((j * _span) % greatest(_cells, 1L)) / cast(greatest(_cells, 1L) as double)")
     references = (
-        lower.unionByName(upper)
-        .groupBy("column", "j")
-        .agg(F.max("_lower").alias("_l"), F.max("_upper").alias("_u"),
+        spread.groupBy("column", "j")
+        .agg(F.max(F.when(F.col("lower"), F.col("value"))).alias("_l"),
+             F.max(F.when(~F.col("lower"), F.col("value"))).alias("_u"),
              F.max("_span").alias("_span"), F.max("_cells").alias("_cells"))
         .select(
             "column",

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from twinframe.session import materialize
+
 LINE_ID = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 LINE_NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 LINE_CATEGORICAL = ["l_returnflag", "l_linestatus"]
@@ -63,7 +65,7 @@ def household(spark: SparkSession, folder: str) -> DataFrame:
     region = table(spark, folder, "nation").join(
         table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     )
-    rows = (
+    return (
         table(spark, folder, "customer")
         .join(totals, F.col("c_custkey") == F.col("o_custkey"), "left")
         .join(region, F.col("c_nationkey") == F.col("n_nationkey"))
@@ -76,15 +78,15 @@ def household(spark: SparkSession, folder: str) -> DataFrame:
             "r_name",
         )
     )
-    return rows
 
 
 def household_quintiles(spark: SparkSession, folder: str) -> DataFrame:
     from twinframe.operators.cumulative import equal_tiles
 
-    return equal_tiles(
-        household(spark, folder), ["spend", "c_custkey"], 5, "spend_quintile"
-    ).withColumn("spend_quintile", F.col("spend_quintile").cast("string"))
+    # every operator reads this derived table several times
+    rows = materialize(household(spark, folder))
+    tiles = equal_tiles(rows, ["spend", "c_custkey"], 5, "spend_quintile")
+    return materialize(tiles.withColumn("spend_quintile", F.col("spend_quintile").cast("string")))
 
 
 def pair_household(spark: SparkSession, folder: str) -> DataFrame:
