@@ -48,9 +48,6 @@ ORDER = ["o_orderkey"]
 #: Tree counts of the registered queries; the library's defaults are 200 and 500.
 QUERY_TREES = 5
 
-#: Reverse steps of the registered generator queries; the library's default is 1000.
-QUERY_STEPS = 100
-
 
 def _rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
     return df.withColumns({c: F.round(F.col(f"`{c}`"), d) for c, d in digits.items()})
@@ -89,7 +86,7 @@ def _noised(spark: SparkSession, folder: str):
 
 def _generator(spark: SparkSession, folder: str, components: int = 1):
     rows = views.household_quintiles(spark, folder)
-    fitted = generate.train(rows, CUSTOMER, HH_NUMERIC, HH_CATEGORICAL, components, QUERY_STEPS)
+    fitted = generate.train(rows, CUSTOMER, HH_NUMERIC, HH_CATEGORICAL, components)
     return rows, fitted
 
 
@@ -382,7 +379,7 @@ def fit_generator(spark, folder):
 
 def reverse_sample(spark, folder):
     rows, fitted = _generator(spark, folder)
-    return diffusion.reverse_sample(spark, fitted.model, rows.count(), QUERY_STEPS)
+    return diffusion.reverse_sample(spark, fitted.model, rows.count())
 
 
 def synthesize(spark, folder):

@@ -16,10 +16,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from twinframe.functions.scalars import count_not_above
-from twinframe.session import default_buckets, materialize
+from twinframe.session import default_buckets, local_copy, materialize
 
 SAMPLE_PER_BUCKET = 16
 
+#: A range of at most this many rows is sorted by one task.
+SORTED_ROWS = 1_000_000
+
+#: Hex digits of an md5.
+HASH_LENGTH = 32
+
 
 def with_range(
     rows: DataFrame, key: Sequence[str], order: str, buckets: int | None = None
@@ -33,7 +39,7 @@ def with_range(
         )
     else:
         splitters = _sampled_splitters(rows, key, order, buckets)
-    splitters = materialize(splitters)
+    splitters = local_copy(splitters)
     found = count_not_above(F.col("_splitters"), F.col(order), buckets)
     return (
         rows.join(F.broadcast(splitters), list(key), "left")
@@ -187,35 +193,58 @@ def quantile_grid(rows: DataFrame, points: int = 2000) -> DataFrame:
 
 
 def rank_cuts(
-    rows: DataFrame, key: Sequence[str], order: str, wanted: Column, small: bool = True
+    rows: DataFrame,
+    key: Sequence[str],
+    order: str,
+    wanted: Column,
+    digits: int | None = None,
+    small: bool = True,
 ) -> DataFrame:
     """The ``order`` value standing at each wanted rank (1-based) of every key.
 
-    ``rows`` carry ``_range`` (rising with ``order``); ``wanted`` is an
-    array<bigint> over the group size ``_rows``.  Rows are only counted per range;
-    just the ranges holding a wanted rank are ordered.  ``small`` says that the
-    number of keys has a bound.  Returns ``(key..., cut, at)``, ``cut`` being the
-    position in ``wanted``.
+    ``wanted`` is an array<bigint> over the group size ``_rows``.  Rows are counted
+    per range of the order, and only the ranges that hold a wanted rank are looked
+    into again, until these are small enough to sort.  ``digits`` says that the
+    order is hash text whose leading digits are even ranges; otherwise ranges are
+    sampled.  ``small`` says that the number of keys has a bound.  Returns
+    ``(key..., cut, at)``, ``cut`` being the position in ``wanted``.
     """
-    groups = Window.partitionBy(*key)
-    histogram = rows.groupBy(*key, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    reached = histogram.select(
-        *key,
-        "_range",
-        "_n",
-        F.sum("_n").over(groups.orderBy("_range")).alias("_through"),
-        F.sum("_n").over(groups).alias("_rows"),
-    )
-    targets = reached.select(
-        *key, "_range", "_n", "_through", F.posexplode(wanted).alias("cut", "_rank")
-    ).where((F.col("_rank") <= F.col("_through")) & (F.col("_rank") > F.col("_through") - F.col("_n")))
-    targets = targets.select(
-        *key, "_range", "cut", (F.col("_rank") - F.col("_through") + F.col("_n")).alias("_k")
-    )
-    near = rows.select(*key, "_range", order).join(
-        F.broadcast(targets) if small else targets, [*key, "_range"]
-    )
-    place = Window.partitionBy(*key, "_range", "cut").orderBy(order)
+    def ranged(part: DataFrame, keys: Sequence[str], level: int) -> DataFrame:
+        if digits is None:
+            return with_range(part, keys, order)
+        return part.withColumn("_range", F.substring(order, 1, digits * level))
+
+    def held(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """Ranges that hold a wanted rank, with the rank inside them."""
+        reach = Window.partitionBy(*keys).orderBy("_range")
+        at = counted.withColumn("_before", F.sum("_n").over(reach) - F.col("_n"))
+        if "_k" not in counted.columns:
+            whole = F.sum("_n").over(Window.partitionBy(*keys))
+            at = at.withColumn("_rows", whole).select("*", F.posexplode(wanted).alias("cut", "_k"))
+        inside = F.col("_k") - F.col("_before")
+        found = at.where(inside.between(F.lit(1), F.col("_n"))).select(
+            *key, "cut", "_range", "_n", inside.alias("_k")
+        )
+        return local_copy(found) if small else materialize(found)
+
+    part = ranged(rows.select(*key, order), key, 1)
+    targets = held(part.groupBy(*key, "_range").agg(F.count(F.lit(1)).alias("_n")), key)
+    level = 1
+    while True:
+        side = F.broadcast(targets) if small else targets
+        near = part.join(side, [c for c in (*key, "cut", "_range") if c in part.columns])
+        largest = targets.agg(F.max("_n")).first()[0]
+        if (largest or 0) <= SORTED_ROWS or (digits and digits * level >= HASH_LENGTH):
+            break
+        level += 1
+        cuts = [*key, "cut"]
+        part = ranged(materialize(near.select(*cuts, order, F.col("_k").alias("_goal"))), cuts, level)
+        counted = part.groupBy(*cuts, "_range").agg(
+            F.count(F.lit(1)).alias("_n"), F.max("_goal").alias("_k")
+        )
+        part = part.drop("_goal")
+        targets = held(counted, cuts)
+    place = Window.partitionBy(*key, "cut").orderBy(order)
     return (
         near.withColumn("_place", F.row_number().over(place))
         .where(F.col("_place") == F.col("_k"))
@@ -230,10 +259,9 @@ def equal_tiles(rows: DataFrame, order: Sequence[str], tiles: int, name: str) ->
     last ``order`` column must be unique.
     """
     keyed = rows.select(F.lit(0).alias("_all"), F.struct(*order).alias("_at"))
-    ranged = with_range(keyed, ["_all"], "_at")
     size, rest = f"(_rows div {tiles})", f"(_rows % {tiles})"
     ends = F.array(*[F.expr(f"{i} * {size} + least({i}L, {rest})") for i in range(1, tiles)])
-    cuts = rank_cuts(ranged, ["_all"], "_at", ends)
+    cuts = rank_cuts(keyed, ["_all"], "_at", ends)
     bounds = cuts.agg(F.array_sort(F.collect_list("at")).alias("_ends"))
     above = F.size(F.filter("_ends", lambda end: end < F.struct(*order)))
     return (

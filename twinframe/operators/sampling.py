@@ -18,22 +18,21 @@ from twinframe.session import fits_broadcast, materialize
 SEEDS = (42, 123, 456)
 RATIOS = (0.70, 0.15, 0.15)
 
-#: Leading hex digits that form a range: 65,536 even ranges of the hash.
-RANGE_DIGITS = 4
+#: Leading hex digits that form a range: 4,096 even ranges of the hash per look.
+RANGE_DIGITS = 3
 
 
-def _hashed(rows: DataFrame, key: Sequence[str], ids: Sequence[str], seed) -> DataFrame:
-    at = hash_key(seed, ids)
-    return rows.select(*key, at.alias("_at")).withColumn(
-        "_range", F.substring("_at", 1, RANGE_DIGITS)
-    )
+def _cuts(
+    rows: DataFrame, key: Sequence[str], ids: Sequence[str], seed, wanted: Column, small: bool = True
+) -> DataFrame:
+    hashed = rows.select(*key, hash_key(seed, ids).alias("_at"))
+    return rank_cuts(hashed, key, "_at", wanted, RANGE_DIGITS, small)
 
 
 def sample_exact(rows: DataFrame, ids: Sequence[str], n: int, seed: int = 42) -> DataFrame:
     """``n`` rows without replacement, or all rows if there are fewer."""
-    hashed = _hashed(rows.withColumn("_all", F.lit(0)), ["_all"], ids, seed)
     wanted = F.array(F.least(F.lit(n).cast("long"), F.col("_rows")))
-    cut = rank_cuts(hashed, ["_all"], "_at", wanted).select("at")
+    cut = _cuts(rows.withColumn("_all", F.lit(0)), ["_all"], ids, seed, wanted).select("at")
     return (
         rows.withColumn("_cut", cut.scalar())
         .where(hash_key(seed, ids) <= F.col("_cut"))
@@ -43,9 +42,8 @@ def sample_exact(rows: DataFrame, ids: Sequence[str], n: int, seed: int = 42) ->
 
 def sample_sides(pair: DataFrame, ids: Sequence[str], n: int, seed: int = 42) -> DataFrame:
     """:func:`sample_exact` of each side of a labelled pair."""
-    hashed = _hashed(pair, ["side"], ids, seed)
     wanted = F.array(F.least(F.lit(n).cast("long"), F.col("_rows")))
-    cuts = rank_cuts(hashed, ["side"], "_at", wanted).select("side", F.col("at").alias("_cut"))
+    cuts = _cuts(pair, ["side"], ids, seed, wanted).select("side", F.col("at").alias("_cut"))
     # a pair has two sides, so the cut table has at most two rows
     return (
         pair.join(F.broadcast(cuts), "side")
@@ -88,8 +86,7 @@ def split_by_seed(
 ) -> DataFrame:
     """One copy of the rows per seed with a ``split`` column: floor, floor, the rest."""
     seeded = rows.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
-    hashed = _hashed(seeded, ["seed"], ids, F.col("seed"))
-    cuts = _cut_pair(rank_cuts(hashed, ["seed"], "_at", _split_ends(ratios)), ["seed"])
+    cuts = _cut_pair(_cuts(seeded, ["seed"], ids, F.col("seed"), _split_ends(ratios)), ["seed"])
     # one row per seed
     return (
         seeded.join(F.broadcast(cuts), "seed", "left")
@@ -108,11 +105,10 @@ def split_stratified(
     rows: DataFrame, ids: Sequence[str], label: str, seed: int = 42, test_share: float = 0.3
 ) -> DataFrame:
     """``split`` = test for ceil(share * rows) of every label, train for the rest."""
-    hashed = _hashed(rows, [label], ids, seed)
     wanted = F.array(F.ceil(F.col("_rows") * F.lit(float(test_share))))
     labels = materialize(rows.select(label).distinct())
     small = fits_broadcast(labels)
-    cuts = rank_cuts(hashed, [label], "_at", wanted, small).select(
+    cuts = _cuts(rows, [label], ids, seed, wanted, small).select(
         F.col(label).alias("_label"), F.col("at").alias("_cut")
     )
     return (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from twinframe.session import materialize
+from twinframe.session import fits_broadcast, materialize
 
 LINE_ID = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 LINE_NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -126,8 +126,10 @@ def scored_multi(spark: SparkSession, folder: str) -> DataFrame:
 
 def scored_real(spark: SparkSession, folder: str) -> DataFrame:
     """Orders: y = price, predicted by the mean price of the priority class."""
+    from twinframe.operators.lookup import lookup
+
     orders = table(spark, folder, "orders")
     means = orders.groupBy("o_orderpriority").agg(F.avg("o_totalprice").alias("yhat"))
-    return orders.join(means, "o_orderpriority").select(
-        "o_orderkey", F.col("o_totalprice").alias("y"), "yhat"
-    )
+    means = materialize(means.withColumnRenamed("o_orderpriority", "_class"))
+    scored = lookup(orders, means, "o_orderpriority", "_class", ["yhat"], fits_broadcast(means))
+    return scored.select("o_orderkey", F.col("o_totalprice").alias("y"), "yhat")
