@@ -23,6 +23,9 @@ SAMPLE_PER_BUCKET = 16
 #: A range of at most this many rows is sorted by one task.
 SORTED_ROWS = 1_000_000
 
+#: Up to this many counted rows, one task per key is cheaper than ranges.
+PLAIN_ROWS = 100_000
+
 #: Hex digits of an md5.
 HASH_LENGTH = 32
 
@@ -39,6 +42,7 @@ def with_range(
         )
     else:
         splitters = _sampled_splitters(rows, key, order, buckets)
+    # one array of at most ``buckets`` entries per key
     splitters = local_copy(splitters)
     found = count_not_above(F.col("_splitters"), F.col(order), buckets)
     return (
@@ -82,8 +86,17 @@ def running_totals(
 
     Rows must be distinct on (key, order): aggregate equal values first.
     """
-    # the counted rows are read three times below; computing them is the costly part
-    ranged = with_range(materialize(rows), key, order, buckets)
+    # the counted rows are read several times below; computing them is the costly part
+    rows = materialize(rows)
+    if rows.count() <= PLAIN_ROWS:
+        group = Window.partitionBy(*key)
+        return rows.withColumns(
+            {
+                **{f"cum_{c}": F.sum(c).over(group.orderBy(order)) for c in sums},
+                **{f"total_{c}": F.sum(c).over(group) for c in sums},
+            }
+        )
+    ranged = with_range(rows, key, order, buckets)
     inside = Window.partitionBy(*key, "_range").orderBy(order)
     everything = Window.partitionBy(*key)
     before = everything.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -209,13 +222,21 @@ def rank_cuts(
     sampled.  ``small`` says that the number of keys has a bound.  Returns
     ``(key..., cut, at)``, ``cut`` being the position in ``wanted``.
     """
+    kind = rows.schema[order].dataType
+    leading = None
+    if isinstance(kind, T.StructType) and isinstance(kind[0].dataType, T.NumericType):
+        leading = kind[0].name
+
     def ranged(part: DataFrame, keys: Sequence[str], level: int) -> DataFrame:
+        if digits is None and level == 1 and leading is not None:
+            # the leading field alone also rises with the order, and is cheaper to split
+            return with_range(part.withColumn("_lead", F.col(f"{order}.{leading}")), keys, "_lead")
         if digits is None:
             return with_range(part, keys, order)
         return part.withColumn("_range", F.substring(order, 1, digits * level))
 
-    def held(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
-        """Ranges that hold a wanted rank, with the rank inside them."""
+    def held(counted: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int]:
+        """Ranges that hold a wanted rank, the rank inside them, and the largest range."""
         reach = Window.partitionBy(*keys).orderBy("_range")
         at = counted.withColumn("_before", F.sum("_n").over(reach) - F.col("_n"))
         if "_k" not in counted.columns:
@@ -225,25 +246,27 @@ def rank_cuts(
         found = at.where(inside.between(F.lit(1), F.col("_n"))).select(
             *key, "cut", "_range", "_n", inside.alias("_k")
         )
-        return local_copy(found) if small else materialize(found)
+        if small:
+            kept = found.collect()
+            copy = found.sparkSession.createDataFrame(kept, found.schema)
+            return F.broadcast(copy), max([r["_n"] for r in kept], default=0)
+        kept = materialize(found)
+        return kept, kept.agg(F.max("_n")).first()[0] or 0
 
     part = ranged(rows.select(*key, order), key, 1)
-    targets = held(part.groupBy(*key, "_range").agg(F.count(F.lit(1)).alias("_n")), key)
-    level = 1
-    while True:
-        side = F.broadcast(targets) if small else targets
-        near = part.join(side, [c for c in (*key, "cut", "_range") if c in part.columns])
-        largest = targets.agg(F.max("_n")).first()[0]
-        if (largest or 0) <= SORTED_ROWS or (digits and digits * level >= HASH_LENGTH):
-            break
+    counts = part.groupBy(*key, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    targets, largest = held(counts, key)
+    near = part.join(targets, [*key, "_range"])
+    level, cuts = 1, [*key, "cut"]
+    while largest > SORTED_ROWS and not (digits and digits * level >= HASH_LENGTH):
         level += 1
-        cuts = [*key, "cut"]
-        part = ranged(materialize(near.select(*cuts, order, F.col("_k").alias("_goal"))), cuts, level)
-        counted = part.groupBy(*cuts, "_range").agg(
+        goal = F.col("_k").alias("_goal")
+        part = ranged(materialize(near.select(*cuts, order, goal)), cuts, level)
+        counts = part.groupBy(*cuts, "_range").agg(
             F.count(F.lit(1)).alias("_n"), F.max("_goal").alias("_k")
         )
-        part = part.drop("_goal")
-        targets = held(counted, cuts)
+        targets, largest = held(counts, cuts)
+        near = part.drop("_goal").join(targets, [*cuts, "_range"])
     place = Window.partitionBy(*key, "cut").orderBy(order)
     return (
         near.withColumn("_place", F.row_number().over(place))

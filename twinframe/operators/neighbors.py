@@ -23,7 +23,7 @@ from twinframe.operators.sampling import sample_sides
 from twinframe.session import materialize
 
 #: Distinct vectors per block, of pool and of queries.
-BLOCK = 2048
+BLOCK = 4096
 MAX_PIVOTS = 1024
 
 #: Rows of one distance tile.
@@ -31,7 +31,7 @@ TILE = 256
 SALTS = 32
 
 NEIGHBOUR = "struct<dist:double,neighbor:bigint,side:string>"
-FOUND = "query bigint, near array<struct<dist:double,neighbor:bigint,side:string>>"
+FOUND = "query bigint, dist double, neighbor bigint, synth boolean"
 
 
 def _vector_key(z: Column) -> Column:
@@ -99,16 +99,14 @@ def _blocks_of(vec: Column, count: Column) -> Column:
 
 
 def _search(queries: DataFrame, pool: DataFrame, k: int, skip_self: bool) -> DataFrame:
-    """Best ``k`` members per (query, block).  Both sides come by (cell, block, chunk)."""
+    """Best ``k`` members per (query, block), as rows.  Both sides come by (cell, block, chunk)."""
 
     def best(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query": [], "near": []}).astype({"query": "int64"})
-        members = right["members"].tolist()
-        lengths = np.array([len(m) for m in members])
-        ids = np.array([m["id"] for group in members for m in group], "int64")
-        sides = np.array([m["side"] for group in members for m in group], object)
-        ends = np.cumsum(lengths)
+            return pd.DataFrame({"query": [], "dist": [], "neighbor": [], "synth": []})
+        lengths = right["ids"].map(len).to_numpy()
+        starts = np.cumsum(lengths) - lengths
+        ids, synth = (np.concatenate(right[c].to_numpy()) for c in ("ids", "synths"))
         points, targets = np.stack(left["z"].to_numpy()), np.stack(right["z"].to_numpy())
         queries, names = left["vec"].to_numpy(), right["vec"].to_numpy()
         found = []
@@ -118,39 +116,45 @@ def _search(queries: DataFrame, pool: DataFrame, k: int, skip_self: bool) -> Dat
             if skip_self:
                 away[queries[tile, None] == names[None, :]] = np.inf
             keep = min(k, away.shape[1])
-            limit = np.partition(away, keep - 1, axis=1)[:, keep - 1]
-            for i, (row, bound) in enumerate(zip(away, limit)):
-                close = np.flatnonzero((row <= bound) & np.isfinite(row))
-                where = np.concatenate(
-                    [np.arange(ends[j] - lengths[j], ends[j]) for j in close]
-                ) if len(close) else np.array([], int)
-                dist = np.repeat(row[close], lengths[close])
-                first = np.lexsort((ids[where], dist))[:k]
-                found.append(
-                    [
-                        {"dist": float(dist[f]), "neighbor": int(ids[where[f]]),
-                         "side": sides[where[f]]}
-                        for f in first
-                    ]
+            limit = np.partition(away, keep - 1, axis=1)[:, keep - 1 : keep]
+            query, vector = np.nonzero((away <= limit) & np.isfinite(away))
+            # every close vector stands for its members
+            times = lengths[vector]
+            query, dist = np.repeat(query, times), np.repeat(away[query, vector], times)
+            place = np.arange(len(query)) - np.repeat(np.cumsum(times) - times, times)
+            member = np.repeat(starts[vector], times) + place
+            order = np.lexsort((ids[member], dist, query))
+            query, dist, member = query[order], dist[order], member[order]
+            rank = np.arange(len(query)) - np.searchsorted(query, query, side="left")
+            kept = rank < k
+            found.append(
+                pd.DataFrame(
+                    {"query": queries[tile][query[kept]], "dist": dist[kept],
+                     "neighbor": ids[member[kept]], "synth": synth[member[kept]]}
                 )
-        return pd.DataFrame({"query": queries, "near": found})
+            )
+        return pd.concat(found)
 
     by = ["cell", "block", "chunk"]
     # both sides may stem from one table: rename to get distinct columns
     left = queries.select(*by, "vec", "z").toDF(*by, "vec", "z")
-    right = pool.select(*by, "vec", "z", "members").toDF(*by, "vec", "z", "members")
+    right = pool.select(
+        *by, "vec", "z", F.col("members.id").alias("ids"),
+        F.transform("members.side", lambda s: s == "synth").alias("synths"),
+    ).toDF(*by, "vec", "z", "ids", "synths")
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(best, FOUND)
 
 
 def _merge(found: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best over all blocks of a query."""
-    order = Window.partitionBy("query").orderBy("near.dist", "near.neighbor")
+    """The ``k`` best over all blocks of a query, as one array."""
+    order = Window.partitionBy("query").orderBy("dist", "neighbor")
+    side = F.when(F.col("synth"), "synth").otherwise("real")
     return (
-        found.select("query", F.explode("near").alias("near"))
-        .withColumn("_place", F.row_number().over(order))
+        found.withColumn("_place", F.row_number().over(order))
         .where(F.col("_place") <= k)
         .groupBy("query")
-        .agg(F.array_sort(F.collect_list("near")).alias("near"))
+        .agg(F.array_sort(F.collect_list(F.struct("dist", "neighbor", side.alias("side"))))
+             .alias("near"))
     )
 
 
@@ -163,7 +167,9 @@ def nearest_vectors(queries: DataFrame, pool: DataFrame, k: int, skip_self: bool
     """
     size = pool.count()
     if size == 0:
-        return queries.select(F.col("vec").alias("query"), F.array().cast(f"array<{NEIGHBOUR}>").alias("near"))
+        return queries.select(
+            F.col("vec").alias("query"), F.array().cast(f"array<{NEIGHBOUR}>").alias("near")
+        )
     pivots = _choose_pivots(pool, size)
     placed = _assign(pool.select("vec", "z", "members"), pivots)
     asked = _assign(queries.select("vec", "z"), pivots)
@@ -198,14 +204,13 @@ def nearest_vectors(queries: DataFrame, pool: DataFrame, k: int, skip_self: bool
     home = asked.withColumn("block", _blocks_of(F.col("chunk"), part_map[F.col("cell")]))
     near = _search(home, _to_chunks(placed, home), k, skip_self)
     if sum(parts.values()) == 1:
-        return near
+        return _merge(near, k)
     near = materialize(near)
 
     # second round: every block that may hold something as close as the k-th so far
-    far = F.when(F.size("near") >= k, F.element_at("near", -1)["dist"]).otherwise(
-        F.lit(float("inf"))
-    )
-    bounded = home.join(near.select(F.col("query").alias("vec"), far.alias("bound")), "vec")
+    far = F.when(F.count(F.lit(1)) >= k, F.max("dist")).otherwise(F.lit(float("inf")))
+    reached = near.groupBy(F.col("query").alias("vec")).agg(far.alias("bound"))
+    bounded = home.join(reached, "vec", "left").fillna(float("inf"), ["bound"])
     visits = _visits(bounded, pivots, here, cells, parts)
     more = _search(visits, _to_chunks(placed, visits), k, skip_self)
     return _merge(near.unionByName(more), k)
