@@ -166,7 +166,7 @@ def nearest_vectors(queries: DataFrame, pool: DataFrame, k: int, skip_self: bool
     vector of the same name.
     """
     size = pool.count()
-    if size == 0:
+    if size == 0 or queries.isEmpty():
         return queries.select(
             F.col("vec").alias("query"), F.array().cast(f"array<{NEIGHBOUR}>").alias("near")
         )
