@@ -22,8 +22,10 @@ from twinframe.operators.features import encode_mixed
 from twinframe.operators.sampling import sample_sides
 from twinframe.session import materialize
 
-#: Distinct vectors per block, of pool and of queries.
+#: Distinct vectors per block, of pool and of queries: at most BLOCK, and fewer (down
+#: to MIN_BLOCK) when a table beyond one block would not keep all cores busy.
 BLOCK = 4096
+MIN_BLOCK = 512
 MAX_PIVOTS = 1024
 
 #: Rows of one distance tile.
@@ -62,19 +64,28 @@ def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
     )
 
 
-def _choose_pivots(pool: DataFrame, size: int) -> np.ndarray:
+def _block_size(pool: DataFrame, size: int) -> int:
+    if size <= BLOCK:
+        return BLOCK
+    per_core = size // (2 * pool.sparkSession.sparkContext.defaultParallelism)
+    return max(min(MIN_BLOCK, BLOCK), min(BLOCK, per_core))
+
+
+def _choose_pivots(pool: DataFrame, wanted: int) -> np.ndarray:
     """Up to ``MAX_PIVOTS`` pool vectors in hash order: a driver array of fixed bound."""
-    wanted = max(1, min(MAX_PIVOTS, -(-size // BLOCK)))
+    wanted = max(1, min(MAX_PIVOTS, wanted))
     rows = pool.orderBy(F.xxhash64("vec"), "vec").limit(wanted).select("z").collect()
     return np.array([r["z"] for r in rows], float)
 
 
 def _pivot_distances(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     total = np.zeros((len(points), len(pivots)))
+    gap = np.empty_like(total)
     for d in range(points.shape[1]):
-        gap = points[:, d, None] - pivots[None, :, d]
-        total += gap * gap
-    return np.sqrt(total)
+        np.subtract(points[:, d, None], pivots[None, :, d], out=gap)
+        np.multiply(gap, gap, out=gap)
+        total += gap
+    return np.sqrt(total, out=total)
 
 
 def _assign(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -99,7 +110,10 @@ def _blocks_of(vec: Column, count: Column) -> Column:
 
 
 def _search(queries: DataFrame, pool: DataFrame, k: int, skip_self: bool) -> DataFrame:
-    """Best ``k`` members per (query, block), as rows.  Both sides come by (cell, block, chunk)."""
+    """Best ``k`` members within ``bound`` per (query, block), as rows.
+
+    Both sides come by (cell, block, chunk).
+    """
 
     def best(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -109,6 +123,7 @@ def _search(queries: DataFrame, pool: DataFrame, k: int, skip_self: bool) -> Dat
         ids, synth = (np.concatenate(right[c].to_numpy()) for c in ("ids", "synths"))
         points, targets = np.stack(left["z"].to_numpy()), np.stack(right["z"].to_numpy())
         queries, names = left["vec"].to_numpy(), right["vec"].to_numpy()
+        bounds = left["bound"].to_numpy(float)
         found = []
         for start in range(0, len(points), TILE):
             tile = slice(start, start + TILE)
@@ -117,6 +132,7 @@ def _search(queries: DataFrame, pool: DataFrame, k: int, skip_self: bool) -> Dat
                 away[queries[tile, None] == names[None, :]] = np.inf
             keep = min(k, away.shape[1])
             limit = np.partition(away, keep - 1, axis=1)[:, keep - 1 : keep]
+            limit = np.minimum(limit, bounds[tile, None])
             query, vector = np.nonzero((away <= limit) & np.isfinite(away))
             # every close vector stands for its members
             times = lengths[vector]
@@ -137,7 +153,7 @@ def _search(queries: DataFrame, pool: DataFrame, k: int, skip_self: bool) -> Dat
 
     by = ["cell", "block", "chunk"]
     # both sides may stem from one table: rename to get distinct columns
-    left = queries.select(*by, "vec", "z").toDF(*by, "vec", "z")
+    left = queries.select(*by, "vec", "z", "bound").toDF(*by, "vec", "z", "bound")
     right = pool.select(
         *by, "vec", "z", F.col("members.id").alias("ids"),
         F.transform("members.side", lambda s: s == "synth").alias("synths"),
@@ -170,7 +186,8 @@ def nearest_vectors(queries: DataFrame, pool: DataFrame, k: int, skip_self: bool
         return queries.select(
             F.col("vec").alias("query"), F.array().cast(f"array<{NEIGHBOUR}>").alias("near")
         )
-    pivots = _choose_pivots(pool, size)
+    block = _block_size(pool, size)
+    pivots = _choose_pivots(pool, -(-size // block))
     placed = _assign(pool.select("vec", "z", "members"), pivots)
     asked = _assign(queries.select("vec", "z"), pivots)
     if len(pivots) > 1:
@@ -185,14 +202,14 @@ def nearest_vectors(queries: DataFrame, pool: DataFrame, k: int, skip_self: bool
         .collect()
     }
     here = sorted(cells)
-    parts = {c: -(-cells[c]["n"] // BLOCK) for c in here}
+    parts = {c: -(-cells[c]["n"] // block) for c in here}
     part_map = _number_map(parts)
     placed = placed.withColumn("block", _blocks_of(F.col("vec"), part_map[F.col("cell")]))
 
     # queries travel in chunks of bounded size, near ones together
     homes = {r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}
-    chunk_map = _number_map({c: -(-n // BLOCK) for c, n in homes.items()})
-    first = np.cumsum([0] + [-(-homes[c] // BLOCK) for c in sorted(homes)])
+    chunk_map = _number_map({c: -(-n // block) for c, n in homes.items()})
+    first = np.cumsum([0] + [-(-homes[c] // block) for c in sorted(homes)])
     base_map = _number_map({c: int(first[i]) for i, c in enumerate(sorted(homes))})
     asked = asked.withColumn(
         "chunk",
@@ -201,7 +218,10 @@ def nearest_vectors(queries: DataFrame, pool: DataFrame, k: int, skip_self: bool
     )
 
     # first round: one block of the query's own cell
-    home = asked.withColumn("block", _blocks_of(F.col("chunk"), part_map[F.col("cell")]))
+    home = asked.withColumns(
+        {"block": _blocks_of(F.col("chunk"), part_map[F.col("cell")]),
+         "bound": F.lit(float("inf"))}
+    )
     near = _search(home, _to_chunks(placed, home), k, skip_self)
     if sum(parts.values()) == 1:
         return _merge(near, k)
@@ -210,7 +230,7 @@ def nearest_vectors(queries: DataFrame, pool: DataFrame, k: int, skip_self: bool
     # second round: every block that may hold something as close as the k-th so far
     far = F.when(F.count(F.lit(1)) >= k, F.max("dist")).otherwise(F.lit(float("inf")))
     reached = near.groupBy(F.col("query").alias("vec")).agg(far.alias("bound"))
-    bounded = home.join(reached, "vec", "left").fillna(float("inf"), ["bound"])
+    bounded = home.drop("bound").join(reached, "vec", "left").fillna(float("inf"), ["bound"])
     visits = _visits(bounded, pivots, here, cells, parts)
     more = _search(visits, _to_chunks(placed, visits), k, skip_self)
     return _merge(near.unionByName(more), k)
@@ -269,12 +289,13 @@ def _visits(bounded: DataFrame, pivots, here, cells, parts) -> DataFrame:
                 )
                 out = pd.DataFrame(
                     {"vec": chosen["vec"].to_numpy(), "z": chosen["z"].to_numpy(),
-                     "chunk": chosen["chunk"].to_numpy(), "cell": here[cell], "block": block}
+                     "chunk": chosen["chunk"].to_numpy(), "cell": here[cell], "block": block,
+                     "bound": reach[query]}
                 )
                 yield out[~searched]
 
     return bounded.select("vec", "z", "chunk", "cell", "block", "radius", "bound").mapInPandas(
-        visit, "vec bigint, z array<double>, chunk int, cell int, block int"
+        visit, "vec bigint, z array<double>, chunk int, cell int, block int, bound double"
     )
 
 
