@@ -314,6 +314,15 @@ def encode_rows_household(spark, folder):
     return _spread(encoder.encode(rows, state, CUSTOMER), 8, CUSTOMER)
 
 
+def _cells(spark: SparkSession, folder: str):
+    rows, state = _household_encoder(spark, folder)
+    return encoder.encode(rows, state, CUSTOMER, "cells", 42, CUSTOMER), state
+
+
+def encode_cells(spark, folder):
+    return _spread(_cells(spark, folder)[0], 8, CUSTOMER)
+
+
 def decode_numeric(spark, folder):
     moved, state = _moved(spark, folder)
     return encoder.decode_numeric(moved, state).drop("z")
@@ -362,10 +371,22 @@ def denoise_loss(spark, folder):
     )
 
 
+def generator_moments(spark, folder):
+    """Mean and covariance of the one-component generator."""
+    latents, state = _cells(spark, folder)
+    model = diffusion.fit_generator(materialize(latents))
+    covariance = (model.vectors[0] * model.values[0]) @ model.vectors[0].T
+    index = range(state.width)
+    entries = [(i, j, float(model.means[0][i]), float(covariance[i, j])) for i in index for j in index]
+    return _round_all(
+        spark.createDataFrame(entries, "i int, j int, mean double, covariance double")
+    )
+
+
 def fit_generator(spark, folder):
     """Denoising loss of fitted mixtures, per tenth of the schedule."""
-    rows, state = _household_encoder(spark, folder)
-    latents = materialize(encoder.encode(rows, state, CUSTOMER, "cells", 42, CUSTOMER))
+    latents, state = _cells(spark, folder)
+    latents = materialize(latents)
     noised = materialize(
         diffusion.forward_noise(diffusion.random_step(latents, CUSTOMER), CUSTOMER, state.width)
     )
@@ -503,9 +524,9 @@ def queries() -> dict[str, Query]:
         corr_matrix,
         sample_exact, split_train_val_test, split_by_seed, split_stratified, balanced_pair,
         classification_metrics, binary_metrics, seed_summary, roc_auc, regression_metrics,
-        encoder_state, encode_numeric, encode_categorical, encode_rows, encode_rows_household,
+        encoder_state, encode_numeric, encode_categorical, encode_rows, encode_rows_household, encode_cells,
         decode_numeric, decode_categorical, decode_rows, roundtrip_error,
-        random_step, noise_schedule, forward_noise, denoise_loss, fit_generator, reverse_sample,
+        random_step, noise_schedule, forward_noise, denoise_loss, generator_moments, fit_generator, reverse_sample,
         synthesize, check_synthetic, baseline_marginals, baseline_mixture,
         knn_pooled, dcr_nearest, dcr_leave_one_out,
         detection, tstr, trtr, compare_methods, report_json,

@@ -199,6 +199,46 @@ noised AS MATERIALIZED (
   FROM noisy n JOIN sched s ON s.t = n.t)"""
 
 
+def cells_ctes() -> str:
+    """(c_custkey, dim, z): latents spread over level shares and tied references."""
+    u = f"({number(hash_rank('v.c_custkey, v.col'))} + 0.5e0) / {HASH_RANGE}"
+    dims = " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate([*HH_NUMERIC, *HH_CATEGORICAL]))
+    return f"""
+cell_p AS (
+  SELECT v.c_custkey, CASE v.col {dims} END AS dim,
+         greatest(0.5e0 / 2000, least(1 - 0.5e0 / 2000,
+           CASE WHEN v.value = g.value THEN g.p_min + {u} * (g.p_max - g.p_min)
+                ELSE g.p_max + (v.value - g.value) / (g.next_value - g.value) * (g.next_p - g.p_max) END)) AS q_
+  FROM vals v ASOF JOIN grid_next g ON v.col = g.col AND v.value >= g.value
+  UNION ALL
+  SELECT v.c_custkey, CASE v.col {dims} END, (l.below + {u} * l.n) / l.total
+  FROM ({long('household', HH_CATEGORICAL, 'c_custkey', 'level', 'VARCHAR')}) v
+       JOIN levels l ON l.col = v.col AND l.level = v.level),
+{probit_cte('cell_z', 'cell_p', 'q_', 'raw')},
+cell_latents AS MATERIALIZED (
+  SELECT c_custkey, dim, greatest(-4.5e0, least(4.5e0, raw)) AS z FROM cell_z)"""
+
+
+def marginal_ctes() -> str:
+    """Independent draws by (row_id, dim) decoded through references and level shares."""
+    u = f"({number(hash_rank('r.row_id, d.dim'))} + 0.5e0) / {HASH_RANGE}"
+    names = ", ".join(f"({i}, '{c}')" for i, c in enumerate([*HH_NUMERIC, *HH_CATEGORICAL]))
+    return f"""
+draws AS MATERIALIZED (
+  SELECT r.row_id, d.col, {u} AS u
+  FROM range((SELECT count(*) FROM household)) r(row_id), (VALUES {names}) d(dim, col)),
+draw_h AS (
+  SELECT d.row_id, d.col, s.cells, greatest(3.3976731247300535e-06, least(1 - 3.3976731247300535e-06, u)) * s.cells AS h
+  FROM draws d JOIN sized s ON s.col = d.col),
+drawn_numbers AS (
+  SELECT h.row_id, h.col, a.value + (b.value - a.value) * (h.h - floor(h.h)) AS exact
+  FROM draw_h h JOIN refs a ON a.col = h.col AND a.j = CAST(floor(h.h) AS BIGINT)
+       JOIN refs b ON b.col = h.col AND b.j = least(CAST(floor(h.h) AS BIGINT) + 1, h.cells)),
+drawn_levels AS (
+  SELECT d.row_id, d.col, l.level FROM draws d JOIN levels l
+    ON l.col = d.col AND d.u >= l.below / CAST(l.total AS DOUBLE) AND d.u < (l.below + l.n) / CAST(l.total AS DOUBLE))"""
+
+
 def ks_sql(source: str) -> str:
     return f"""
 ks_counts AS (
@@ -492,6 +532,15 @@ cat_err AS (SELECT n.col, n.level <> v.level AS e FROM cat_back n
 SELECT col AS "column", count(*) AS n_rows, count(*) FILTER (e > 0.5) AS n_changed, {r4('max(e)', 2)} AS max_error FROM num_err GROUP BY col
 UNION ALL SELECT col, count(*), count(*) FILTER (e), NULL FROM cat_err GROUP BY col"""
 
+    sql["encode_cells"] = f"{encoder}, {cells_ctes()} " + wide("cell_latents", "c_custkey", 8, "z")
+    sql["generator_moments"] = f"""{encoder}, {cells_ctes()}
+SELECT a.dim AS i, b.dim AS j, {r4('avg(a.z)')} AS mean,
+       {r4('covar_samp(a.z, b.z) + CASE WHEN a.dim = b.dim THEN 1e-6 ELSE 0 END')} AS covariance
+FROM cell_latents a JOIN cell_latents b USING (c_custkey) GROUP BY a.dim, b.dim"""
+    sql["baseline_marginals"] = f"""{encoder}, {marginal_ctes()},
+a AS (SELECT row_id, {numbers} FROM drawn_numbers GROUP BY row_id), b AS (SELECT row_id, {texts} FROM drawn_levels GROUP BY row_id)
+SELECT a.*, {', '.join(f'b.{c}' for c in HH_CATEGORICAL)} FROM a JOIN b USING (row_id)"""
+
     # diffusion
     step = f"{number(hash_rank('o_orderkey, ' + chr(39) + 't' + chr(39)))} % 1000"
     sql["random_step"] = f"SELECT o_orderkey, {step} AS t FROM orders"
