@@ -16,7 +16,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from twinframe.functions.scalars import count_not_above
-from twinframe.session import default_buckets, local_copy, materialize
+from twinframe.session import default_buckets, materialize
 
 SAMPLE_PER_BUCKET = 16
 
@@ -26,6 +26,8 @@ SORTED_ROWS = 1_000_000
 #: Up to this many counted rows, one task per key is cheaper than ranges.
 PLAIN_ROWS = 100_000
 
+_SO_FAR = (Window.unboundedPreceding, Window.currentRow)
+
 #: Hex digits of an md5.
 HASH_LENGTH = 32
 
@@ -33,7 +35,10 @@ HASH_LENGTH = 32
 def with_range(
     rows: DataFrame, key: Sequence[str], order: str, buckets: int | None = None
 ) -> DataFrame:
-    """Add ``_range``, a number that rises with ``order`` within ``key``."""
+    """Add ``_key``, a number per key, and ``_range``, which rises with ``order`` within it.
+
+    Ranges of different keys differ.
+    """
     buckets = buckets or default_buckets(rows.sparkSession)
     if isinstance(rows.schema[order].dataType, T.NumericType):
         evenly = [i / buckets for i in range(1, buckets)]
@@ -42,14 +47,16 @@ def with_range(
         )
     else:
         splitters = _sampled_splitters(rows, key, order, buckets)
-    # one array of at most ``buckets`` entries per key
-    splitters = local_copy(splitters)
-    found = count_not_above(F.col("_splitters"), F.col(order), buckets)
-    return (
-        rows.join(F.broadcast(splitters), list(key), "left")
-        .withColumn("_range", F.coalesce(found, F.lit(0)))
-        .drop("_splitters")
+    # one array of at most ``buckets`` entries per key; keys get numbers, because
+    # sorting and joining by a number is much cheaper than by text
+    found = splitters.select(*key, "_splitters").collect()
+    schema = T.StructType([*splitters.schema.fields, T.StructField("_key", T.IntegerType(), False)])
+    numbered = rows.sparkSession.createDataFrame(
+        [(*row, i) for i, row in enumerate(found)], schema
     )
+    place = count_not_above(F.col("_splitters"), F.col(order), buckets)
+    cell = F.col("_key") * F.lit(buckets + 1) + F.coalesce(place, F.lit(0))
+    return rows.join(F.broadcast(numbered), list(key)).withColumn("_range", cell).drop("_splitters")
 
 
 def _sampled_splitters(
@@ -92,26 +99,25 @@ def running_totals(
         group = Window.partitionBy(*key)
         return rows.withColumns(
             {
-                **{f"cum_{c}": F.sum(c).over(group.orderBy(order)) for c in sums},
+                **{f"cum_{c}": F.sum(c).over(group.orderBy(order).rowsBetween(*_SO_FAR)) for c in sums},
                 **{f"total_{c}": F.sum(c).over(group) for c in sums},
             }
         )
     ranged = with_range(rows, key, order, buckets)
-    inside = Window.partitionBy(*key, "_range").orderBy(order)
-    everything = Window.partitionBy(*key)
+    inside = Window.partitionBy("_range").orderBy(order).rowsBetween(*_SO_FAR)
+    everything = Window.partitionBy("_key")
     before = everything.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy(*key, "_range").agg(*[F.sum(c).alias(f"_sum_{c}") for c in sums])
+    offsets = ranged.groupBy("_key", "_range").agg(*[F.sum(c).alias(f"_sum_{c}") for c in sums])
     offsets = offsets.select(
-        *key,
         "_range",
         *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_before_{c}") for c in sums],
         *[F.sum(f"_sum_{c}").over(everything).alias(f"total_{c}") for c in sums],
     )
     return (
         ranged.withColumns({f"cum_{c}": F.sum(c).over(inside) for c in sums})
-        .join(F.broadcast(offsets), [*key, "_range"])
+        .join(F.broadcast(offsets), "_range")
         .withColumns({f"cum_{c}": F.col(f"cum_{c}") + F.col(f"_before_{c}") for c in sums})
-        .drop("_range", *[f"_before_{c}" for c in sums])
+        .drop("_key", "_range", *[f"_before_{c}" for c in sums])
     )
 
 
@@ -230,9 +236,10 @@ def rank_cuts(
     def ranged(part: DataFrame, keys: Sequence[str], level: int) -> DataFrame:
         if digits is None and level == 1 and leading is not None:
             # the leading field alone also rises with the order, and is cheaper to split
-            return with_range(part.withColumn("_lead", F.col(f"{order}.{leading}")), keys, "_lead")
+            led = part.withColumn("_lead", F.col(f"{order}.{leading}"))
+            return with_range(led, keys, "_lead").drop("_key", "_lead")
         if digits is None:
-            return with_range(part, keys, order)
+            return with_range(part, keys, order).drop("_key")
         return part.withColumn("_range", F.substring(order, 1, digits * level))
 
     def held(counted: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int]:

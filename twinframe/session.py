@@ -34,11 +34,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def local_copy(df: DataFrame) -> DataFrame:
-    """Compute a table of proven small size (splitters, cuts) once, into the plan itself."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
-
-
 def default_buckets(spark: SparkSession) -> int:
     """How many ranges an ordered pass is cut into: as many as shuffle partitions."""
     return max(2, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
