@@ -286,7 +286,7 @@ def fidelity_sql(pair: str) -> str:
 per AS (SELECT 'ks' AS metric, col AS "column", {r4('ks_stat')} AS value FROM ks
         UNION ALL SELECT 'tvd', col, {r4('tvd')} FROM tv)
 SELECT 'ours' AS method, * FROM per
-UNION ALL SELECT 'ours', 'avg_' || metric, '', {r4('avg(value)')} FROM per GROUP BY metric
+UNION ALL SELECT 'ours', 'avg_' || metric, '', round(avg(round(value * 10000))) / 10000 FROM per GROUP BY metric
 UNION ALL SELECT 'ours', 'corr_frobenius', '', {r4('f')} FROM fro"""
 
 

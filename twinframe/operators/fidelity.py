@@ -130,15 +130,17 @@ def fidelity_summary(
             )
         )
     )
-    # grouping sets give the column rows and their averages from one computation
+    # grouping sets give the column rows and their averages from one computation;
+    # averaging whole ten-thousandths makes ties exact, and these round up
+    units = F.round(F.avg(F.round(F.col("value") * 10000)))
     rolled = per_column.rollup("metric", "column").agg(
-        F.avg("value").alias("value"), F.grouping_id().alias("_level")
+        (units / 10000).alias("value"), F.grouping_id().alias("_level")
     )
     averages = rolled.where("_level < 2").select(
         F.when(F.col("_level") == 1, F.concat(F.lit("avg_"), "metric")).otherwise(F.col("metric"))
         .alias("metric"),
         F.coalesce("column", F.lit("")).alias("column"),
-        F.round("value", 4).alias("value"),
+        "value",
     )
     matrix = corr_frobenius(pair, numeric).select(
         F.lit("corr_frobenius").alias("metric"),
