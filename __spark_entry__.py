@@ -40,6 +40,15 @@ from twinframe.sources.views import (  # noqa: E402
     table,
 )
 
+# The subpackage for training data and its pipeline may be absent.
+try:
+    import corpus_pipeline
+    from twinframe.llm import queries as llm_queries
+except ModuleNotFoundError as error:
+    if error.name not in ("corpus_pipeline", "twinframe.llm"):
+        raise
+    corpus_pipeline = llm_queries = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 CUSTOMER = ["c_custkey"]
@@ -542,8 +551,16 @@ def queries() -> dict[str, Query]:
     found["inter_record"] = _records(neighbors.inter_record, 5)
     found["tstr_classification"] = _single_seed(evaluate.score_classification, "spend_quintile")
     found["tstr_regression"] = _single_seed(evaluate.score_regression, "spend")
+    if llm_queries:
+        found |= llm_queries.queries()
+        found["pipeline"] = corpus_pipeline.run
     return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries.oracle_sql()
+    found = oracle_queries.oracle_sql()
+    if llm_queries:
+        found |= llm_queries.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
