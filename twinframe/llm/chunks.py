@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 #: Text per chunk; it grows to MAX_CHUNK_BYTES once there are MANY chunks.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 MAX_CHUNK_BYTES = 64 << 20
 MANY = 4096
 

@@ -40,48 +40,52 @@ SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of every slice of ``width``, from running minima of blocks."""
-    n = len(values)
-    padded = np.full(-(-n // width) * width, np.iinfo(np.uint64).max)
-    padded[:n] = values
-    blocks = padded.reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
+    """Minimum of every slice of ``width``, by doubling."""
+    span = 1
+    while 2 * span <= width:
+        values = np.minimum(values[:-span], values[span:])
+        span *= 2
+    rest = width - span
+    return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
 def _anchored(data, starts, width):
-    """(anchor, first string, last string) by start positions, for each run of strings with one anchor; and gram hashes."""
+    """(anchor, first string, last string, key) of each run of strings with one anchor, as start positions."""
     gram = min(64, width)
-    roll = rolling(7)
-    hashes = mix(roll.windows(roll.of_bytes(data), gram))
     span = width - gram + 1
-    inside = np.zeros(len(data) + 1, np.int64)
+    roll = rolling(7)
+    hashes = roll.windows(roll.of_bytes(data), gram)
+    strings = len(data) - width + 1
+    if strings < 1:
+        return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)]
     ends = starts[1:] - 1
     fits = ends - starts[:-1] >= width
-    np.add.at(inside, starts[:-1][fits], 1)
-    np.add.at(inside, ends[fits] - width + 1, -1)
-    valid = np.flatnonzero(np.cumsum(inside)[:-1])
-    anchors = []
+    turn = np.zeros(strings + 1, np.int8)
+    turn[starts[:-1][fits]] += 1
+    turn[ends[fits] - width + 1] -= 1
+    valid = np.cumsum(turn, dtype=np.int8)[:-1] > 0
     mask = np.uint64((1 << PLACE_BITS) - 1)
-    for low in range(0, len(hashes) - span + 1, PART):
-        part = hashes[low : low + PART + span - 1]
-        keyed = (part & ~mask) | np.arange(len(part), dtype=np.uint64)
-        anchors.append(low + (_sliding_min(keyed, span) & mask).astype(np.int64))
-    anchor = np.concatenate(anchors)[valid] if len(valid) else valid
-    new = np.ones(len(valid), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (valid[1:] != valid[:-1] + 1)
-    head = np.flatnonzero(new)
-    tail = np.concatenate([head[1:], [len(valid)]]) - 1 if len(head) else head
-    return anchor[head], valid[head], valid[tail], hashes
+    anchor, head, tail = [], [], []
+    for low in range(0, strings, PART):
+        part = hashes[low : low + PART + span - 1] & ~mask
+        part |= np.arange(len(part), dtype=np.uint64)
+        least = _sliding_min(part, span)
+        here = valid[low : low + len(least)]
+        cut = np.ones(len(least) + 1, bool)
+        cut[1:-1] = (least[1:] != least[:-1]) | (here[1:] != here[:-1])
+        first = np.flatnonzero(cut[:-1] & here)
+        anchor.append(low + (least[first] & mask).astype(np.int64))
+        head.append(low + first)
+        tail.append(low + np.flatnonzero(cut[1:] & here))
+    anchor, head, tail = (np.concatenate(x) for x in (anchor, head, tail))
+    return anchor, head, tail, mix(hashes[anchor] ^ np.uint64(width))
 
 
 def _chunk(texts, width):
     """Anchored runs of a chunk, one entry per buffer."""
     found = []
     for first, data, starts in buffers(texts):
-        anchor, low, high, hashes = _anchored(data, starts, width)
-        found.append((first, data, starts, anchor, low, high, hashes[anchor]))
+        found.append((first, data, starts, *_anchored(data, starts, width)))
     return found
 
 
@@ -120,21 +124,21 @@ def _steps(found, replies, width, n):
 
 
 def _triples(core, high, low):
-    """Sorted distinct triples, the place of each input among them, and how often each occurs."""
+    """Sorted distinct triples, an input of each, the place of each input among them, how often each occurs."""
     order = np.lexsort((low, high, core))
     c, h, l = core[order], high[order], low[order]
     fresh = np.ones(len(order), bool)
     fresh[1:] = (c[1:] != c[:-1]) | (h[1:] != h[:-1]) | (l[1:] != l[:-1])
     back = np.empty(len(order), np.int64)
     back[order] = np.cumsum(fresh) - 1
-    return c[fresh], h[fresh], l[fresh], back, np.bincount(back, minlength=fresh.sum())
+    return (c[fresh], h[fresh], l[fresh]), order[fresh], back, np.bincount(back, minlength=fresh.sum())
 
 
 def _judge_steps(payload, chunk):
     """Per triple: does its core stand in other surroundings too; do other chunks hold the same triple."""
     parts = [np.frombuffer(p, "<u8").reshape(3, -1) for p in payload]
     core, high, low = np.concatenate(parts, axis=1)
-    c, _, _, back, count = _triples(core, high, low)
+    (c, _, _), _, back, count = _triples(core, high, low)
     _, home, kinds = np.unique(c, return_inverse=True, return_counts=True)
     mixed, shared = (kinds[home] > 1)[back], (count > 1)[back]
     cuts = np.cumsum([p.shape[1] for p in parts])[:-1]
@@ -142,16 +146,19 @@ def _judge_steps(payload, chunk):
 
 
 def _judged(found, replies, width, n):
-    """The steps with two flags: strings must be sorted; strings all repeat."""
+    """The steps; which of them repeat wholly; which must be sorted, one of equal ones."""
     steps = _steps(found, replies, width, n)
-    core, high, low, back, count = _triples(*steps[5:])
+    (core, _, _), one, back, count = _triples(*steps[5:])
     mixed, shared = chunks.told(replies, 2, core, n, 2)
-    return steps, mixed[back], (shared | (count > 1))[back]
+    return steps, (shared | (count > 1))[back], one[mixed]
 
 
-def _sorted_strings(found, steps, mixed, width):
-    """Sort the strings of mixed steps: (step of each, its distance, its class, two hashes per class, copies per class)."""
-    number, anchor, step, near, far, core, _, _ = (s[mixed] for s in steps)
+def _strings(found, steps, chosen, width):
+    """The strings of the chosen steps, over a gathered buffer.
+
+    (buffer, start of each in it, step of each, distance from its anchor).
+    """
+    number, anchor, _, near, far, *_ = (s[chosen] for s in steps)
     lengths = far - near + width
     offset = np.cumsum(lengths) - lengths
     gathered = np.zeros(lengths.sum(), np.uint8)
@@ -159,20 +166,18 @@ def _sorted_strings(found, steps, mixed, width):
         mine = np.flatnonzero(number == buffer)
         size = lengths[mine]
         inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        gathered[np.repeat(offset[mine], size) + inner] = found[buffer][1][np.repeat((anchor - far)[mine], size) + inner]
+        source = np.repeat((anchor - far)[mine], size) + inner
+        gathered[np.repeat(offset[mine], size) + inner] = found[buffer][1][source]
     sizes = far - near + 1
     owner = np.repeat(np.arange(len(near)), sizes)
-    distance = far[owner] - (np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes))
-    starts = offset[owner] + far[owner] - distance
-    group = np.unique(mix(core[owner] + distance.astype(np.uint64)), return_inverse=True)[1]
-    order, same = sort_suffixes(gathered, starts, group, width)
-    classes = np.empty(len(order), np.int64)
-    classes[order] = np.cumsum(~same) - 1
-    heads = starts[order[~same]]
-    first, second = (
-        mix(roll.slices(roll.of_bytes(gathered), heads, heads + width)) for roll in (rolling(9), rolling(10))
-    )
-    return owner, distance, classes, first, second, np.bincount(classes, minlength=len(heads))
+    back = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return gathered, offset[owner] + back, chosen[owner], far[owner] - back
+
+
+def _string_hashes(gathered, starts, width):
+    return [
+        mix(roll.slices(roll.of_bytes(gathered), starts, starts + width)) for roll in (rolling(9), rolling(10))
+    ]
 
 
 def repeats_removed(
@@ -202,15 +207,16 @@ def repeats_removed(
         if not len(rows):
             return chunks.empty(chunks.ASKED)
         found = _chunk(texts_of(rows.column("text")), width)
-        core, high, low, _, _ = _triples(*_steps(found, replies, width, n)[5:])
+        core, high, low = _triples(*_steps(found, replies, width, n)[5:])[0]
         return chunks.ask(key[0].as_py(), 2, core, n, [core, high, low])
 
     def strings(key, rows, replies):
         if not len(rows):
             return chunks.empty(chunks.ASKED)
         found = _chunk(texts_of(rows.column("text")), width)
-        judged, mixed, _ = _judged(found, replies, width, n)
-        _, _, _, first, second, _ = _sorted_strings(found, judged, mixed, width)
+        judged, _, chosen = _judged(found, replies, width, n)
+        gathered, starts, _, _ = _strings(found, judged, chosen, width)
+        first, second = _string_hashes(gathered, starts, width)
         high, low, _ = chunks.distinct_pairs(first, second)
         return chunks.ask(key[0].as_py(), 3, high, n, [high, low])
 
@@ -221,14 +227,19 @@ def repeats_removed(
                 "spans", pa.array([], SPANS))
         texts = texts_of(rows.column("text"))
         found = _chunk(texts, width)
-        judged, mixed, whole = _judged(found, replies, width, n)
-        owner, distance, classes, first, second, copies = _sorted_strings(found, judged, mixed, width)
-        high, low, back = chunks.distinct_pairs(first, second)
+        judged, whole, chosen = _judged(found, replies, width, n)
+        gathered, starts, owner, distance = _strings(found, judged, chosen, width)
+        group = np.unique(mix(judged[5][owner] + distance.astype(np.uint64)), return_inverse=True)[1]
+        order, same = sort_suffixes(gathered, starts, group, width)
+        classes = np.empty(len(order), np.int64)
+        classes[order] = np.cumsum(~same) - 1
+        copies = np.bincount(classes)
+        high, low, back = chunks.distinct_pairs(*_string_hashes(gathered, starts[order[~same]], width))
         repeated = ((copies > 1) | chunks.told(replies, 3, high, n)[back])[classes]
         number, anchor, _, near, far = judged[:5]
-        place = np.flatnonzero(mixed)[owner[repeated]]
-        lows = np.concatenate([(anchor - far)[whole], anchor[place] - distance[repeated]])
-        highs = np.concatenate([(anchor - near)[whole], anchor[place] - distance[repeated]]) + width
+        place, away = owner[repeated], distance[repeated]
+        lows = np.concatenate([(anchor - far)[whole], anchor[place] - away])
+        highs = np.concatenate([(anchor - near)[whole], anchor[place] - away]) + width
         home = np.concatenate([number[whole], number[place]])
         kept, removed, spans = [], [], []
         for buffer, (_, data, starts, *_) in enumerate(found):

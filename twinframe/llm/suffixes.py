@@ -12,12 +12,17 @@ SEED = 11
 def common_length(data, prefix, a, b, width):
     """Length of the common start of the suffixes at ``a`` and ``b``, at most ``width``: a binary search on hashes."""
     roll = rolling(SEED)
-    low, high = np.zeros(len(a), np.int64), np.full(len(a), width)
-    while (low < high).any():
+    length = np.full(len(a), width)
+    pa, pb, scale_a, scale_b = prefix[a], prefix[b], roll.backs[a], roll.backs[b]
+    open_ = np.flatnonzero((prefix[a + width] - pa) * scale_a != (prefix[b + width] - pb) * scale_b)
+    a, b, pa, pb, scale_a, scale_b = (x[open_] for x in (a, b, pa, pb, scale_a, scale_b))
+    low, high = np.zeros(len(a), np.int64), np.full(len(a), width - 1)
+    for _ in range((width - 1).bit_length()):
         middle = (low + high + 1) >> 1
-        same = roll.slices(prefix, a, a + middle) == roll.slices(prefix, b, b + middle)
-        low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
-    return low
+        same = (prefix[a + middle] - pa) * scale_a == (prefix[b + middle] - pb) * scale_b
+        low, high = np.where(same, middle, low), np.where(same, high, np.maximum(middle - 1, low))
+    length[open_] = low
+    return length
 
 
 def _before(data, prefix, a, b, width, or_equal):

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes per buffer on which prefix hashes are taken at once.
-BUFFER = 1 << 20
+BUFFER = 1 << 16
 
 #: White space of the word pattern [^\x20\x09-\x0D]+.
 SPACES = np.zeros(256, bool)
@@ -69,7 +69,7 @@ class Rolling:
                 setattr(self, name, np.cumprod(steps))
 
     def of_bytes(self, data: np.ndarray) -> np.ndarray:
-        return self.prefix(self.table[data])
+        return self.prefix(np.take(self.table, data))
 
     def prefix(self, values: np.ndarray) -> np.ndarray:
         self._grow(len(values) + 1)
