@@ -21,6 +21,9 @@ CHUNK_BYTES = 2 << 20
 MAX_CHUNK_BYTES = 64 << 20
 MANY = 4096
 
+#: Chunks whose keys one bucket holds the like of; a chunk sends one row per bucket.
+CHUNKS_PER_BUCKET = 8
+
 ASKED = "bucket int, chunk int, kind int, keys binary"
 TOLD = "chunk int, bucket int, kind int, bits binary"
 
@@ -31,6 +34,10 @@ def chunk_count(docs: DataFrame, text_col: str, chunk_bytes: int) -> int:
     return int(total // size) + 1
 
 
+def bucket_count(chunks: int) -> int:
+    return -(-chunks // CHUNKS_PER_BUCKET)
+
+
 def by_content(id_col: str, text_col: str, n: int) -> Column:
     """Chunk numbers that spread rows evenly."""
     return F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n)).cast("int")

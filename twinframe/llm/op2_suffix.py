@@ -193,9 +193,10 @@ def repeats_removed(
     carried along. Other columns are not read. An empty table gives an empty
     table.
     """
-    n = chunks.chunk_count(docs, text_col, chunk_bytes)
+    number = chunks.chunk_count(docs, text_col, chunk_bytes)
+    n = chunks.bucket_count(number)
     rows = docs.select(
-        chunks.by_content(id_col, text_col, n).alias("chunk"),
+        chunks.by_content(id_col, text_col, number).alias("chunk"),
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"),
     )
 
