@@ -4,7 +4,8 @@ A data file is a run of records, each framed as
 
     length     unsigned 64-bit, little-endian: bytes of the payload
     check      unsigned 32-bit: masked CRC-32 of the length's 8 bytes
-    payload    document id (signed 64-bit; flag byte before it: 1 known, 0 null), then ids as unsigned 32-bit
+    payload    a byte 1 (0: the id is null), a byte for the width of an id in bytes, the document id (signed
+               64-bit), then the ids as unsigned numbers of that width: 2 bytes if the vocabulary allows, else 4
     check      unsigned 32-bit: masked CRC-32 of the payload
 
 and the file beside it, ``.index``, holds for every record its offset and its
@@ -37,11 +38,11 @@ END = 2
 #: Fixed constant of the published record format.
 MASK_DELTA = 0xA282EAD8
 HEAD = "<QI"
-IDENTITY = "<Bq"
+IDENTITY = "<BBq"
 #: Text that one file holds on average.
 FILE_BYTES = 32 << 20
-#: Pieces of text whose ids a worker remembers.
-REMEMBERED = 300_000
+#: Pieces, and words, whose ids a worker remembers.
+REMEMBERED = 400_000
 FILES = "part int, data string, n_records long, n_ids long"
 RECORDS = "part int, place long, id long, n_tokens long, crc long"
 
@@ -50,69 +51,84 @@ def masked(crc: int) -> int:
     return ((crc >> 15 | crc << 17) + MASK_DELTA) & 0xFFFFFFFF
 
 
+class Remembered(dict):
+    """A dictionary that computes what it lacks, and keeps it while there is room."""
+
+    def __init__(self, compute):
+        super().__init__()
+        self.compute = compute
+
+    def __missing__(self, key):
+        value = self.compute(key)
+        if len(self) < REMEMBERED:
+            self[key] = value
+        return value
+
+
 class Encoder:
-    """Whole texts to ids by the tokenizers library, remembering the pieces between spaces.
+    """Whole texts to ids by the tokenizers library, remembering pieces between spaces and their words.
 
     A byte-level vocabulary with the usual word pattern never joins what stands
     before a space and what follows it, if the space is followed by no other
-    white space; so the pieces of such texts may be encoded apart. Other texts,
-    and other tokenizers, are encoded in one.
+    white space; so the pieces of such texts may be encoded apart. In pieces of
+    Latin letters the word pattern is applied here and only new words go to the
+    library's model. Other pieces, texts and tokenizers go to the library whole.
     """
 
     def __init__(self, path: str):
         import json
         import os
-        import re
+
+        import regex
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         with open(path) as file:
             spec = json.load(file)
         before = spec.get("pre_tokenizer") or {}
         self.apart = (
-            before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+            spec["model"]["type"] == "BPE" and not spec["model"].get("ignore_merges")
+            and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
             and not spec.get("normalizer")
             and not any(t.get("lstrip") or t.get("rstrip") or " " in t["content"] for t in spec.get("added_tokens", []))
         )
-        self.blank = re.compile(r" (?:\s|\Z)")
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces as bytes, all encoded in one call."""
-        if not pieces:
-            return {}
-        encoded = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(encoded.ids, "<u4")
-        owner = np.array(encoded.word_ids, np.int64)
-        cuts = np.searchsorted(owner, np.arange(len(pieces) + 1)) * 4
-        raw = ids.tobytes()
-        return {p: raw[a:b] for p, a, b in zip(pieces, cuts[:-1].tolist(), cuts[1:].tolist())}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit numbers, without the end id."""
-        split: list[list[str] | None] = []
-        for text in texts:
-            if not self.apart or self.blank.search(text) or "<|" in text:
-                split.append(None)
-            else:
-                pieces = text.split(" ")
-                split.append([pieces[0], *(" " + p for p in pieces[1:])])
-        fresh = {p for pieces in split if pieces for p in pieces if p not in self.known}
-        learned = self._learn(sorted(fresh))
-        room = REMEMBERED - len(self.known)
-        if room > 0:
-            self.known.update(learned if len(learned) <= room else dict(list(learned.items())[:room]))
-        whole = [t for t, pieces in zip(texts, split) if pieces is None]
-        encoded = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False) if whole else [])
-        known = self.known
-        if learned and room < len(learned):
-            known = {**learned, **{p: known[p] for pieces in split if pieces for p in set(pieces) if p in known}}
-        return [
-            np.array(next(encoded).ids, "<u4").tobytes() if pieces is None else b"".join([known[p] for p in pieces])
-            for pieces in split
-        ]
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.blank = regex.compile(r" (?:\s|\Z)")
+        # fixed: the published word pattern of byte-level vocabularies
+        self.pattern = regex.compile(
+            r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
+            r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+        )
+        # printable bytes stand for themselves, the others for characters from 256 on
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        others = [b for b in range(256) if b not in plain]
+        self.shown = {b: chr(256 + i) for i, b in enumerate(others)}
+        self.words = Remembered(self._word)
+        self.pieces = Remembered(self._piece)
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        shown = word.encode().decode("latin-1").translate(self.shown)
+        return self._packed([token.id for token in self.model.tokenize(shown)])
+
+    def _piece(self, piece: str) -> bytes:
+        if max(piece, default="") < "\u0250":
+            return b"".join([self.words[w] for w in self.pattern.findall(piece)])
+        return self._packed(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as little-endian numbers of ``kind``, without the end id."""
+        if not self.apart or self.blank.search(text) or any(s in text for s in self.special):
+            return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        first, *rest = text.split(" ")
+        pieces = self.pieces
+        return pieces[first] + b"".join([pieces[" " + p] for p in rest])
 
 
 def _open(folder: str):
@@ -138,12 +154,12 @@ def write_records(
         F.xxhash64(text_col).alias("tie"),
     )
     ordered = rows.repartitionByRange(int(total // file_bytes) + 1, "id", "tie").sortWithinPartitions("id", "tie")
-    end = np.array([end_id], "<u4").tobytes()
-
     def write(batches):
         part = TaskContext.get().partitionId()
         system, base = _open(folder)
         encoder = worker_cache("encoder:" + tokenizer, lambda: Encoder(tokenizer))
+        end = np.array([end_id], encoder.kind).tobytes()
+        width = len(end)
         name = f"{base}/part-{part:08d}"
         temporary = f"{name}.{uuid.uuid4().hex}.tmp"
         offset = n_records = n_ids = 0
@@ -151,17 +167,17 @@ def write_records(
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for low in range(0, len(ids), 256):
-                encoded = encoder.encode(texts.slice(low, 256).to_pylist())
+                encoded = [encoder.encode(t) for t in texts.slice(low, 256).to_pylist()]
                 out, entries = [], []
                 for id_, tokens in zip(ids[low : low + 256], encoded):
-                    payload = struct.pack(IDENTITY, id_ is not None, id_ or 0) + tokens + end
+                    payload = struct.pack(IDENTITY, id_ is not None, width, id_ or 0) + tokens + end
                     length = struct.pack("<Q", len(payload))
                     record = struct.pack(HEAD, len(payload), masked(zlib.crc32(length))) + payload
                     record += struct.pack("<I", masked(zlib.crc32(payload)))
                     out.append(record)
-                    entries.append(struct.pack("<QQ", offset, len(tokens) // 4 + 1))
+                    entries.append(struct.pack("<QQ", offset, len(tokens) // width + 1))
                     offset += len(record)
-                    n_ids += len(tokens) // 4 + 1
+                    n_ids += len(tokens) // width + 1
                 if data is None:
                     system.create_dir(base, recursive=True)
                     data, index = (system.open_output_stream(temporary + x) for x in ("", ".index"))
@@ -215,11 +231,15 @@ def _record(file, name: str, n_ids: int):
     payload = file.read(length)
     if masked(zlib.crc32(payload)) != struct.unpack("<I", file.read(4))[0]:
         raise ValueError(f"{name}: a record is damaged")
-    known, id_ = struct.unpack_from(IDENTITY, payload)
-    ids = payload[struct.calcsize(IDENTITY) :]
-    if len(ids) != 4 * n_ids:
+    id_, ids = _payload(payload)
+    if len(ids) != n_ids:
         raise ValueError(f"{name}: the index and a record differ")
-    return id_ if known else None, n_ids, zlib.crc32(ids)
+    return id_, n_ids, zlib.crc32(ids.astype("<u4").tobytes())
+
+
+def _payload(payload: bytes) -> tuple[int | None, np.ndarray]:
+    known, width, id_ = struct.unpack_from(IDENTITY, payload)
+    return id_ if known else None, np.frombuffer(payload, f"<u{width}", offset=struct.calcsize(IDENTITY))
 
 
 def fetch(folder: str, data: str, places: list[int]) -> list[tuple[int | None, np.ndarray]]:
@@ -235,8 +255,7 @@ def fetch(folder: str, data: str, places: list[int]) -> list[tuple[int | None, n
             payload = file.read(length)
             if masked(zlib.crc32(payload)) != struct.unpack("<I", file.read(4))[0]:
                 raise ValueError(f"{data}: record {place} is damaged")
-            known, id_ = struct.unpack_from(IDENTITY, payload)
-            found.append((id_ if known else None, np.frombuffer(payload, "<u4", offset=struct.calcsize(IDENTITY))))
+            found.append(_payload(payload))
     return found
 
 
