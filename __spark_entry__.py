@@ -435,7 +435,7 @@ def baseline_mixture(spark, folder):
 
 
 def knn_pooled(spark, folder):
-    return _round_all(neighbors.knn_pooled(views.pair_vectors(spark, folder), "vec_id", 5))
+    return _round_all(neighbors.knn_pooled(views.pair_vectors(spark, folder), "vec_id", 5).drop("side"))
 
 
 def dcr_nearest(spark, folder):
@@ -450,7 +450,7 @@ def _records(metric, *options) -> Query:
     def run(spark, folder):
         pair = views.pair_household(spark, folder)
         return _round_all(
-            metric(pair, "c_custkey", HH_NUMERIC, HH_CATEGORICAL, *options, subsample=None)
+            metric(pair, "c_custkey", HH_NUMERIC, HH_CATEGORICAL, *options)
         )
 
     return run

@@ -171,7 +171,9 @@ cat_back AS MATERIALIZED (
 
 
 def hash_rank(ids: str, seed: str = "42") -> str:
-    return f"md5(concat_ws(':', {seed}, {ids}))"
+    texts = [f"CAST({part.strip()} AS VARCHAR)" for part in [seed, *ids.split(",")]]
+    sized = [f"coalesce(length({t}) || '.' || {t}, '~')" for t in texts]
+    return f"md5(concat_ws(':', {', '.join(sized)}))"
 
 
 def number(text: str) -> str:

@@ -35,10 +35,15 @@ def present(value: Column) -> Column:
 
 
 def hash_key(seed, ids: Iterable) -> Column:
-    """md5 of ``seed:id:...`` as hex text: a row order no partitioning can change."""
+    """md5 of the seed and ids as hex text: a row order no partitioning can change.
+
+    Every part goes in with its length, null as ``~``, so that different ids never read the same.
+    """
     parts = [seed if isinstance(seed, Column) else F.lit(seed)]
     parts += [F.col(f"`{i}`") if isinstance(i, str) else i for i in ids]
-    return F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]).cast("binary"))
+    texts = [p.cast("string") for p in parts]
+    sized = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit("."), t), F.lit("~")) for t in texts]
+    return F.md5(F.concat_ws(":", *sized).cast("binary"))
 
 
 def hash_number(key: Column) -> Column:

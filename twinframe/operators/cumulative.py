@@ -23,9 +23,6 @@ SAMPLE_PER_BUCKET = 16
 #: A range of at most this many rows is sorted by one task.
 SORTED_ROWS = 1_000_000
 
-#: Up to this many counted rows, one task per key is cheaper than ranges.
-PLAIN_ROWS = 100_000
-
 _SO_FAR = (Window.unboundedPreceding, Window.currentRow)
 
 #: Hex digits of an md5.
@@ -56,7 +53,14 @@ def with_range(
     )
     place = count_not_above(F.col("_splitters"), F.col(order), buckets)
     cell = F.col("_key") * F.lit(buckets + 1) + F.coalesce(place, F.lit(0))
-    return rows.join(F.broadcast(numbered), list(key)).withColumn("_range", cell).drop("_splitters")
+    return join_null_safe(rows, F.broadcast(numbered), key).withColumn("_range", cell).drop("_splitters")
+
+
+def join_null_safe(rows: DataFrame, other: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Inner join on equal columns where null equals null; the columns come from ``rows``."""
+    renamed = other.withColumnsRenamed({c: f"_other_{c}" for c in by})
+    match = [F.col(c).eqNullSafe(F.col(f"_other_{c}")) for c in by]
+    return rows.join(renamed, match).drop(*[f"_other_{c}" for c in by])
 
 
 def _sampled_splitters(
@@ -68,7 +72,7 @@ def _sampled_splitters(
     stride = F.greatest(F.lit(1), F.expr(f"_rows div {wanted}"))
     picked = (
         rows.select(*key, order)
-        .join(F.broadcast(sizes), list(key))
+        .transform(lambda part: join_null_safe(part, F.broadcast(sizes), key))
         .where(F.pmod(F.xxhash64(*key, order), stride) == 0)
     )
     sample = F.array_sort(F.collect_list(order))
@@ -94,16 +98,7 @@ def running_totals(
     Rows must be distinct on (key, order): aggregate equal values first.
     """
     # the counted rows are read several times below; computing them is the costly part
-    rows = materialize(rows)
-    if rows.count() <= PLAIN_ROWS:
-        group = Window.partitionBy(*key)
-        return rows.withColumns(
-            {
-                **{f"cum_{c}": F.sum(c).over(group.orderBy(order).rowsBetween(*_SO_FAR)) for c in sums},
-                **{f"total_{c}": F.sum(c).over(group) for c in sums},
-            }
-        )
-    ranged = with_range(rows, key, order, buckets)
+    ranged = with_range(materialize(rows), key, order, buckets)
     inside = Window.partitionBy("_range").orderBy(order).rowsBetween(*_SO_FAR)
     everything = Window.partitionBy("_key")
     before = everything.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -263,7 +258,7 @@ def rank_cuts(
     part = ranged(rows.select(*key, order), key, 1)
     counts = part.groupBy(*key, "_range").agg(F.count(F.lit(1)).alias("_n"))
     targets, largest = held(counts, key)
-    near = part.join(targets, [*key, "_range"])
+    near = join_null_safe(part, targets, [*key, "_range"])
     level, cuts = 1, [*key, "cut"]
     while largest > SORTED_ROWS and not (digits and digits * level >= HASH_LENGTH):
         level += 1
@@ -273,7 +268,7 @@ def rank_cuts(
             F.count(F.lit(1)).alias("_n"), F.max("_goal").alias("_k")
         )
         targets, largest = held(counts, cuts)
-        near = part.drop("_goal").join(targets, [*cuts, "_range"])
+        near = join_null_safe(part.drop("_goal"), targets, [*cuts, "_range"])
     place = Window.partitionBy(*key, "cut").orderBy(order)
     return (
         near.withColumn("_place", F.row_number().over(place))

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from twinframe.functions.scalars import present
 from twinframe.operators.lookup import lookup
 from twinframe.operators.profile import index_levels, level_counts
 from twinframe.session import fits_broadcast, materialize
@@ -87,13 +88,18 @@ class Moments:
     scale: dict[str, float]
 
     def score(self, name: str):
-        value = F.col(f"`{name}`").cast("double")
-        return (value - F.lit(self.mean[name])) / F.lit(self.scale[name])
+        return (_known(name) - F.lit(self.mean[name])) / F.lit(self.scale[name])
+
+
+def _known(name: str):
+    """A number as double; NaN counts as null."""
+    value = F.col(f"`{name}`").cast("double")
+    return F.when(present(value), value)
 
 
 def fit_moments(rows: DataFrame, numeric: Sequence[str]) -> Moments:
     flat = rows.agg(
-        *[f(F.col(f"`{c}`").cast("double")) for c in numeric for f in (F.avg, F.stddev_pop)]
+        *[f(_known(c)) for c in numeric for f in (F.avg, F.stddev_pop)]
     ).first()
     pairs = {c: (flat[2 * i], flat[2 * i + 1]) for i, c in enumerate(numeric)}
     return Moments(

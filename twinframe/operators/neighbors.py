@@ -23,9 +23,9 @@ from twinframe.operators.sampling import sample_sides
 from twinframe.session import materialize
 
 #: Distinct vectors per block, of pool and of queries: at most BLOCK, and fewer (down
-#: to MIN_BLOCK) when a table beyond one block would not keep all cores busy.
+#: to MIN_BLOCK) when a table would not keep all cores busy.
 BLOCK = 4096
-MIN_BLOCK = 512
+MIN_BLOCK = 128
 MAX_PIVOTS = 1024
 
 #: Rows of one distance tile.
@@ -45,9 +45,10 @@ def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
 
     ``members`` are the ``keep`` smallest (id, side); the row_number limit is
     applied before the shuffle, so a hot vector sends few rows per task.
-    ``vec`` is the smallest id, which names the vector.
+    ``vec`` numbers the vectors; callers materialize the result, which fixes it.
+    A row is told apart by side and id, since both sides may use the same ids.
     """
-    order = Window.partitionBy("z").orderBy("id")
+    order = Window.partitionBy("z").orderBy("id", "side")
     members = (
         rows.select("z", "id", "side")
         .withColumn("_place", F.row_number().over(order))
@@ -60,13 +61,11 @@ def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
         F.count_if(F.col("side") == "synth").alias("n_synth"),
     )
     return members.join(sizes, "z").select(
-        F.col("members")[0]["id"].alias("vec"), "z", "n_real", "n_synth", "members"
+        F.monotonically_increasing_id().alias("vec"), "z", "n_real", "n_synth", "members"
     )
 
 
 def _block_size(pool: DataFrame, size: int) -> int:
-    if size <= BLOCK:
-        return BLOCK
     per_core = size // (2 * pool.sparkSession.sparkContext.defaultParallelism)
     return max(min(MIN_BLOCK, BLOCK), min(BLOCK, per_core))
 
@@ -139,7 +138,7 @@ def _search(queries: DataFrame, pool: DataFrame, k: int, skip_self: bool) -> Dat
             query, dist = np.repeat(query, times), np.repeat(away[query, vector], times)
             place = np.arange(len(query)) - np.repeat(np.cumsum(times) - times, times)
             member = np.repeat(starts[vector], times) + place
-            order = np.lexsort((ids[member], dist, query))
+            order = np.lexsort((synth[member], ids[member], dist, query))
             query, dist, member = query[order], dist[order], member[order]
             rank = np.arange(len(query)) - np.searchsorted(query, query, side="left")
             kept = rank < k
@@ -163,7 +162,7 @@ def _search(queries: DataFrame, pool: DataFrame, k: int, skip_self: bool) -> Dat
 
 def _merge(found: DataFrame, k: int) -> DataFrame:
     """The ``k`` best over all blocks of a query, as one array."""
-    order = Window.partitionBy("query").orderBy("dist", "neighbor")
+    order = Window.partitionBy("query").orderBy("dist", "neighbor", "synth")
     side = F.when(F.col("synth"), "synth").otherwise("real")
     return (
         found.withColumn("_place", F.row_number().over(order))
@@ -319,9 +318,9 @@ def _rows(table: DataFrame, id: str, vector: str) -> DataFrame:
 
 
 def knn_pooled(pair: DataFrame, id: str, k: int = 5, vector: str = "z") -> DataFrame:
-    """``(id, rank, neighbor, dist, same_side)``: k nearest others in the pooled pair.
+    """``(id, side, rank, neighbor, dist, same_side)``: k nearest others in the pooled pair.
 
-    A row is told apart from its copies by id, never by position.
+    A row is told apart from its copies by side and id, never by position.
     """
     rows = _rows(pair, id, vector)
     vectors = materialize(distinct_vectors(rows, k + 1))
@@ -329,10 +328,13 @@ def knn_pooled(pair: DataFrame, id: str, k: int = 5, vector: str = "z") -> DataF
     answers = vectors.select("vec", "z").join(found, F.col("vec") == F.col("query")).select(
         "z", "near"
     )
-    others = F.slice(F.filter("near", lambda m: m["neighbor"] != F.col("id")), 1, k)
+    others = F.slice(F.filter(
+        "near", lambda m: (m["neighbor"] != F.col("id")) | (m["side"] != F.col("side"))
+    ), 1, k)
     listed = _to_rows(rows, answers).select("id", "side", F.posexplode(others).alias("_r", "_m"))
     return listed.select(
         F.col("id").alias(id),
+        "side",
         (F.col("_r") + 1).alias("rank"),
         F.col("_m.neighbor").alias("neighbor"),
         F.col("_m.dist").alias("dist"),
@@ -386,7 +388,10 @@ def snn_scores(vectors: DataFrame, found: DataFrame, k: int) -> DataFrame:
             F.lit(0.0),
             lambda t, o: t
             + share(
-                F.slice(F.filter("near", lambda m: m["neighbor"] != o["neighbor"]), 1, k), F.lit(side)
+                F.slice(
+                    F.filter("near", lambda m: (m["neighbor"] != o["neighbor"]) | (m["side"] != side)), 1, k
+                ),
+                F.lit(side),
             ),
         )
         return listed + (F.col(count) - F.size(own)) * share(first, F.lit(side))
@@ -477,18 +482,18 @@ def _encoded(pair, id, numeric, categorical, subsample, seed) -> DataFrame:
 
 def snn(
     pair: DataFrame, id: str, numeric: Sequence[str], categorical: Sequence[str],
-    k: int = 5, subsample: int | None = 5000, seed: int = 42,
+    k: int = 5, subsample: int | None = None, seed: int = 42,
 ) -> DataFrame:
     """Share of a record's k nearest that come from the other side; 1/2 is perfect mixing.
 
-    ``subsample`` bounds each side as a sampling option; None compares all rows.
+    All rows are compared unless the caller asks for ``subsample`` rows per side.
     """
     return snn_of_vectors(_encoded(pair, id, numeric, categorical, subsample, seed), id, k)
 
 
 def dcr(
     pair: DataFrame, id: str, numeric: Sequence[str], categorical: Sequence[str],
-    subsample: int | None = 5000, seed: int = 42,
+    subsample: int | None = None, seed: int = 42,
 ) -> DataFrame:
     """Distance from synthetic records to their closest real record."""
     return dcr_of_vectors(_encoded(pair, id, numeric, categorical, subsample, seed), id)
@@ -496,7 +501,7 @@ def dcr(
 
 def inter_record(
     pair: DataFrame, id: str, numeric: Sequence[str], categorical: Sequence[str],
-    k: int = 5, subsample: int | None = 5000, seed: int = 42,
+    k: int = 5, subsample: int | None = None, seed: int = 42,
 ) -> DataFrame:
     """Both record-level metrics as long ``(family, metric, value)`` rows, encoded once."""
     encoded = _encoded(pair, id, numeric, categorical, subsample, seed)

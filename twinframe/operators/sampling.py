@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from twinframe.functions.scalars import hash_key
-from twinframe.operators.cumulative import rank_cuts
+from twinframe.operators.cumulative import rank_cuts, running_totals
 from twinframe.operators.lookup import lookup
 from twinframe.session import fits_broadcast, materialize
 
@@ -125,3 +125,17 @@ def labelled_union(real: DataFrame, synth: DataFrame) -> DataFrame:
     return real.withColumn("side", F.lit("real")).unionByName(
         synth.withColumn("side", F.lit("synth"))
     )
+
+
+def with_row_id(rows: DataFrame, name: str = "row_id") -> DataFrame:
+    """Number the rows 0..n-1 by content, for tables without a key.
+
+    The order is the md5 of all columns as text. Equal rows are counted before
+    anything is shuffled and numbered in turn, so reruns agree and a row with
+    many copies is no hot key.
+    """
+    counted = rows.groupBy(*[F.col(f"`{c}`") for c in rows.columns]).agg(F.count(F.lit(1)).alias("_copies"))
+    hashed = counted.withColumn("_all", F.lit(0)).withColumn("_at", hash_key(0, rows.columns))
+    placed = running_totals(hashed, ["_all"], "_at", ["_copies"])
+    numbers = F.sequence(F.col("cum__copies") - F.col("_copies"), F.col("cum__copies") - 1)
+    return placed.withColumn(name, F.explode(numbers)).select(name, *[F.col(f"`{c}`") for c in rows.columns])
