@@ -24,7 +24,7 @@ from twinframe.llm.text import buffers, mix, rolling, texts_of, word_hashes
 WINDOW = 13
 #: Fixed difference covers modulo their period; any two residues have a common shift into the cover.
 COVERS = {1: (0,), 3: (0, 1), 7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14)}
-LAST = np.iinfo(np.int64).max
+LAST = int(np.iinfo(np.int64).max)
 RESULT = "id long, kept string, n_words long, n_removed long"
 
 
@@ -73,7 +73,7 @@ def _joined(parts, kind):
 def _chunk(rows):
     """Texts and ids of a chunk in id order; a null id comes last."""
     rows = rows.sort_by("id")
-    ids = rows.column("id").to_pandas().fillna(LAST).to_numpy(np.int64) if rows.column("id").null_count else rows.column("id").to_numpy()
+    ids = rows.column("id").fill_null(LAST).to_numpy()
     return texts_of(rows.column("text")), ids, rows
 
 
