@@ -438,6 +438,34 @@ def knn_pooled(spark, folder):
     return _round_all(neighbors.knn_pooled(views.pair_vectors(spark, folder), "vec_id", 5).drop("side"))
 
 
+def knn_shared_ids(spark, folder):
+    """Neighbours where both sides number their rows from 0."""
+    pair = views.pair_vectors(spark, folder).withColumn("vec_id", F.expr("vec_id div 2"))
+    return _round_all(neighbors.knn_pooled(pair, "vec_id", 5))
+
+
+def row_id(spark, folder):
+    keyless = table(spark, folder, "orders").select("o_orderstatus", "o_orderpriority")
+    return sampling.with_row_id(keyless)
+
+
+def zscore_nan(spark, folder):
+    """Standard scores where every tenth order has no number and every hundredth a null."""
+    broken = F.when(F.col("l_orderkey") % 100 == 0, None).when(F.col("l_orderkey") % 10 == 0, float("nan"))
+    lines = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", broken.otherwise(F.col("l_quantity").cast("double")).alias("l_quantity"), F.lit("real").alias("side")
+    )
+    scored = features.zscore(lines, ["l_quantity"]).drop("side")
+    return _round_all(scored)
+
+
+def split_stratified_null(spark, folder):
+    """Stratified split where one label is null."""
+    label = F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority"))
+    orders = table(spark, folder, "orders").select("o_orderkey", label.alias("label"))
+    return sampling.split_stratified(orders, ORDER, "label")
+
+
 def dcr_nearest(spark, folder):
     return _round_all(neighbors.dcr_nearest(views.pair_vectors(spark, folder), "vec_id"))
 
@@ -537,7 +565,7 @@ def queries() -> dict[str, Query]:
         decode_numeric, decode_categorical, decode_rows, roundtrip_error,
         random_step, noise_schedule, forward_noise, denoise_loss, generator_moments, fit_generator, reverse_sample,
         synthesize, check_synthetic, baseline_marginals, baseline_mixture,
-        knn_pooled, dcr_nearest, dcr_leave_one_out,
+        knn_pooled, knn_shared_ids, row_id, zscore_nan, split_stratified_null, dcr_nearest, dcr_leave_one_out,
         detection, tstr, trtr, compare_methods, report_json,
     ]
     found: dict[str, Query] = {query.__name__: query for query in plain}

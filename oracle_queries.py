@@ -562,6 +562,18 @@ SELECT id AS vec_id, rank, neighbor, {r4('dist')} AS dist, side = other AS same_
 SELECT id AS vec_id, neighbor, {r4('dist')} AS dist FROM near"""
     sql["dcr_leave_one_out"] = f"""WITH {VECTORS}, {knn_cte('vec', VECTOR_DISTANCE, 1, "a.side = 'real' AND b.side = 'real'")}
 SELECT id AS vec_id, neighbor, {r4('dist')} AS dist FROM near"""
+    shared = VECTORS.strip().rstrip(",")
+    sql["knn_shared_ids"] = f"""WITH {shared}, {knn_cte('vec', VECTOR_DISTANCE, 5)}
+SELECT id // 2 AS vec_id, side, rank, neighbor // 2 AS neighbor, {r4('dist')} AS dist, side = other AS same_side FROM near"""
+    sql["row_id"] = f"""SELECT row_number() OVER (ORDER BY {hash_rank('o_orderstatus, o_orderpriority', '0')}) - 1 AS row_id,
+  o_orderstatus, o_orderpriority FROM orders"""
+    sql["zscore_nan"] = f"""WITH v AS (SELECT l_orderkey, l_linenumber,
+  CASE WHEN l_orderkey % 10 = 0 THEN NULL ELSE CAST(l_quantity AS DOUBLE) END AS q FROM lineitem),
+m AS (SELECT avg(q) AS m, stddev_pop(q) AS s FROM v)
+SELECT l_orderkey, l_linenumber, {r4('(q - m) / s')} AS l_quantity FROM v, m"""
+    sql["split_stratified_null"] = f"""WITH o AS (SELECT o_orderkey, nullif(o_orderpriority, '5-LOW') AS label FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {hash_rank('o_orderkey')}) AS rk, count(*) OVER (PARTITION BY label) AS n FROM o)
+SELECT o_orderkey, label, CASE WHEN rk <= ceil(n * 0.3) THEN 'test' ELSE 'train' END AS split FROM r"""
     mixed = f"WITH {HOUSEHOLD}, {mixed_ctes()}"
     snn = f"{knn_cte('mixed', MIXED_DISTANCE, 5)}, {SNN_CTES}"
     sql["snn"] = f"""{mixed}, {snn}

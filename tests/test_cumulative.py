@@ -5,11 +5,10 @@ from pyspark.sql import functions as F
 from twinframe.operators import cumulative
 
 
-@pytest.fixture(params=["plain", "ranges"])
+@pytest.fixture(params=["once", "refined"])
 def path(request, monkeypatch):
-    """Every ordered pass runs both below and above its size bounds."""
-    if request.param == "ranges":
-        monkeypatch.setattr(cumulative, "PLAIN_ROWS", 0)
+    """Every ordered pass runs both below and above the size that one task sorts."""
+    if request.param == "refined":
         monkeypatch.setattr(cumulative, "SORTED_ROWS", 3)
     return request.param
 

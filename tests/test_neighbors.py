@@ -114,3 +114,17 @@ def test_subsample_bounds_both_sides(spark, data):
     assert (got["n_real"], got["n_synth"]) == (30, 30)
     both = neighbors.inter_record(pair, "c_custkey", HOUSEHOLD_NUMERIC, HOUSEHOLD_CATEGORICAL).collect()
     assert {r["family"] for r in both} == {"snn", "dcr"} and len(both) == 14
+
+
+def test_both_sides_may_use_the_same_ids(spark, block):
+    points, _ = cloud(3, 120, 3, True)
+    sides = np.arange(120) % 2 == 1
+    apart = pair_of(spark, points, sides)
+    shared = apart.selectExpr("id div 2 as id", "side", "z")
+    assert neighbors.snn_of_vectors(shared, "id", 5).first() == neighbors.snn_of_vectors(apart, "id", 5).first()
+    assert neighbors.dcr_of_vectors(shared, "id").first() == neighbors.dcr_of_vectors(apart, "id").first()
+    d = np.sort(np.where(np.eye(120, dtype=bool), np.inf, np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))), axis=1)
+    got = neighbors.knn_pooled(shared, "id", 4).collect()
+    assert len(got) == 120 * 4
+    for r in got:
+        assert r["dist"] == pytest.approx(d[2 * r["id"] + (r["side"] == "synth"), r["rank"] - 1], abs=1e-12)

@@ -80,3 +80,13 @@ def test_label_codes_cover_all_values(spark):
     rows = spark.createDataFrame([(1, "n"), (2, "m"), (3, "n")], "id int, y string")
     got = {r["id"]: r["label"] for r in features.label_encode(rows, "y").collect()}
     assert got == {1: 1, 2: 0, 3: 1}
+
+
+def test_nan_counts_as_null_in_standard_scores(spark):
+    rows = [("real", float(v)) for v in (1, 2, 3)] + [("real", float("nan")), ("synth", 2.0), ("synth", None)]
+    found = features.zscore(spark.createDataFrame(rows, "side string, v double"), ["v"])
+    by_side = {"real": [], "synth": []}
+    for row in found.collect():
+        by_side[row["side"]].append(row["v"])
+    assert sorted(v for v in by_side["real"] if v is not None) == pytest.approx([-1.5**0.5, 0, 1.5**0.5])
+    assert by_side["real"].count(None) == 1 and by_side["synth"].count(None) == 1 and 0.0 in by_side["synth"]

@@ -55,7 +55,7 @@ def test_stratified_share_per_label_with_null(spark, looks):
     rows = spark.range(200).withColumn("y", label)
     split = sampling.split_stratified(rows, ["id"], "y")
     assert split.count() == 200
-    for row in split.where("y is not null").groupBy("y").agg(
+    for row in split.groupBy("y").agg(
         F.count_if(F.col("split") == "test").alias("t"), F.count(F.lit(1)).alias("n")
     ).collect():
         assert row["t"] == math.ceil(0.3 * row["n"])
@@ -71,3 +71,19 @@ def test_samples_do_not_depend_on_partitioning(spark):
     a = ids(sampling.sample_exact(spark.range(300).repartition(1), ["id"], 77))
     b = ids(sampling.sample_exact(spark.range(300).repartition(13), ["id"], 77))
     assert a == b
+
+
+def test_row_ids_number_rows_without_a_key(spark):
+    rows = [("x", None), (None, "x"), ("a", "b")] + [("c", "c")] * 5
+    table = spark.createDataFrame(rows, "a string, b string")
+    got = sorted(tuple(r) for r in sampling.with_row_id(table).fillna("").collect())
+    assert [r[0] for r in got] == list(range(8))
+    assert got == sorted(tuple(r) for r in sampling.with_row_id(table.repartition(5)).fillna("").collect())
+    assert sorted(r[1:] for r in got) == sorted((a or "", b or "") for a, b in rows)
+
+
+def test_hashes_tell_nulls_and_separators_apart(spark):
+    from twinframe.functions.scalars import hash_key
+
+    rows = spark.createDataFrame([(None, "x"), ("x", None), ("x:1", ""), ("x", "1:")], "a string, b string")
+    assert rows.select(hash_key(1, ["a", "b"]).alias("h")).distinct().count() == 4

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from twinframe.operators import cumulative, scores
+from twinframe.operators import scores
 
 
 def test_accuracy_and_macro_f1(spark):
@@ -12,9 +12,13 @@ def test_accuracy_and_macro_f1(spark):
     assert got["macro_f1"] == pytest.approx((2 / 3 + 2 / 3 + 0 + 0) / 4)
 
 
-@pytest.mark.parametrize("plain", [100_000, 0])
-def test_auc_counts_pairs_with_ties_at_half(spark, monkeypatch, plain):
-    monkeypatch.setattr(cumulative, "PLAIN_ROWS", plain)
+def test_auc_keeps_a_null_group(spark):
+    rows = [(None, 1, 0.9), (None, 0, 0.1), ("a", 1, 0.2), ("a", 0, 0.7)]
+    got = scores.roc_auc(spark.createDataFrame(rows, "g string, y int, score double"), by=["g"]).collect()
+    assert {r["g"]: r["auc"] for r in got} == {None: 1.0, "a": 0.0}
+
+
+def test_auc_counts_pairs_with_ties_at_half(spark):
     rng = np.random.default_rng(2)
     y, s = rng.integers(0, 2, 150), rng.integers(0, 9, 150) / 4.0
     rows = [(int(a), float(b)) for a, b in zip(y, s)]
