@@ -8,7 +8,8 @@ from twinframe.operators import cumulative, sampling
 
 
 def md5(seed, key):
-    return hashlib.md5(f"{seed}:{key}".encode()).hexdigest()
+    """The documented row order: every part with its length."""
+    return hashlib.md5(":".join(f"{len(str(p))}.{p}" for p in (seed, key)).encode()).hexdigest()
 
 
 @pytest.fixture(params=["one look", "several looks"])
