@@ -54,9 +54,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 CUSTOMER = ["c_custkey"]
 ORDER = ["o_orderkey"]
 
-#: Tree counts of the registered queries; the library's defaults are 200 and 500.
-QUERY_TREES = 5
-
 
 def _rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
     return df.withColumns({c: F.round(F.col(f"`{c}`"), d) for c, d in digits.items()})
@@ -489,7 +486,7 @@ def _records(metric, *options) -> Query:
 
 def detection(spark, folder):
     pair = views.pair_household(spark, folder)
-    return evaluate.run_detection(pair, CUSTOMER, HH_NUMERIC, HH_CATEGORICAL, trees=QUERY_TREES)
+    return evaluate.run_detection(pair, CUSTOMER, HH_NUMERIC, HH_CATEGORICAL)
 
 
 def _single_seed(score, target) -> Query:
@@ -501,7 +498,7 @@ def _single_seed(score, target) -> Query:
             split.where(F.col("split") == s).select(*HH_NUMERIC, *HH_CATEGORICAL)
             for s in ("train", "test")
         )
-        return score(train, test, HH_NUMERIC, HH_CATEGORICAL, target, 42, QUERY_TREES)
+        return score(train, test, HH_NUMERIC, HH_CATEGORICAL, target, 42, evaluate.UTILITY_TREES)
 
     return run
 
@@ -509,15 +506,14 @@ def _single_seed(score, target) -> Query:
 def tstr(spark, folder):
     rows, synth, _ = _synthetic(spark, folder)
     return evaluate.run_tstr(
-        rows, synth, CUSTOMER, HH_NUMERIC, HH_CATEGORICAL, "spend_quintile", "spend",
-        trees=QUERY_TREES,
+        rows, synth, CUSTOMER, HH_NUMERIC, HH_CATEGORICAL, "spend_quintile", "spend"
     )
 
 
 def trtr(spark, folder):
     rows = views.household_quintiles(spark, folder)
     return evaluate.run_trtr(
-        rows, CUSTOMER, HH_NUMERIC, HH_CATEGORICAL, "spend_quintile", "spend", trees=QUERY_TREES
+        rows, CUSTOMER, HH_NUMERIC, HH_CATEGORICAL, "spend_quintile", "spend"
     )
 
 

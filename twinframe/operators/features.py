@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -60,15 +60,21 @@ def label_encode(rows: DataFrame, target: str, name: str = "label") -> DataFrame
 def ordinal_encode(pair: DataFrame, categorical: Sequence[str]) -> DataFrame:
     """Replace levels by their text-order index among the real rows; -1 if unseen there."""
     real = pair.where(F.col("side") == "real")
-    dictionary = materialize(index_levels(level_counts(real, categorical)))
-    return _with_codes(pair, dictionary, categorical, fits_broadcast(dictionary))
+    dictionary = materialize(level_dictionary(real, categorical))
+    return with_codes(pair, dictionary, {c: c for c in categorical}, fits_broadcast(dictionary))
 
 
-def _with_codes(
-    rows: DataFrame, dictionary: DataFrame, categorical: Sequence[str], small: bool
+def level_dictionary(rows: DataFrame, categorical: Sequence[str]) -> DataFrame:
+    """Counted levels per column, null among them, numbered in text order."""
+    return index_levels(level_counts(rows, categorical))
+
+
+def with_codes(
+    rows: DataFrame, dictionary: DataFrame, names: Mapping[str, str], small: bool
 ) -> DataFrame:
-    for c in categorical:
-        entries = dictionary.where(F.col("column") == c).select(
+    """Replace levels by their numbers, -1 if unseen; ``names`` gives the dictionary's column of each."""
+    for c, entry in names.items():
+        entries = dictionary.where(F.col("column") == entry).select(
             F.col("level").alias("_level"), F.col("idx").alias("_idx")
         )
         text = rows.withColumn("_text", F.col(f"`{c}`").cast("string"))
@@ -127,7 +133,7 @@ def encode_mixed(
         moments = fit_moments(real, numeric)
         parts += [F.coalesce(moments.score(c), F.lit(0.0)) for c in numeric]
     if categorical:
-        dictionary = materialize(index_levels(level_counts(real, categorical)))
+        dictionary = materialize(level_dictionary(real, categorical))
         n, idx = F.col("n").cast("double"), F.col("idx").cast("double")
         mean = F.sum(n * idx) / F.sum(n)
         found = {
@@ -137,7 +143,7 @@ def encode_mixed(
                  F.max("k").alias("k"))
             .collect()
         }
-        rows = _with_codes(rows, dictionary, categorical, fits_broadcast(dictionary))
+        rows = with_codes(rows, dictionary, {c: c for c in categorical}, fits_broadcast(dictionary))
         for c in categorical:
             if c not in found:
                 parts.append(F.col(f"`{c}`").cast("double"))

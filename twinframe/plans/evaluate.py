@@ -1,21 +1,23 @@
 """Score a synthetic table: fidelity, detection, utility; and compare methods.
 
 Results are long ``(method, family, metric, column, mean, std)`` rows.  Trees are
-Spark ML's; their number is a parameter because it sets the cost.
+Spark ML's forests: all trees grow level by level in the same few passes, where as
+many boosted trees would read the rows once per tree and level.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml import Model
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
-from twinframe.operators.features import level_list
+from twinframe.operators.features import level_dictionary, with_codes
 from twinframe.operators.fidelity import fidelity_summary
 from twinframe.operators.sampling import (
     SEEDS,
@@ -32,52 +34,67 @@ from twinframe.operators.scores import (
     roc_auc,
     seed_summary,
 )
-from twinframe.session import ensure_checkpoint_dir, materialize
+from twinframe.session import fits_broadcast, materialize
 
 DETECTION_TREES = 200
 UTILITY_TREES = 500
 DEPTH = 6
-RATE = 0.05
-NULL_LEVEL = "\x00null"
 
 
-def _text(rows: DataFrame, categorical: Sequence[str]) -> DataFrame:
-    return rows.withColumns(
-        {c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(NULL_LEVEL)) for c in categorical}
-    )
+@dataclass(frozen=True)
+class FeatureModel:
+    """Numbers, then one-hot levels as one sparse vector, whatever the number of levels."""
 
+    numeric: Sequence[str]
+    categorical: Sequence[str]
+    dictionary: DataFrame | None
+    small: bool
+    one_hot: Model | None
 
-def feature_pipeline(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str]):
-    """One-hot and assemble; fitted on all frames together, so widths always agree."""
-    level_list(rows, categorical)  # bounds the width before levels reach the driver
-    index = [f"_i{i}" for i in range(len(categorical))]
-    hot = [f"_h{i}" for i in range(len(categorical))]
-    stages = []
-    if categorical:
-        stages = [
-            StringIndexer(inputCols=list(categorical), outputCols=index, handleInvalid="keep",
-                          stringOrderType="alphabetAsc"),
-            OneHotEncoder(inputCols=index, outputCols=hot, dropLast=False, handleInvalid="keep"),
+    def _inputs(self, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
+        # trees cannot split on a missing value; it goes left of all others
+        values = [
+            F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(-1.7976931348623157e308)).alias(f"_v{i}")
+            for i, c in enumerate(self.numeric)
         ]
-    # trees cannot split on a missing value; it goes left of all others
-    values = [f"_v{i}" for i in range(len(numeric))]
-    stages.append(VectorAssembler(inputCols=[*values, *hot], outputCol="features"))
-    prepared = _with_values(_text(rows, categorical), numeric)
-    return Pipeline(stages=stages).fit(prepared)
-
-
-def _with_values(rows: DataFrame, numeric: Sequence[str]) -> DataFrame:
-    return rows.withColumns(
-        {
-            f"_v{i}": F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(-1.7976931348623157e308))
-            for i, c in enumerate(numeric)
-        }
+        levels = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(self.categorical)]
+        plain = rows.select(*[f"`{c}`" for c in keep], *values, *levels)
+        if self.dictionary is None:
+            return plain
+        names = {f"_c{i}": c for i, c in enumerate(self.categorical)}
+        return with_codes(plain, self.dictionary, names, self.small)
+
+    def transform(self, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
+        coded = self._inputs(rows, keep)
+        parts = [f"_v{i}" for i in range(len(self.numeric))]
+        if self.one_hot is not None:
+            coded = self.one_hot.transform(coded)
+            parts += [f"_h{i}" for i in range(len(self.categorical))]
+        assembled = VectorAssembler(inputCols=parts, outputCol="features").transform(coded)
+        return assembled.select(*[f"`{c}`" for c in keep], "features")
+
+
+def fit_features(
+    rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str]
+) -> FeatureModel:
+    """Fitted on all frames together, so widths always agree.
+
+    Levels are numbered in a dictionary table, which is broadcast only when its
+    measured size allows; none of them reaches the driver.  Null is a level.
+    """
+    if not categorical:
+        return FeatureModel(numeric, categorical, None, True, None)
+    dictionary = materialize(level_dictionary(rows, categorical))
+    width = range(len(categorical))
+    # the encoder reads only the highest code of each column
+    highest = {r["column"]: r["idx"] for r in dictionary.groupBy("column").agg(F.max("idx").alias("idx")).collect()}
+    ends = rows.sparkSession.range(1).select(
+        *[F.lit(float(highest.get(c, 0))).alias(f"_c{i}") for i, c in enumerate(categorical)]
     )
-
-
-def _features(pipeline, rows: DataFrame, numeric, categorical, keep: Sequence[str]) -> DataFrame:
-    prepared = _with_values(_text(rows, categorical), numeric)
-    return pipeline.transform(prepared).select(*keep, "features")
+    one_hot = OneHotEncoder(
+        inputCols=[f"_c{i}" for i in width], outputCols=[f"_h{i}" for i in width], dropLast=False
+    ).fit(ends)
+    return FeatureModel(numeric, categorical, dictionary, fits_broadcast(dictionary), one_hot)
 
 
 def _rows(summary: DataFrame, method: str, family: str) -> DataFrame:
@@ -122,19 +139,16 @@ def run_detection(
     trees: int = DETECTION_TREES,
 ) -> DataFrame:
     """How well a classifier tells synthetic from real rows; 1/2 is indistinguishable."""
-    ensure_checkpoint_dir(pair.sparkSession)
     even = materialize(balanced_pair(pair, ids, seed))
-    pipeline = feature_pipeline(even, numeric, categorical)
-    label = F.when(F.col("side") == "synth", 1.0).otherwise(0.0)
-    rows = even.withColumn("y", label)
+    features = fit_features(even, numeric, categorical)
+    rows = even.withColumn("y", F.when(F.col("side") == "synth", 1.0).otherwise(0.0))
     scores = []
     for s in seeds:
         split = materialize(
-            _features(pipeline, split_stratified(rows, ids, "side", s), numeric, categorical,
-                      ["y", "split"])
+            features.transform(split_stratified(rows, ids, "side", s), ["y", "split"])
         )
-        model = GBTClassifier(
-            labelCol="y", maxIter=trees, maxDepth=DEPTH, stepSize=RATE, seed=s, checkpointInterval=10
+        model = RandomForestClassifier(
+            labelCol="y", numTrees=trees, maxDepth=DEPTH, seed=s
         ).fit(split.where("split = 'train'"))
         tested = materialize(
             model.transform(split.where("split = 'test'")).select(
@@ -157,15 +171,15 @@ def score_classification(
     numeric = [c for c in numeric if c != target]
     categorical = [c for c in categorical if c != target]
     both = train.unionByName(test)
-    pipeline = feature_pipeline(both, numeric, categorical)
+    features = fit_features(both, numeric, categorical)
     labels = StringIndexer(
         inputCol="_target", outputCol="y", stringOrderType="alphabetAsc", handleInvalid="keep"
     ).fit(_target(both, target))
     encode = lambda rows: labels.transform(
-        _features(pipeline, _target(rows, target), numeric, categorical, ["_target"])
+        features.transform(_target(rows, target), ["_target"])
     )
     model = RandomForestClassifier(
-        labelCol="y", numTrees=trees, maxDepth=DEPTH, seed=seed, checkpointInterval=10
+        labelCol="y", numTrees=trees, maxDepth=DEPTH, seed=seed
     ).fit(materialize(encode(train)))
     tested = model.transform(encode(test)).select("y", F.col("prediction").alias("yhat"))
     return long_scores(classification_metrics(tested), ["accuracy", "macro_f1"], [])
@@ -178,16 +192,14 @@ def _target(rows: DataFrame, target: str) -> DataFrame:
 def score_regression(
     train: DataFrame, test: DataFrame, numeric, categorical, target: str, seed: int, trees: int
 ) -> DataFrame:
-    """``(metric, value)``: RMSE and R2 of boosted trees fitted on ``train``."""
+    """``(metric, value)``: RMSE and R2 of trees fitted on ``train``."""
     numeric = [c for c in numeric if c != target]
     categorical = [c for c in categorical if c != target]
-    pipeline = feature_pipeline(train.unionByName(test), numeric, categorical)
+    features = fit_features(train.unionByName(test), numeric, categorical)
     value = F.col(f"`{target}`").cast("double")
-    encode = lambda rows: _features(
-        pipeline, rows.withColumn("y", value), numeric, categorical, ["y"]
-    )
-    model = GBTRegressor(
-        labelCol="y", maxIter=trees, maxDepth=DEPTH, stepSize=RATE, seed=seed, checkpointInterval=10
+    encode = lambda rows: features.transform(rows.withColumn("y", value), ["y"])
+    model = RandomForestRegressor(
+        labelCol="y", numTrees=trees, maxDepth=DEPTH, seed=seed
     ).fit(materialize(encode(train)))
     tested = model.transform(encode(test)).select("y", F.col("prediction").alias("yhat"))
     return long_scores(regression_metrics(tested), ["rmse", "r2"], [])
@@ -204,7 +216,6 @@ def _utility(
     seeds: Sequence[int],
     trees: int,
 ) -> DataFrame:
-    ensure_checkpoint_dir(real.sparkSession)
     columns = [F.col(f"`{c}`") for c in dict.fromkeys([*numeric, *categorical])]
     scores = []
     for seed in seeds:
