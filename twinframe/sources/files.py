@@ -35,6 +35,13 @@ def nested_record(results: DataFrame) -> DataFrame:
     )
 
 
+def record_rows(records: DataFrame) -> DataFrame:
+    """The metric rows of :func:`nested_record`."""
+    entry = "struct<family:string,metric:string,column:string,mean:double,std:double>"
+    parsed = F.from_json("record", f"metrics array<{entry}>")
+    return records.select("method", F.inline(parsed["metrics"]))
+
+
 def write_report(results: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write metric rows as JSON lines, one folder per method."""
     results.write.mode(mode).partitionBy("method").json(path)
