@@ -195,7 +195,11 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def near_duplicates_dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose id is the smallest of its near-duplicate group; rows of null id stay."""
+    """Rows of ``docs`` whose id is the smallest of its near-duplicate group, with all their columns.
+
+    Rows of one id are one document and stay or go together; rows of null id
+    stay. An empty table gives an empty table.
+    """
     groups = simhash_components(docs, id_col, text_col)
     dropped = groups.where("id <> component").select(F.col("id").alias(id_col)).distinct()
     return docs.join(dropped, id_col, "left_anti")

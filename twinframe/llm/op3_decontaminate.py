@@ -194,7 +194,7 @@ def contaminated_dropped(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", window: int = WINDOW, slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
-    """Rows of ``docs`` without a hit word, with all their columns."""
+    """Rows of ``docs`` without a hit word, with all their columns; null and wordless texts stay."""
     for held in _slices(benchmark, item_col, item_text_col, slice_bytes):
         docs = docs.mapInArrow(_dropper(held, window, text_col), docs.schema)
     return docs

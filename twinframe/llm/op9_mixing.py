@@ -194,14 +194,17 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """Rows of ``docs`` as often as the mix takes them, to the nearest whole row; all columns are kept.
 
     Rows that give less than half of their words go, and so do texts without words.
+    Rows of equal id and text share one number of copies. Columns may have any
+    names; an empty table gives an empty table.
     """
     shares = mix(docs, id_col, text_col, source_col).where("size > 0")
     copies = shares.groupBy("id", "tie").agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("copies"))
-    held = docs.withColumn("_tie", F.xxhash64(text_col)).join(
-        copies.where("copies > 0"), docs[id_col].eqNullSafe(F.col("id")) & (F.col("_tie") == F.col("tie"))
-    )
-    repeated = held.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return repeated.select(*[docs[c] for c in docs.columns])
+    held = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+        F.col(id_col).alias("doc_id"),
+        F.xxhash64(text_col).alias("doc_tie"),
+    ).join(copies.where("copies > 0"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("doc_tie") == F.col("tie")))
+    return held.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
