@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinframe.llm import near_copies, op3_decontaminate, op6_records, op7_language, op9_mixing
+from twinframe.llm import op3_decontaminate, op6_records, op7_language, op9_mixing, op10_simhash
 from twinframe.session import shared_folder
 
 
@@ -16,8 +16,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of every group of near copies: 5-word shingles, Jaccard similarity of 0.8 or more."""
-    return near_copies.near_copies_dropped(docs)
+    """The document of smallest id of every group of fingerprints: 3-word shingles, at most 3 differing bits."""
+    return op10_simhash.near_duplicates_dropped(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
