@@ -323,6 +323,8 @@ def spelling_groups(
     rows: see ``word_counts``. Other columns are not read; an empty table gives
     an empty table.
     """
+    if lead <= 1:
+        raise ValueError("a form must have more uses than its word, or forms could run in a circle")
     words = materialize(word_counts(docs, id_col, text_col, divisor, letters, uses))
     near = materialize(near_words(words).withColumn("formed", F.col("best_n") >= lead * F.col("n")))
     followed = roots(near.where("formed").select("word", F.col("best").alias("form")))
