@@ -18,6 +18,7 @@ import oracle_queries  # noqa: E402
 from twinframe.functions.normal import with_probit  # noqa: E402
 from twinframe.functions.scalars import hash_key, hash_uniform  # noqa: E402
 from twinframe.operators import (  # noqa: E402
+    approx_neighbors,
     cumulative,
     diffusion,
     encoder,
@@ -435,6 +436,12 @@ def knn_pooled(spark, folder):
     return _round_all(neighbors.knn_pooled(views.pair_vectors(spark, folder), "vec_id", 5).drop("side"))
 
 
+def knn_approx(spark, folder):
+    """Approximate neighbours with the recall that was measured."""
+    found = approx_neighbors.knn_approx(views.pair_vectors(spark, folder), "vec_id", 5)
+    return _rounded(found.drop("side"), {"dist": 4, "recall": 4})
+
+
 def knn_shared_ids(spark, folder):
     """Neighbours where both sides number their rows from 0."""
     pair = views.pair_vectors(spark, folder).withColumn("vec_id", F.expr("vec_id div 2"))
@@ -584,7 +591,7 @@ def queries() -> dict[str, Query]:
         decode_numeric, decode_categorical, decode_rows, roundtrip_error,
         random_step, noise_schedule, forward_noise, denoise_loss, generator_moments, fit_generator, reverse_sample,
         synthesize, check_synthetic, baseline_marginals, baseline_mixture,
-        knn_pooled, knn_shared_ids, row_id, zscore_nan, split_stratified_null, dcr_nearest, dcr_leave_one_out,
+        knn_pooled, knn_approx, knn_shared_ids, row_id, zscore_nan, split_stratified_null, dcr_nearest, dcr_leave_one_out,
         detection, tstr, trtr, compare_methods, compare_views, run_all, report_json, report_rows,
     ]
     found: dict[str, Query] = {query.__name__: query for query in plain}

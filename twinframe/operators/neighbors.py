@@ -328,6 +328,11 @@ def knn_pooled(pair: DataFrame, id: str, k: int = 5, vector: str = "z") -> DataF
     answers = vectors.select("vec", "z").join(found, F.col("vec") == F.col("query")).select(
         "z", "near"
     )
+    return listed(rows, answers, id, k)
+
+
+def listed(rows: DataFrame, answers: DataFrame, id: str, k: int) -> DataFrame:
+    """One row per row and neighbour from ``answers`` (z, near), the row itself left out."""
     others = F.slice(F.filter(
         "near", lambda m: (m["neighbor"] != F.col("id")) | (m["side"] != F.col("side"))
     ), 1, k)
