@@ -16,6 +16,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from twinframe.functions.scalars import count_not_above
+from twinframe.operators.ranges import values_at_ranks
 from twinframe.session import default_buckets, materialize
 
 SAMPLE_PER_BUCKET = 16
@@ -128,80 +129,49 @@ def exact_quantiles(rows: DataFrame, probabilities: Sequence[float]) -> DataFram
 
     ``n`` is an optional weight (repetitions).  Returns ``(column, p, value)``.
     """
-    weight = F.sum("n") if "n" in rows.columns else F.count(F.lit(1))
-    ranked = running_totals(value_counts(rows, {"n": weight}), ["column"], "value", ["n"])
     targets = F.array(*[F.lit(float(p)) for p in probabilities])
-    position = (F.col("total_n") - 1) * F.col("p")
-    at = ranked.withColumn("p", F.explode(targets)).withColumns(
+    place = lambda p: F.floor((F.col("total") - 1) * p)
+    sized, found = _at_ranks(rows, F.flatten(F.transform(targets, lambda p: F.array(place(p), place(p) + 1))))
+    position = (F.col("total") - 1) * F.col("p")
+    at = sized.withColumn("p", F.explode(targets)).withColumns(
         {"_low": F.floor(position), "_part": position - F.floor(position)}
     )
-    first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
-    hits = at.select(
-        "column",
-        "p",
-        "_part",
-        F.when(F.col("_low").between(first, last), F.col("value")).alias("_lower"),
-        F.when((F.col("_low") + 1).between(first, last), F.col("value")).alias("_upper"),
-    ).where("_lower IS NOT NULL OR _upper IS NOT NULL")
-    return (
-        hits.groupBy("column", "p")
-        .agg(F.max("_part").alias("_part"), F.max("_lower").alias("_l"), F.max("_upper").alias("_u"))
-        .select("column", "p", (F.col("_l") + F.coalesce(F.col("_u") - F.col("_l"), F.lit(0.0))
-                                * F.col("_part")).alias("value"))
-    )
+    return _interpolated(at, found).select("column", "p", "value")
+
+
+def _at_ranks(rows: DataFrame, wanted: Column) -> tuple[DataFrame, DataFrame]:
+    """Sizes ``(column, total)`` of long rows, and their values at the wanted ranks."""
+    weighted = rows if "n" in rows.columns else rows.withColumn("n", F.lit(1).cast("long"))
+    sizes, found = values_at_ranks(weighted.where("n > 0"), F.array_distinct(wanted))
+    return sizes, materialize(found)
+
+
+def _interpolated(at: DataFrame, found: DataFrame) -> DataFrame:
+    """Replace ``_low`` and ``_part`` of every row by the value between its two ranks."""
+    lower = found.select("column", F.col("rank").alias("_low"), F.col("value").alias("_l"))
+    upper = found.select("column", (F.col("rank") - 1).alias("_low"), F.col("value").alias("_u"))
+    step = F.when(F.col("_part") > 0, (F.col("_u") - F.col("_l")) * F.col("_part")).otherwise(0.0)
+    joined = at.join(lower, ["column", "_low"]).join(upper, ["column", "_low"], "left")
+    return joined.withColumn("value", F.col("_l") + F.coalesce(step, F.lit(0.0))).drop("_low", "_part", "_l", "_u")
 
 
 def quantile_grid(rows: DataFrame, points: int = 2000) -> DataFrame:
     """Exact quantiles of long ``(column, value)`` rows at evenly spaced probabilities.
 
     ``min(rows, points)`` references per column.  Equal references collapse into
-    one row ``(column, value, p_min, p_max)``.  Which references a value covers
-    follows from its ranks by integer arithmetic, so no rank is joined.
+    one row ``(column, value, p_min, p_max)``.
     """
-    ranked = running_totals(value_counts(rows), ["column"], "value", ["n"])
-    sized = ranked.select(
-        "column",
-        "value",
-        (F.col("cum_n") - F.col("n")).alias("_first"),
-        F.col("cum_n").alias("_next"),
-        (F.col("total_n") - 1).alias("_span"),
-        (F.least(F.col("total_n"), F.lit(points)) - 1).alias("_cells"),
-    )
-    # reference j sits at rank j*span/cells; it lies in [first, next) for the j below
-    def from_rank(rank: str) -> str:
-        return f"(({rank}) * _cells + _span - 1) div greatest(_span, 1L)"
-
-    def covered(shift: int) -> Column:
-        low = f"greatest(0L, {from_rank(f'greatest(_first - {shift}, 0L)')})"
-        high = f"least(_cells, {from_rank(f'_next - {shift}')} - 1)"
-        return F.expr(
-            f"CASE WHEN _span = 0 THEN array(0L) WHEN _next > {shift} AND {low} <= {high} THEN sequence({low}, {high}) END"
-        )
-
-    # a value may be the lower neighbour of some references and the upper of others
-    roles = F.concat(
-        F.transform(F.coalesce(covered(0), F.array().cast("array<bigint>")),
-                    lambda j: F.struct(j.alias("j"), F.lit(True).alias("lower"))),
-        F.transform(F.coalesce(covered(1), F.array().cast("array<bigint>")),
-                    lambda j: F.struct(j.alias("j"), F.lit(False).alias("lower"))),
-    )
-    spread = sized.select("column", "value", "_span", "_cells", F.inline(roles))
-    part = F.expr("((j * _span) % greatest(_cells, 1L)) / cast(greatest(_cells, 1L) as double)")
-    references = (
-        spread.groupBy("column", "j")
-        .agg(F.max(F.when(F.col("lower"), F.col("value"))).alias("_l"),
-             F.max(F.when(~F.col("lower"), F.col("value"))).alias("_u"),
-             F.max("_span").alias("_span"), F.max("_cells").alias("_cells"))
-        .select(
-            "column",
-            "j",
-            "_cells",
-            (F.col("_l") + F.when(part > 0, (F.col("_u") - F.col("_l")) * part).otherwise(0.0))
-            .alias("value"),
-        )
+    # reference j sits at rank j*span/cells, between two whole ranks
+    cells = F.least(F.col("total"), F.lit(points)) - 1
+    span, parts = F.col("total") - 1, F.greatest(cells, F.lit(1))
+    rank = lambda j: ((j * span - j * span % parts) / parts).cast("long")
+    every = F.sequence(F.lit(0).cast("long"), cells)
+    sized, found = _at_ranks(rows, F.flatten(F.transform(every, lambda j: F.array(rank(j), rank(j) + 1))))
+    at = sized.withColumn("_cells", parts).withColumn("j", F.explode(every)).withColumns(
+        {"_low": rank(F.col("j")), "_part": F.col("j") * span % F.col("_cells") / F.col("_cells")}
     )
-    scale = F.greatest(F.max("_cells"), F.lit(1)).cast("double")
-    return references.groupBy("column", "value").agg(
+    scale = F.max("_cells").cast("double")
+    return _interpolated(at, found).groupBy("column", "value").agg(
         (F.min("j") / scale).alias("p_min"), (F.max("j") / scale).alias("p_max")
     )
 

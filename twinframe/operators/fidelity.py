@@ -9,8 +9,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from twinframe.operators.cumulative import running_totals, value_counts
 from twinframe.operators.profile import long_levels, long_numeric
+from twinframe.operators.ranges import widest_gaps
 
 SERIES_TERMS = 100
 
@@ -28,16 +28,10 @@ def _side_counts(suffix: str = "") -> dict:
 
 def ks_two_sample(pair: DataFrame, numeric: Sequence[str]) -> DataFrame:
     """``(column, ks_stat, p_value)``; null when a side has no values."""
-    counts = value_counts(long_numeric(pair, numeric, ["side"]), _side_counts())
-    swept = running_totals(counts, ["column"], "value", ["real", "synth"])
-    gap = F.abs(
-        F.try_divide(F.col("cum_real"), F.col("total_real"))
-        - F.try_divide(F.col("cum_synth"), F.col("total_synth"))
-    )
-    widest = swept.groupBy("column").agg(
-        F.max(gap).alias("ks_stat"),
-        F.max("total_real").cast("double").alias("_n"),
-        F.max("total_synth").cast("double").alias("_m"),
+    is_side = {s: (F.col("side") == s) for s in ("real", "synth")}
+    gaps = widest_gaps(long_numeric(pair, numeric, ["side"]), is_side)
+    widest = gaps.select(
+        "column", F.col("gap").alias("ks_stat"), F.col("real").cast("double").alias("_n"), F.col("synth").cast("double").alias("_m")
     )
     size = F.try_divide(F.col("_n") * F.col("_m"), F.col("_n") + F.col("_m"))
     scaled = widest.withColumn("_x", F.col("ks_stat") * F.sqrt(size))
