@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twinframe.operators import encoder, lookup
+from twinframe.operators import encoder
 from twinframe.operators.encoder import EncoderState, decode, encode, fit_encoder
 from twinframe.sources.views import HOUSEHOLD_CATEGORICAL, HOUSEHOLD_NUMERIC
 
@@ -88,9 +88,8 @@ def test_unseen_level_and_null_number_become_null(spark):
 
 @pytest.mark.parametrize("small", [True, False])
 def test_roundtrip_keeps_categories_and_nearly_numbers(spark, household, monkeypatch, small):
-    """Also with a dictionary too large to broadcast, through the salted join."""
-    monkeypatch.setattr(encoder, "fits_broadcast", lambda df: small)
-    monkeypatch.setattr(lookup, "SALTS", 3)
+    """Also with a dictionary too large to broadcast, through the shuffled join."""
+    monkeypatch.setattr(encoder.EncoderState, "small", lambda self, column: small)
     state = fit_encoder(household, HOUSEHOLD_NUMERIC, HOUSEHOLD_CATEGORICAL)
     for mode in ("centers", "cells"):
         z = encode(household, state, ["c_custkey"], mode, 42, ["c_custkey"])

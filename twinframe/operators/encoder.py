@@ -35,7 +35,7 @@ from twinframe.functions.scalars import clip, hash_key, hash_uniform, round_half
 from twinframe.operators.cumulative import quantile_grid
 from twinframe.operators.lookup import lookup
 from twinframe.operators.profile import category_levels, long_numeric
-from twinframe.session import fits_broadcast, materialize
+from twinframe.session import groups_that_fit, materialize
 
 POINTS = 2000
 LATENT_LIMIT = 4.5
@@ -81,8 +81,13 @@ class EncoderState:
         return {r["column"]: r["k"] for r in sizes}
 
     @cached_property
-    def small_levels(self) -> bool:
-        return fits_broadcast(self.levels)
+    def small_levels(self) -> dict[str, bool]:
+        """Per categorical column: may its levels be broadcast?"""
+        return groups_that_fit(self.levels, "column")
+
+    def small(self, column: str) -> bool:
+        # a column without levels has nothing to send
+        return self.small_levels.get(column, True)
 
     def entries(self, column: str, *names) -> DataFrame:
         return self.levels.where(F.col("column") == column).select(
@@ -236,7 +241,7 @@ def encode_categorical(rows: DataFrame, state: EncoderState) -> DataFrame:
     """Replace levels by their centre; an unseen level becomes null."""
     for c in state.categorical:
         text = rows.withColumn(c, F.col(f"`{c}`").cast("string"))
-        found = lookup(text, state.entries(c, "center"), c, "_level", ["center"], state.small_levels)
+        found = lookup(text, state.entries(c, "center", "n"), c, "_level", ["center"], state.small(c), "n")
         rows = found.withColumn(c, F.col("center")).drop("center")
     return rows
 
@@ -275,7 +280,7 @@ def encode(
         entries = state.entries(c, "below", "n", "total")
         share = F.col("below") + hash_uniform(hash_key(seed, [*ids, F.lit(c)])) * F.col("n")
         scored = (
-            lookup(text, entries, "_text", "_level", ["below", "n", "total"], state.small_levels)
+            lookup(text, entries, "_text", "_level", ["below", "n", "total"], state.small(c), "n")
             .withColumn(f"_q{i}", share / F.col("total"))
             .drop("below", "n", "total", "_text")
         )
@@ -356,7 +361,7 @@ def decode_categorical(rows: DataFrame, state: EncoderState, mode: str = "center
         for i, c in enumerate(state.categorical):
             found = lookup(
                 rows, state.neighbours(c), f"_j{i}", "idx",
-                ["_level", "_center", "_next_level", "_next_center"], state.small_levels)
+                ["_level", "_center", "_next_level", "_next_center"], state.small(c))
             # equal distances go to the lower centre
             nearer = F.abs(F.col(f"_z{i}") - F.col("_next_center")) < F.abs(
                 F.col(f"_z{i}") - F.col("_center")
@@ -397,7 +402,7 @@ def _level_of_cell(rows: DataFrame, state: EncoderState, column: str, p: str) ->
             F.explode(F.sequence(slice_of(F.col("_from")), slice_of(F.col("_to")))).alias("_slice"),
         )
     )
-    if state.small_levels:
+    if state.small(column):
         cells = F.broadcast(cells)
     inside = (F.col(p) >= F.col("_from")) & (F.col(p) < F.col("_to"))
     spread = rows.withColumn("_cut", slice_of(F.col(p)))

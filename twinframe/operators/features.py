@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from twinframe.functions.scalars import present
 from twinframe.operators.lookup import lookup
 from twinframe.operators.profile import index_levels, level_counts
-from twinframe.session import fits_broadcast, materialize
+from twinframe.session import fits_broadcast, groups_that_fit, materialize
 
 #: A one-hot level becomes a column, so their number must suit a table's width.
 MAX_ONE_HOT = 10_000
@@ -61,7 +61,7 @@ def ordinal_encode(pair: DataFrame, categorical: Sequence[str]) -> DataFrame:
     """Replace levels by their text-order index among the real rows; -1 if unseen there."""
     real = pair.where(F.col("side") == "real")
     dictionary = materialize(level_dictionary(real, categorical))
-    return with_codes(pair, dictionary, {c: c for c in categorical}, fits_broadcast(dictionary))
+    return with_codes(pair, dictionary, {c: c for c in categorical}, groups_that_fit(dictionary, "column"))
 
 
 def level_dictionary(rows: DataFrame, categorical: Sequence[str]) -> DataFrame:
@@ -70,7 +70,7 @@ def level_dictionary(rows: DataFrame, categorical: Sequence[str]) -> DataFrame:
 
 
 def with_codes(
-    rows: DataFrame, dictionary: DataFrame, names: Mapping[str, str], small: bool
+    rows: DataFrame, dictionary: DataFrame, names: Mapping[str, str], small: Mapping[str, bool]
 ) -> DataFrame:
     """Replace levels by their numbers, -1 if unseen; ``names`` gives the dictionary's column of each."""
     for c, entry in names.items():
@@ -79,7 +79,7 @@ def with_codes(
         )
         text = rows.withColumn("_text", F.col(f"`{c}`").cast("string"))
         rows = (
-            lookup(text, entries, "_text", "_level", ["_idx"], small)
+            lookup(text, entries, "_text", "_level", ["_idx"], small.get(entry, True))
             .withColumn(c, F.coalesce("_idx", F.lit(-1)))
             .drop("_idx", "_text")
         )
@@ -143,7 +143,7 @@ def encode_mixed(
                  F.max("k").alias("k"))
             .collect()
         }
-        rows = with_codes(rows, dictionary, {c: c for c in categorical}, fits_broadcast(dictionary))
+        rows = with_codes(rows, dictionary, {c: c for c in categorical}, groups_that_fit(dictionary, "column"))
         for c in categorical:
             if c not in found:
                 parts.append(F.col(f"`{c}`").cast("double"))

@@ -34,7 +34,7 @@ from twinframe.operators.scores import (
     roc_auc,
     seed_summary,
 )
-from twinframe.session import fits_broadcast, materialize
+from twinframe.session import groups_that_fit, materialize
 
 DETECTION_TREES = 200
 UTILITY_TREES = 500
@@ -48,7 +48,7 @@ class FeatureModel:
     numeric: Sequence[str]
     categorical: Sequence[str]
     dictionary: DataFrame | None
-    small: bool
+    small: dict[str, bool]
     one_hot: Model | None
 
     def _inputs(self, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -94,7 +94,7 @@ def fit_features(
     one_hot = OneHotEncoder(
         inputCols=[f"_c{i}" for i in width], outputCols=[f"_h{i}" for i in width], dropLast=False
     ).fit(ends)
-    return FeatureModel(numeric, categorical, dictionary, fits_broadcast(dictionary), one_hot)
+    return FeatureModel(numeric, categorical, dictionary, groups_that_fit(dictionary, "column"), one_hot)
 
 
 def _rows(summary: DataFrame, method: str, family: str) -> DataFrame:

@@ -67,3 +67,19 @@ def fits_broadcast(
         .first()
     )
     return rows <= max_rows and size <= max_bytes
+
+
+def groups_that_fit(
+    df: DataFrame,
+    by: str,
+    max_rows: int = BROADCAST_MAX_ROWS,
+    max_bytes: int = BROADCAST_MAX_BYTES,
+) -> dict[str, bool]:
+    """Which groups of a (materialized) table may be broadcast: the smallest, while all of them fit together."""
+    sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("rows"), F.sum(_row_bytes(df)).alias("bytes")).collect()
+    rows = size = 0
+    found = {}
+    for group in sorted(sizes, key=lambda g: (g["bytes"], g[by])):
+        rows, size = rows + group["rows"], size + group["bytes"]
+        found[group[by]] = rows <= max_rows and size <= max_bytes
+    return found
