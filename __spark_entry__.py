@@ -228,6 +228,14 @@ def _fidelity(view) -> Query:
     )
 
 
+def ks_exact(spark, folder):
+    """KS of customer balances in pairs of nations, small enough for an exact p-value."""
+    customers = table(spark, folder, "customer").where("c_nationkey < 2")
+    side = F.when(F.col("c_nationkey") == 0, "real").otherwise("synth")
+    pair = materialize(customers.select("c_acctbal", F.col("c_custkey").cast("double").alias("c_custkey"), side.alias("side")))
+    return _rounded(fidelity.ks_two_sample(pair, ["c_acctbal", "c_custkey"]), {"ks_stat": 4, "p_value": 6})
+
+
 def corr_matrix(spark, folder):
     return _round_all(fidelity.corr_matrix(table(spark, folder, "lineitem"), LINE_NUMERIC))
 
@@ -424,6 +432,19 @@ def baseline_marginals(spark, folder):
     return generate.baseline_marginals(spark, state, rows.count())
 
 
+def baseline_resampled(spark, folder):
+    rows = materialize(views.household(spark, folder))
+    n = rows.count()
+    return generate.baseline_resampled(rows, CUSTOMER, HH_NUMERIC, ["c_mktsegment", "r_name"], n)
+
+
+def baseline_resampled_more(spark, folder):
+    """Five rows for every two real ones: values come two or three times."""
+    rows = materialize(views.household(spark, folder))
+    n = rows.count() * 5 // 2
+    return generate.baseline_resampled(rows, CUSTOMER, ["c_acctbal", "spend"], ["r_name"], n, 7)
+
+
 def baseline_mixture(spark, folder):
     rows, fitted = _generator(spark, folder, 2)
     return generate.baseline_mixture(spark, fitted, rows.count())
@@ -470,6 +491,14 @@ def split_stratified_null(spark, folder):
     return sampling.split_stratified(orders, ORDER, "label")
 
 
+def split_stratified_total(spark, folder):
+    """Stratified split whose total is exact; one label is null, one has a single order."""
+    priority = F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority"))
+    label = F.when(F.col("o_orderkey") == 7, "single").otherwise(priority)
+    orders = table(spark, folder, "orders").select("o_orderkey", label.alias("label"))
+    return sampling.split_stratified_total(orders, ORDER, "label")
+
+
 def dcr_nearest(spark, folder):
     return _round_all(neighbors.dcr_nearest(views.pair_vectors(spark, folder), "vec_id"))
 
@@ -584,14 +613,14 @@ def queries() -> dict[str, Query]:
         completeness, numeric_bounds, clip_columns, category_freq, category_levels, out_of_domain,
         head_n, train_summary, labelled_union, quantile_grid, probit_column,
         one_hot, label_encode, ordinal_encode, zscore, encode_mixed,
-        corr_matrix,
+        corr_matrix, ks_exact,
         sample_exact, split_train_val_test, split_by_seed, split_stratified, balanced_pair,
         classification_metrics, binary_metrics, seed_summary, roc_auc, regression_metrics,
         encoder_state, encode_numeric, encode_categorical, encode_rows, encode_rows_household, encode_cells,
         decode_numeric, decode_categorical, decode_rows, roundtrip_error,
         random_step, noise_schedule, forward_noise, denoise_loss, generator_moments, fit_generator, reverse_sample,
-        synthesize, check_synthetic, baseline_marginals, baseline_mixture,
-        knn_pooled, knn_approx, knn_shared_ids, row_id, zscore_nan, split_stratified_null, dcr_nearest, dcr_leave_one_out,
+        synthesize, check_synthetic, baseline_marginals, baseline_resampled, baseline_resampled_more, baseline_mixture,
+        knn_pooled, knn_approx, knn_shared_ids, row_id, zscore_nan, split_stratified_null, split_stratified_total, dcr_nearest, dcr_leave_one_out,
         detection, tstr, trtr, compare_methods, compare_views, run_all, report_json, report_rows,
     ]
     found: dict[str, Query] = {query.__name__: query for query in plain}

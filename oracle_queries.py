@@ -595,6 +595,47 @@ SELECT l_orderkey, l_linenumber, {r4('(q - m) / s')} AS l_quantity FROM v, m"""
     sql["split_stratified_null"] = f"""WITH o AS (SELECT o_orderkey, nullif(o_orderpriority, '5-LOW') AS label FROM orders),
 r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {hash_rank('o_orderkey')}) AS rk, count(*) OVER (PARTITION BY label) AS n FROM o)
 SELECT o_orderkey, label, CASE WHEN rk <= ceil(n * 0.3) THEN 'test' ELSE 'train' END AS split FROM r"""
+    sql["split_stratified_total"] = f"""WITH o AS (SELECT o_orderkey,
+  CASE WHEN o_orderkey = 7 THEN 'single' ELSE nullif(o_orderpriority, '5-LOW') END AS label FROM orders),
+l AS (SELECT label, count(*) AS n, floor(count(*) * 0.3e0) AS base, count(*) * 0.3e0 - floor(count(*) * 0.3e0) AS rest FROM o GROUP BY label),
+q AS (SELECT label, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, label NULLS FIRST)
+  <= ceil(sum(n) OVER () * 0.3e0) - sum(base) OVER () THEN 1 ELSE 0 END AS wanted FROM l),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {hash_rank('o_orderkey')}) AS rk FROM o)
+SELECT o_orderkey, r.label, CASE WHEN rk <= wanted THEN 'test' ELSE 'train' END AS split
+FROM r JOIN q ON r.label IS NOT DISTINCT FROM q.label"""
+    for name, columns, seed, many in (
+        ("baseline_resampled", [*HH_NUMERIC, "c_mktsegment", "r_name"], "42", "count(*)"),
+        ("baseline_resampled_more", ["c_acctbal", "spend", "r_name"], "7", "count(*) * 5 // 2"),
+    ):
+        ranked = ", ".join(
+            f"row_number() OVER (ORDER BY {hash_rank(f'c_custkey, {chr(39)}{c}{chr(39)}', seed)}) - 1 AS r_{c}" for c in columns
+        )
+        kept = ", ".join(
+            f"{c}.{c}" if c in ("c_mktsegment", "r_name") else f"CAST({c}.{c} AS DOUBLE) AS {c}" for c in columns
+        )
+        joins = " ".join(f"JOIN ranked {c} ON {c}.r_{c} = row_id * total // many" for c in columns)
+        sql[name] = f"""WITH {HOUSEHOLD}, ranked AS MATERIALIZED (SELECT *, {ranked} FROM household),
+s AS (SELECT count(*) AS total, {many} AS many FROM household),
+i AS (SELECT unnest(range(many)) AS row_id, total, many FROM s)
+SELECT row_id, {kept} FROM i {joins}"""
+    sql["ks_exact"] = f"""WITH RECURSIVE
+c AS (SELECT 'c_acctbal' AS col, CAST(c_acctbal AS DOUBLE) AS v, c_nationkey = 0 AS one FROM customer WHERE c_nationkey < 2
+  UNION ALL SELECT 'c_custkey', CAST(c_custkey AS DOUBLE), c_nationkey = 0 FROM customer WHERE c_nationkey < 2),
+u AS (SELECT col, v, sum(CAST(one AS BIGINT)) AS a, sum(CAST(NOT one AS BIGINT)) AS b FROM c GROUP BY col, v),
+w AS (SELECT col, sum(a) OVER (PARTITION BY col ORDER BY v) AS ca, sum(b) OVER (PARTITION BY col ORDER BY v) AS cb,
+        sum(a) OVER (PARTITION BY col) AS n, sum(b) OVER (PARTITION BY col) AS m FROM u),
+d AS (SELECT col, CAST(n AS BIGINT) AS n, CAST(m AS BIGINT) AS m, CAST(max(abs(ca * m - cb * n)) AS BIGINT) AS k FROM w GROUP BY col, n, m),
+path AS (
+  SELECT col, n, m, k, 0::BIGINT AS step, 0::BIGINT AS i, 1e0 AS p FROM d
+  UNION ALL
+  SELECT col, n, m, k, step + 1, i + more, sum(p * CASE WHEN more = 1 THEN n - i ELSE m - (step - i) END / (n + m - step))
+  FROM path, (VALUES (0::BIGINT), (1::BIGINT)) t(more)
+  WHERE step < n + m AND CASE WHEN more = 1 THEN i < n ELSE step - i < m END
+    AND abs((i + more) * m - (step + 1 - i - more) * n) < k
+  GROUP BY col, n, m, k, step, i + more)
+SELECT d.col AS "column", {r4('d.k / (d.n::DOUBLE * d.m)')} AS ks_stat,
+  {r4('least(1e0, greatest(0e0, 1 - coalesce(p, 0)))', 6)} AS p_value
+FROM d LEFT JOIN path ON path.col = d.col AND path.step = d.n + d.m"""
     mixed = f"WITH {HOUSEHOLD}, {mixed_ctes()}"
     snn = f"{knn_cte('mixed', MIXED_DISTANCE, 5)}, {SNN_CTES}"
     sql["snn"] = f"""{mixed}, {snn}

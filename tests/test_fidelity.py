@@ -107,3 +107,32 @@ def test_partitioning_and_shuffle_settings_do_not_change_results(spark, data):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert dict((r[1:3], r[3]) for r in first)[("tvd", "l_returnflag")] > 0
+
+
+def test_exact_tail_counts_all_orders():
+    """Every order of n + m values, counted one by one."""
+    from itertools import combinations
+
+    for n in range(1, 9):
+        for m in range(1, n + 1) if n > 6 else range(1, 9):
+            widest = []
+            for chosen in combinations(range(n + m), n):
+                ones = np.zeros(n + m, int)
+                ones[list(chosen)] = 1
+                widest.append(np.abs(np.cumsum(ones) * m - np.cumsum(1 - ones) * n).max())
+            widest = np.array(widest)
+            for gap in np.unique(widest):
+                want = (widest >= gap).mean()
+                assert fidelity.exact_ks_tail(gap / (n * m), n, m) == pytest.approx(want, abs=1e-12)
+            assert fidelity.exact_ks_tail(0.0, n, m) == 1.0
+
+
+def test_exact_tail_nears_the_limit_distribution(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [[(float(x), "a") for x in rng.normal(shift, 1, 600)] for shift in (0, 0.1)]
+    both = pair(spark, *rows)
+    exact = fidelity.ks_two_sample(both, ["x"]).first()
+    monkeypatch.setattr(fidelity, "EXACT_CELLS", 0)
+    limit = fidelity.ks_two_sample(both, ["x"]).first()
+    assert exact["ks_stat"] == limit["ks_stat"] and exact["p_value"] != limit["p_value"]
+    assert exact["p_value"] == pytest.approx(limit["p_value"], abs=0.01)

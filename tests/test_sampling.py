@@ -88,3 +88,34 @@ def test_hashes_tell_nulls_and_separators_apart(spark):
 
     rows = spark.createDataFrame([(None, "x"), ("x", None), ("x:1", ""), ("x", "1:")], "a string, b string")
     assert rows.select(hash_key(1, ["a", "b"]).alias("h")).distinct().count() == 4
+
+
+@pytest.mark.parametrize("share", [0.3, 0.0, 1.0, 0.11])
+def test_stratified_total_is_exact(spark, share):
+    """One label in a third of the rows, one null, many single ones."""
+    labels = ["a"] * 40 + ["b"] * 33 + [None] * 21 + [f"s{i}" for i in range(26)]
+    rows = spark.createDataFrame(list(enumerate(labels)), "id int, label string")
+    found = sampling.split_stratified_total(rows, ["id"], "label", test_share=share).collect()
+    test = [r for r in found if r["split"] == "test"]
+    assert len(found) == 120 and len(test) == math.ceil(120 * share)
+    for label in set(labels):
+        size, taken = labels.count(label), sum(r["label"] == label for r in test)
+        assert math.floor(size * share) <= taken <= math.floor(size * share) + 1
+        order = sorted((i for i, x in enumerate(labels) if x == label), key=lambda i: md5(42, i))
+        assert sorted(r["id"] for r in test if r["label"] == label) == sorted(order[:taken])
+
+
+def test_stratified_total_of_no_rows(spark):
+    none = spark.createDataFrame([], "id int, label string")
+    assert sampling.split_stratified_total(none, ["id"], "label").count() == 0
+
+
+@pytest.mark.parametrize("n", [50, 20, 130, 0])
+def test_resampled_columns_keep_their_values(spark, n):
+    rows = [(i, float(i % 7), None if i % 5 == 0 else "xy"[i % 2]) for i in range(50)]
+    real = spark.createDataFrame(rows, "id int, x double, c string")
+    found = sorted(map(tuple, sampling.resampled_columns(real, ["id"], ["x"], ["c"], n).collect()))
+    assert [r[0] for r in found] == list(range(n))
+    for at, name in ((1, "x"), (2, "c")):
+        order = sorted(rows, key=lambda r: hashlib.md5(f"2.42:{len(str(r[0]))}.{r[0]}:1.{name}".encode()).hexdigest())
+        assert [r[at] for r in found] == [order[i * 50 // n][at] for i in range(n)]

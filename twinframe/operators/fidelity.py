@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from twinframe.operators.profile import long_levels, long_numeric
 from twinframe.operators.ranges import widest_gaps
@@ -19,6 +21,43 @@ SERIES_TERMS = 100
 CERTAIN = 0.2
 
 
+#: Product of the sizes up to which the p-value is counted exactly: a few thousand vector steps.
+EXACT_CELLS = 4_000_000
+
+
+def exact_ks_tail(gap: float, n: int, m: int) -> float:
+    """Chance that two samples of one continuous distribution differ by ``gap`` or more.
+
+    All orders of the n + m values are equally likely paths over an n x m lattice.
+    The chance of staying where both shares differ by less than ``gap`` is carried
+    from one anti-diagonal to the next; ``gap * n * m`` is a whole number, so the
+    border is exact.
+    """
+    limit = round(gap * n * m)
+    if limit <= 0:
+        return 1.0
+    n, m = min(n, m), max(n, m)
+    taken = np.arange(n + 1)
+    inside = np.zeros(n + 1)
+    inside[0] = 1.0
+    for step in range(1, n + m + 1):
+        left = n + m - step + 1
+        # the last value was one of the n, or one of the m
+        one = np.zeros(n + 1)
+        one[1:] = inside[:-1] * (n - taken[:-1]) / left
+        other = inside * np.maximum(m - (step - 1 - taken), 0) / left
+        inside = one + other
+        second = step - taken
+        inside[(second < 0) | (second > m) | (np.abs(taken * m - second * n) >= limit)] = 0.0
+    return float(min(1.0, max(0.0, 1.0 - inside[n])))
+
+
+@F.pandas_udf(T.DoubleType())
+def _exact_tail(gap: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    # one row per column of the table, each of a small pair
+    return pd.Series([exact_ks_tail(*row) for row in zip(gap, n.astype(int), m.astype(int))], dtype=float)
+
+
 def _side_counts(suffix: str = "") -> dict:
     return {
         f"real{suffix}": F.count_if(F.col("side") == "real"),
@@ -27,7 +66,11 @@ def _side_counts(suffix: str = "") -> dict:
 
 
 def ks_two_sample(pair: DataFrame, numeric: Sequence[str]) -> DataFrame:
-    """``(column, ks_stat, p_value)``; null when a side has no values."""
+    """``(column, ks_stat, p_value)``; null when a side has no values.
+
+    The p-value is exact while the product of the sizes is at most ``EXACT_CELLS``,
+    and the limit distribution's beyond.
+    """
     is_side = {s: (F.col("side") == s) for s in ("real", "synth")}
     gaps = widest_gaps(long_numeric(pair, numeric, ["side"]), is_side)
     widest = gaps.select(
@@ -42,9 +85,12 @@ def ks_two_sample(pair: DataFrame, numeric: Sequence[str]) -> DataFrame:
     tail = F.when(F.col("_x") < CERTAIN, 1.0).otherwise(
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * series))
     )
-    return scaled.select(
-        "column", "ks_stat", F.when(F.col("_x").isNotNull(), tail).alias("p_value")
+    limiting = scaled.select(
+        "column", "ks_stat", "_n", "_m", F.when(F.col("_x").isNotNull(), tail).alias("p_value")
     )
+    small = F.col("p_value").isNotNull() & (F.col("_n") * F.col("_m") <= EXACT_CELLS)
+    exact = limiting.where(small).withColumn("p_value", _exact_tail("ks_stat", "_n", "_m"))
+    return limiting.where(~small).unionByName(exact).drop("_n", "_m")
 
 
 def tvd(pair: DataFrame, categorical: Sequence[str]) -> DataFrame:

@@ -6,6 +6,7 @@ itself is neither sorted nor shuffled.  ``ids`` must identify a row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -120,6 +121,75 @@ def split_stratified(
     )
 
 
+def split_stratified_total(
+    rows: DataFrame, ids: Sequence[str], label: str, seed: int = 42, test_share: float = 0.3
+) -> DataFrame:
+    """``split`` with exactly ceil(share * all rows) test rows, shared over the labels by largest remainder.
+
+    Every label gets the floor of its share, and those with the largest remainders one
+    row more (of equal ones the first in label order, null before all), until the total
+    is reached.  So each label is within one row of its share.
+    """
+    share = F.lit(float(test_share))
+    quota = lambda n: n * share
+    counts = materialize(rows.groupBy(F.col(f"`{label}`").alias("_label")).agg(F.count(F.lit(1)).alias("_n")))
+    turn = F.struct((F.floor(quota(F.col("_n"))) - quota(F.col("_n"))).alias("minus"), F.col("_label").alias("label"))
+    given, total = counts.agg(F.sum(F.floor(quota(F.col("_n")))), F.sum("_n")).first()
+    extra = (math.ceil(total * test_share) - given) if total else 0
+    small = fits_broadcast(counts)
+    keyed = counts.select(F.lit(0).alias("_all"), turn.alias("_at"))
+    last = rank_cuts(keyed, ["_all"], "_at", F.array(F.lit(extra).cast("long"))).select("at")
+    chosen = turn <= F.col("_last") if extra > 0 else F.lit(False)
+    marked = counts.withColumn("_last", last.scalar()).where(chosen).select("_label") if extra > 0 else counts.where("false").select("_label")
+    wanted = F.floor(quota(F.col("_n"))) + F.col("_more").isNotNull().cast("long")
+    more = marked.withColumnRenamed("_label", "_marked").withColumn("_more", F.lit(1))
+    sizes = materialize(
+        counts.join(more, F.col("_label").eqNullSafe(F.col("_marked")), "left").select("_label", wanted.alias("_wanted"))
+    )
+    # the cut of a label stands at its own rank
+    sized = lookup(rows.select(*ids, label), sizes, label, "_label", ["_wanted"], small)
+    hashed = sized.where("_wanted > 0").select(F.col(f"`{label}`"), "_wanted", hash_key(seed, ids).alias("_at"))
+    cuts = rank_cuts(hashed, [label, "_wanted"], "_at", F.array(F.col("_wanted")), RANGE_DIGITS, small).select(
+        F.col(label).alias("_label"), F.col("at").alias("_cut")
+    )
+    test = F.coalesce(hash_key(seed, ids) <= F.col("_cut"), F.lit(False))
+    return (
+        lookup(rows, cuts, label, "_label", ["_cut"], small)
+        .withColumn("split", F.when(test, "test").otherwise("train"))
+        .drop("_cut")
+    )
+
+
+def resampled_columns(
+    rows: DataFrame, ids: Sequence[str], numeric: Sequence[str], categorical: Sequence[str], n: int, seed: int = 42
+) -> DataFrame:
+    """``n`` rows (row_id, columns...) whose columns hold real values, each in an order of its own.
+
+    Every column is ordered by a hash of its name and the row ids.  Of N values row i
+    takes the one at rank ``i * N div n``: each once if n = N, an even part of them if
+    n is smaller, each floor(n / N) or ceil(n / N) times if larger.  Nulls are values
+    like any other.  Ranks are running totals over ranges of the order, so no column is
+    sorted in one task, and which rows a rank gives follows by arithmetic, without a join.
+    """
+    entry = lambda c, i, kind: F.struct(
+        F.lit(i).alias("column"),
+        hash_key(seed, [*ids, F.lit(c)]).alias("_at"),
+        (F.col(f"`{c}`").cast("double") if kind == "n" else F.lit(None).cast("double")).alias("number"),
+        (F.col(f"`{c}`").cast("string") if kind == "c" else F.lit(None).cast("string")).alias("level"),
+    )
+    names = [*numeric, *categorical]
+    entries = [entry(c, i, "n" if i < len(numeric) else "c") for i, c in enumerate(names)]
+    long = rows.select(F.inline(F.array(*entries))).withColumn("one", F.lit(1).cast("long"))
+    ranked = running_totals(long, ["column"], "_at", ["one"])
+    # rows i with i * N div n = r: from ceil(r n / N) up to, but without, ceil((r + 1) n / N)
+    first, after = (
+        f"(({rank}) * {int(n)}L + total_one - 1) div total_one" for rank in ("cum_one - 1", "cum_one")
+    )
+    taken = ranked.where(F.expr(f"{first} < {after}")).withColumn("row_id", F.explode(F.expr(f"sequence({first}, {after} - 1)")))
+    value = lambda i, c: F.max(F.when(F.col("column") == i, F.col("number" if i < len(numeric) else "level"))).alias(c)
+    return taken.groupBy("row_id").agg(*[value(i, c) for i, c in enumerate(names)])
+
+
 def labelled_union(real: DataFrame, synth: DataFrame) -> DataFrame:
     """Both tables under a ``side`` column, by column name."""
     return real.withColumn("side", F.lit("real")).unionByName(

@@ -22,6 +22,7 @@ from twinframe.operators.diffusion import (
 )
 from twinframe.operators.encoder import EncoderState, decode, encode, fit_encoder
 from twinframe.operators.profile import completeness, out_of_domain
+from twinframe.operators.sampling import resampled_columns
 from twinframe.session import materialize
 from twinframe.sources.files import write_csv
 from twinframe.sources.schema import expect_columns
@@ -107,6 +108,13 @@ def baseline_marginals(spark: SparkSession, encoder: EncoderState, n: int, seed:
     return decode(latents, encoder, ["row_id"], "cells")
 
 
+def baseline_resampled(
+    real: DataFrame, ids: Sequence[str], numeric: Sequence[str], categorical: Sequence[str], n: int, seed: int = 42
+) -> DataFrame:
+    """Synthetic rows of real values: every column keeps its values exactly, and no tie to the others."""
+    return resampled_columns(real, ids, numeric, categorical, n, seed)
+
+
 def check_synthetic(synth: DataFrame, encoder: EncoderState) -> DataFrame:
     """``(column, n_rows, n_missing, n_out_of_domain)`` of a synthetic table."""
     foreign = (
