@@ -389,7 +389,17 @@ def denoise_loss(spark, folder):
 def generator_moments(spark, folder):
     """Mean and covariance of the one-component generator."""
     latents, state = _cells(spark, folder)
-    model = diffusion.fit_generator(materialize(latents))
+    return _moments(spark, diffusion.fit_generator(materialize(latents)), state)
+
+
+def generator_moments_weighted(spark, folder):
+    """The same where a household counts as often as it has orders."""
+    rows, state = _household_encoder(spark, folder)
+    latents = materialize(encoder.encode(rows, state, ["c_custkey", "n_orders"], "cells", 42, CUSTOMER))
+    return _moments(spark, diffusion.fit_generator(latents, weight="n_orders"), state)
+
+
+def _moments(spark, model, state) -> DataFrame:
     covariance = (model.vectors[0] * model.values[0]) @ model.vectors[0].T
     index = range(state.width)
     entries = [(i, j, float(model.means[0][i]), float(covariance[i, j])) for i in index for j in index]
@@ -398,6 +408,12 @@ def generator_moments(spark, folder):
     )
 
 
+def component_choice(spark, folder):
+    """Held-out log-likelihood of mixtures of one, two and four components."""
+    latents, _ = _cells(spark, folder)
+    return _round_all(generate.component_choice(materialize(latents), CUSTOMER, (1, 2, 4)))
+
+
 def fit_generator(spark, folder):
     """Denoising loss of fitted mixtures, per tenth of the schedule."""
     latents, state = _cells(spark, folder)
@@ -618,7 +634,7 @@ def queries() -> dict[str, Query]:
         classification_metrics, binary_metrics, seed_summary, roc_auc, regression_metrics,
         encoder_state, encode_numeric, encode_categorical, encode_rows, encode_rows_household, encode_cells,
         decode_numeric, decode_categorical, decode_rows, roundtrip_error,
-        random_step, noise_schedule, forward_noise, denoise_loss, generator_moments, fit_generator, reverse_sample,
+        random_step, noise_schedule, forward_noise, denoise_loss, generator_moments, generator_moments_weighted, component_choice, fit_generator, reverse_sample,
         synthesize, check_synthetic, baseline_marginals, baseline_resampled, baseline_resampled_more, baseline_mixture,
         knn_pooled, knn_approx, knn_shared_ids, row_id, zscore_nan, split_stratified_null, split_stratified_total, dcr_nearest, dcr_leave_one_out,
         detection, tstr, trtr, compare_methods, compare_views, run_all, report_json, report_rows,

@@ -539,6 +539,13 @@ UNION ALL SELECT col, count(*), count(*) FILTER (e), NULL FROM cat_err GROUP BY
 SELECT a.dim AS i, b.dim AS j, {r4('avg(a.z)')} AS mean,
        {r4('covar_samp(a.z, b.z) + CASE WHEN a.dim = b.dim THEN 1e-6 ELSE 0 END')} AS covariance
 FROM cell_latents a JOIN cell_latents b USING (c_custkey) GROUP BY a.dim, b.dim"""
+    weighted = "sum(n_orders * {}) / sum(n_orders)"
+    sql["generator_moments_weighted"] = f"""{encoder}, {cells_ctes()},
+wl AS (SELECT c_custkey, dim, z, n_orders FROM cell_latents JOIN household USING (c_custkey)),
+wm AS (SELECT dim, {weighted.format('z')} AS m FROM wl GROUP BY dim)
+SELECT a.dim AS i, b.dim AS j, {r4('any_value(ma.m)')} AS mean,
+       {r4('sum(a.n_orders * (a.z - ma.m) * (b.z - mb.m)) / (sum(a.n_orders) - 1) + CASE WHEN a.dim = b.dim THEN 1e-6 ELSE 0 END')} AS covariance
+FROM wl a JOIN wl b USING (c_custkey) JOIN wm ma ON ma.dim = a.dim JOIN wm mb ON mb.dim = b.dim GROUP BY a.dim, b.dim"""
     sql["baseline_marginals"] = f"""{encoder}, {marginal_ctes()},
 a AS (SELECT row_id, {numbers} FROM drawn_numbers GROUP BY row_id), b AS (SELECT row_id, {texts} FROM drawn_levels GROUP BY row_id)
 SELECT a.*, {', '.join(f'b.{c}' for c in HH_CATEGORICAL)} FROM a JOIN b USING (row_id)"""

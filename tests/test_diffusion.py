@@ -124,3 +124,47 @@ def test_mixture_fit_with_two_components(spark):
     rows = spark.createDataFrame([(v.tolist(),) for v in x], "z array<double>")
     model = diffusion.fit_generator(rows, 2, seed=1)
     assert sorted(model.weights) == pytest.approx([1 / 3, 2 / 3], abs=0.05)
+
+
+def test_weights_count_as_repeated_rows(spark):
+    """Integer weights equal copies; weight zero, null and negative count nothing."""
+    rng = np.random.default_rng(12)
+    rows = [(rng.normal(size=3).tolist(), w) for w in [0, None, -2, *rng.integers(1, 5, 80).tolist()]]
+    latents = spark.createDataFrame(rows, "z array<double>, w int").repartition(3)
+    copies = np.array([z for z, w in rows for _ in range(max(w or 0, 0))])
+    mean, covariance = diffusion.weighted_moments(latents, "w")
+    assert np.allclose(mean, copies.mean(axis=0)) and np.allclose(covariance, np.cov(copies.T))
+    model = diffusion.fit_generator(latents, weight="w")
+    again = diffusion.fit_generator(spark.createDataFrame([(z.tolist(),) for z in copies], "z array<double>"))
+    assert np.allclose(model.means, again.means) and np.allclose(model.values, again.values)
+    scored = diffusion.log_likelihood(latents.where("w > 0"), model, "w").first()
+    assert scored["log_likelihood"] == pytest.approx(model.log_density(copies).mean())
+    with pytest.raises(ValueError):
+        diffusion.weighted_moments(latents.where("w < 0"), "w")
+
+
+def test_log_density_of_a_mixture():
+    weights, means = np.array([0.3, 0.7]), np.array([[0.0, 1.0], [2.0, -1.0]])
+    covariances = [np.array([[1.0, 0.5], [0.5, 2.0]]), np.eye(2) * 0.3]
+    model = diffusion.MixtureModel.of(weights, means, covariances)
+    x = np.random.default_rng(1).normal(size=(20, 2))
+    dense = np.zeros(20)
+    for w, m, c in zip(weights, means, covariances):
+        c = c + diffusion.RIDGE * np.eye(2)
+        off = x - m
+        dense += w * np.exp(-0.5 * (off @ np.linalg.inv(c) * off).sum(1)) / np.sqrt(np.linalg.det(2 * np.pi * c))
+    assert np.allclose(model.log_density(x), np.log(dense))
+
+
+def test_held_out_rows_choose_the_components(spark):
+    """Two far groups need two components."""
+    rng = np.random.default_rng(3)
+    apart = np.concatenate([rng.normal(-4, 0.4, (150, 2)), rng.normal(4, 0.4, (150, 2))])
+    for points, want in ((apart, {2}),):
+        rng.shuffle(points)
+        frames = [spark.createDataFrame([(p.tolist(),) for p in part], "z array<double>").coalesce(1) for part in (points[:200], points[200:])]
+        found = diffusion.choose_components(*frames, candidates=(2, 1)).collect()
+        assert [r["components"] for r in found] == [1, 2] and all(r["n"] == 100 for r in found)
+        best = [r["components"] for r in found if r["chosen"]]
+        assert len(best) == 1 and best[0] in want
+        assert best[0] == max(found, key=lambda r: r["log_likelihood"])["components"]

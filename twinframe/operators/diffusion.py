@@ -32,6 +32,9 @@ SAMPLE_LIMIT = 6.0
 DRAW_BLOCK = 4096
 RIDGE = 1e-6
 
+#: Numbers of components that are tried on held-out rows.
+CANDIDATES = (1, 2, 4, 8)
+
 
 def noise_schedule(spark: SparkSession, steps: int = STEPS, schedule: str = "cosine") -> DataFrame:
     """``(t, beta, alpha, alpha_bar, sqrt_ab, sqrt_omab)`` for t = 0..steps-1."""
@@ -167,18 +170,66 @@ class MixtureModel:
         share /= share.sum(axis=0)
         return sum(s[:, None] * g for s, g in zip(share, guesses))
 
+    def log_density(self, x: np.ndarray) -> np.ndarray:
+        """Logarithm of the mixture's density at every row of ``x``."""
+        logs = []
+        for weight, mean, values, vectors in zip(self.weights, self.means, self.values, self.vectors):
+            turned = (x - mean) @ vectors
+            square = (turned * turned / values).sum(axis=1)
+            logs.append(np.log(weight) - 0.5 * (square + np.log(2 * np.pi * values).sum()))
+        logs = np.array(logs)
+        top = logs.max(axis=0)
+        return top + np.log(np.exp(logs - top).sum(axis=0))
+
     def draw(self, random: np.random.Generator, n: int) -> np.ndarray:
         component = random.choice(len(self.weights), size=n, p=self.weights)
         noise = random.standard_normal((n, self.width)) * np.sqrt(self.values[component])
         return self.means[component] + np.einsum("nij,nj->ni", self.vectors[component], noise)
 
 
-def fit_generator(latents: DataFrame, components: int = 1, seed: int = 42) -> MixtureModel:
+def weighted_moments(latents: DataFrame, weight: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and sample covariance of the arrays ``z``; a row of weight w counts as w equal rows.
+
+    Two passes: the mean, then products about it. A task adds up its own rows, so what
+    moves is one matrix per task; rows of null or no weight count nothing.
+    """
+    times = F.col(weight).cast("double") if weight else F.lit(1.0)
+    rows = latents.select("z", times.alias("_w")).where("_w > 0")
+
+    def total(shape, part) -> np.ndarray:
+        """Sum of ``part(z, w)`` over all rows, its last entry the weight."""
+
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = np.zeros(int(np.prod(shape)) + 1)
+            for batch in batches:
+                if len(batch):
+                    w = batch["_w"].to_numpy(float)
+                    held += np.append(part(np.stack(batch["z"].to_numpy()), w).ravel(), w.sum())
+            yield pd.DataFrame({"place": np.arange(len(held)), "part": held})
+
+        sums = rows.mapInPandas(add, "place int, part double").groupBy("place").agg(F.sum("part").alias("part"))
+        return sums.orderBy("place").toPandas()["part"].to_numpy(float)
+
+    width = rows.agg(F.max(F.size("z"))).first()[0]
+    if not width:
+        raise ValueError("no rows of positive weight to fit to")
+    found = total((width,), lambda z, w: w @ z)
+    mean = found[:-1] / found[-1]
+    found = total((width, width), lambda z, w: ((z - mean) * w[:, None]).T @ (z - mean))
+    return mean, found[:-1].reshape(width, width) / max(found[-1] - 1.0, 1.0)
+
+
+def fit_generator(latents: DataFrame, components: int = 1, seed: int = 42, weight: str | None = None) -> MixtureModel:
     """Fit the mixture to latent arrays ``z`` with Spark ML.
 
     One component is the mean and covariance, two passes of tree aggregation.
+    ``weight`` names a column of row weights; integer weights count as repeated rows.
     """
-    rows = latents.select(array_to_vector("z").alias("features"))
+    if components == 1 and weight:
+        mean, covariance = weighted_moments(latents, weight)
+        return MixtureModel.of([1.0], [mean], [covariance])
+    weights = [F.col(weight).cast("double").alias("weight")] if weight else []
+    rows = latents.select(array_to_vector("z").alias("features"), *weights)
     if components == 1:
         found = rows.select(Summarizer.metrics("mean", "std").summary(F.col("features")).alias("s"))
         summary = found.select("s.mean", "s.std").first()
@@ -186,7 +237,10 @@ def fit_generator(latents: DataFrame, components: int = 1, seed: int = 42) -> Mi
         r = np.nan_to_num(Correlation.corr(rows, "features").first()[0].toArray())
         np.fill_diagonal(r, 1.0)
         return MixtureModel.of([1.0], [mean], [r * np.outer(std, std)])
-    model = GaussianMixture(k=components, seed=seed, featuresCol="features").fit(rows)
+    mixture = GaussianMixture(k=components, seed=seed, featuresCol="features")
+    if weight:
+        mixture, rows = mixture.setWeightCol("weight"), rows.where("weight > 0")
+    model = mixture.fit(rows)
     shapes = model.gaussians
     return MixtureModel.of(
         model.weights,
@@ -195,6 +249,35 @@ def fit_generator(latents: DataFrame, components: int = 1, seed: int = 42) -> Mi
     )
 
 
+def log_likelihood(latents: DataFrame, model: MixtureModel, weight: str | None = None) -> DataFrame:
+    """``(n, log_likelihood)``: rows, and the (weighted) mean log-density of their arrays ``z``."""
+
+    @F.pandas_udf("double")
+    def density(z: pd.Series) -> pd.Series:
+        return pd.Series(model.log_density(np.stack(z.to_numpy())) if len(z) else [], dtype=float)
+
+    scored = latents.withColumn("_log", density("z"))
+    times = F.col(weight).cast("double") if weight else F.lit(1.0)
+    return scored.agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.sum(F.col("_log") * times), F.sum(times)).alias("log_likelihood"))
+
+
+def choose_components(
+    train: DataFrame, held: DataFrame, candidates: Sequence[int] = CANDIDATES, seed: int = 42, weight: str | None = None
+) -> DataFrame:
+    """``(components, n, log_likelihood, chosen)``: mixtures fitted to ``train``, judged on ``held``.
+
+    The one of highest held-out log-likelihood is chosen, of equal ones the smallest;
+    without held-out rows the smallest of all.
+    """
+    found = []
+    for components in sorted(candidates):
+        n, score = log_likelihood(held, fit_generator(train, components, seed, weight), weight).first()
+        found.append((components, n, score))
+    best = max(found, key=lambda f: (f[2] if f[2] is not None else float("-inf"), -f[0]))
+    rows = [(*f, f[0] == best[0]) for f in found]
+    return train.sparkSession.createDataFrame(rows, "components int, n long, log_likelihood double, chosen boolean")
+
+
 def predict_noise(
     rows: DataFrame, model: MixtureModel, steps: int = STEPS, schedule: str = "cosine"
 ) -> DataFrame:

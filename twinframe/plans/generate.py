@@ -9,8 +9,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from twinframe.operators.diffusion import (
+    CANDIDATES,
     STEPS,
     MixtureModel,
+    choose_components,
     denoise_loss,
     fit_generator,
     forward_noise,
@@ -22,7 +24,7 @@ from twinframe.operators.diffusion import (
 )
 from twinframe.operators.encoder import EncoderState, decode, encode, fit_encoder
 from twinframe.operators.profile import completeness, out_of_domain
-from twinframe.operators.sampling import resampled_columns
+from twinframe.operators.sampling import resampled_columns, split_train_val_test
 from twinframe.session import materialize
 from twinframe.sources.files import write_csv
 from twinframe.sources.schema import expect_columns
@@ -67,16 +69,32 @@ def train(
     ids: Sequence[str],
     numeric: Sequence[str],
     categorical: Sequence[str],
-    components: int = 1,
+    components: int | None = 1,
     steps: int = STEPS,
     schedule: str = "cosine",
     seed: int = 42,
+    weight: str | None = None,
 ) -> Generator:
-    """Fit encoder and mixture.  The latents are ``cells``: a mixture has no atoms."""
+    """Fit encoder and mixture.  The latents are ``cells``: a mixture has no atoms.
+
+    ``components=None`` takes the number that :func:`component_choice` finds on the
+    validation split.  ``weight`` names a column of row weights for the mixture.
+    """
     encoder = fit_encoder(rows, numeric, categorical)
-    latents = encode(rows, encoder, ids, "cells", seed, ids)
     # fitting is iterative; the encoded rows are computed once
-    return Generator(encoder, fit_generator(materialize(latents), components, seed), steps, schedule)
+    latents = materialize(encode(rows, encoder, [*ids, *([weight] if weight else [])], "cells", seed, ids))
+    if components is None:
+        components = component_choice(latents, ids, seed=seed, weight=weight).where("chosen").first()["components"]
+    return Generator(encoder, fit_generator(latents, components, seed, weight), steps, schedule)
+
+
+def component_choice(
+    latents: DataFrame, ids: Sequence[str], candidates: Sequence[int] = CANDIDATES, seed: int = 42, weight: str | None = None
+) -> DataFrame:
+    """Mixtures fitted to the training split of the latents, judged on its validation split."""
+    split = materialize(split_train_val_test(latents, ids, seed))
+    train_rows, held = (split.where(F.col("split") == s) for s in ("train", "val"))
+    return choose_components(train_rows, held, candidates, seed, weight)
 
 
 def training_loss(rows: DataFrame, ids: Sequence[str], generator: Generator, seed: int = 42) -> DataFrame:
