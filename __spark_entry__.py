@@ -43,10 +43,11 @@ from twinframe.sources.views import (  # noqa: E402
 
 # The subpackage for training data and its pipeline may be absent.
 try:
+    import twinframe.llm.queries as llm_queries
     import corpus_pipeline
-    from twinframe.llm import queries as llm_queries
 except ModuleNotFoundError as error:
-    if error.name not in ("corpus_pipeline", "twinframe.llm"):
+    # a folder that was emptied, not removed, still counts as a package
+    if error.name not in ("corpus_pipeline", "twinframe.llm", "twinframe.llm.queries"):
         raise
     corpus_pipeline = llm_queries = None
 
