@@ -154,3 +154,40 @@ def test_encoding_is_a_narrow_plan(spark, household):
     state = fit_encoder(household, HOUSEHOLD_NUMERIC, HOUSEHOLD_CATEGORICAL)
     encoded = encode(household, state, ["c_custkey"])
     assert "Exchange hashpartitioning" not in encoded._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("mode", ["centers", "cells"])
+def test_grid_maps_need_no_python_worker(spark, household, mode):
+    state = fit_encoder(household, HOUSEHOLD_NUMERIC, HOUSEHOLD_CATEGORICAL)
+    encoded = encode(household, state, ["c_custkey"], mode, 42, ["c_custkey"])
+    for plan in (encoded, decode(encoded, state, ["c_custkey"], mode)):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in text and "Arrow" not in text
+
+
+def test_decoded_numbers_equal_the_interpolated_references(spark):
+    """Also across spikes, beyond both ends and for missing latents."""
+    rng = np.random.default_rng(8)
+    x = np.where(rng.random(300) < 0.4, 50.0, np.round(rng.gamma(2, 5000, 300)))
+    frame = table(spark, [(i, float(v), "a") for i, v in enumerate(x)])
+    state = fit_encoder(frame, ["x"], ["c"], 120)
+    z = [*np.linspace(-6, 6, 400).tolist(), float("nan"), None]
+    rows = spark.createDataFrame([(i, [v, 0.0]) for i, v in enumerate(z)], "id long, z array<double>")
+    got = {r["id"]: r["x"] for r in decode(rows, state, ["id"], "cells").collect()}
+    at, part = np.divmod(np.arange(120) * 299, 119)
+    ranked = np.append(np.sort(x), np.max(x))
+    references = ranked[at] + (ranked[at + 1] - ranked[at]) * (part / 119)
+    for i, v in enumerate(z[:-2]):
+        p = NORMAL.cdf(min(max(v, -4.5), 4.5))
+        assert abs(got[i] - np.interp(p, np.arange(120) / 119, references)) <= 0.5 + 1e-6
+    assert got[400] is None and got[401] is None
+
+
+def test_a_column_without_numbers_encodes_and_decodes_to_null(spark):
+    frame = table(spark, [(i, None, "ab"[i % 2]) for i in range(6)])
+    state = fit_encoder(frame, ["x"], ["c"])
+    encoded = encode(frame, state, ["id"])
+    assert all(r["z"][0] is None for r in encoded.collect())
+    assert {(r["x"], r["c"]) for r in decode(encoded, state, ["id"]).collect()} == {(None, "a"), (None, "b")}
+    some = spark.createDataFrame([(1, [0.3, 0.0])], "id long, z array<double>")
+    assert decode(some, state, ["id"]).first()["x"] is None

@@ -1,18 +1,16 @@
 """Standard-normal quantile and distribution functions as Spark expressions.
 
 Spark has neither a probit nor an ``erf``.  Both are rational approximations
-(Wichura 1988, AS 241; Cody 1969).  One column is evaluated by Catalyst.  For more
-columns the generated code would outgrow what the JVM compiles, and an Arrow batch
-is several times faster.
+(Wichura 1988, AS 241; Cody 1969).  One column is evaluated by generated code.  For
+more columns that code would outgrow what the JVM compiles, so they are packed into an
+array that one function runs over, whatever their number.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Published coefficients, highest power first.
 AS241_CENTRAL = (
@@ -113,56 +111,31 @@ def normal_cdf_sql(z: str) -> str:
     )
 
 
-def normal_quantile(p: np.ndarray) -> np.ndarray:
-    """AS 241 over an array; NaN outside (0, 1)."""
-    q = p - 0.5
-    with np.errstate(invalid="ignore", divide="ignore"):
-        tail = np.sqrt(-np.log(np.minimum(p, 1.0 - p)))
-        central = 0.180625 - q * q
-        inner = q * np.polyval(AS241_CENTRAL[0], central) / np.polyval(AS241_CENTRAL[1], central)
-        near = np.polyval(AS241_TAIL[0], tail - 1.6) / np.polyval(AS241_TAIL[1], tail - 1.6)
-        far = np.polyval(AS241_FAR_TAIL[0], tail - 5.0) / np.polyval(AS241_FAR_TAIL[1], tail - 5.0)
-        outer = np.sign(q) * np.where(tail <= 5.0, near, far)
-    inside = (p > 0) & (p < 1)
-    return np.where(inside, np.where(np.abs(q) <= 0.425, inner, outer), np.nan)
-
-
-def normal_probability(z: np.ndarray) -> np.ndarray:
-    """Cody's distribution function over an array; NaN stays NaN."""
-    square, size = z * z, np.abs(z)
-    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
-        inner = 0.5 + z * np.polyval(CODY_CENTRAL[0], square) / np.polyval(CODY_CENTRAL[1], square)
-        density = np.exp(-square / 2)
-        middle = density * np.polyval(CODY_MIDDLE[0], size) / np.polyval(CODY_MIDDLE[1], size)
-        inverse = 1.0 / square
-        ratio = np.polyval(CODY_FAR[0], inverse) / np.polyval(CODY_FAR[1], inverse)
-        far = density * (INV_SQRT_2PI - inverse * ratio) / size
-        tail = np.where(size <= 5.656854249492381, middle, far)
-    return np.where(size <= 0.67448975, inner, np.where(z > 0, 1.0 - tail, tail))
-
-
-def _batched(df: DataFrame, columns: Mapping[str, str], function) -> DataFrame:
-    names = [f"v{i}" for i in range(len(columns))]
-
-    @F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in names]))
-    def apply(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(function(frame.to_numpy(float)), columns=frame.columns)
-
-    inputs = [F.col(f"`{c}`").alias(n) for n, c in zip(names, columns.values())]
-    packed = df.withColumn("_packed", apply(F.struct(*inputs)))
-    return packed.withColumns(
-        {
-            out: F.when(~F.isnan(value), value)
-            for n, out in zip(names, columns)
-            for value in [F.col(f"_packed.{n}")]
-        }
-    ).drop("_packed")
+def normal_quantiles(name: str) -> Column:
+    """Normal quantiles of the array column ``name``, entry by entry; null outside (0, 1)."""
+    tails = f"transform(`{name}`, _p -> {probit_tail_sql('_p')})"
+    inside = f"CASE WHEN _t IS NOT NULL THEN {probit_sql('_p', '_t')} END"
+    return F.expr(f"zip_with(`{name}`, {tails}, (_p, _t) -> {inside})")
+
+
+def normal_probabilities(name: str) -> Column:
+    """Normal probabilities of the array column ``name``, entry by entry."""
+    return F.expr(f"transform(`{name}`, _z -> {normal_cdf_sql('_z')})")
+
+
+def _by_entry(df: DataFrame, columns: Mapping[str, str], function: Callable[[str], Column]) -> DataFrame:
+    packed = df.withColumn("_packed", F.array(*[F.col(f"`{c}`").cast("double") for c in columns.values()]))
+    return (
+        packed.withColumn("_packed", function("_packed"))
+        .withColumns({out: F.get("_packed", F.lit(i)) for i, out in enumerate(columns)})
+        .drop("_packed")
+    )
 
 
 def with_probit(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     """Add ``{output: probability}`` normal quantiles; null outside (0, 1)."""
     if len(columns) > 1:
-        return _batched(df, columns, normal_quantile)
+        return _by_entry(df, columns, normal_quantiles)
     # non-null inputs keep the generated code short enough to be compiled; the
     # logarithm is evaluated ahead of the rational function, which names it often
     for out, p in columns.items():
@@ -181,7 +154,7 @@ def with_probit(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
 def with_normal_cdf(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     """Add ``{output: z}`` standard normal probabilities."""
     if len(columns) > 1:
-        return _batched(df, columns, normal_probability)
+        return _by_entry(df, columns, normal_probabilities)
     for out, z in columns.items():
         value = F.expr(normal_cdf_sql("_z"))
         df = (
