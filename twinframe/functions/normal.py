@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Published coefficients, highest power first.
@@ -111,11 +112,31 @@ def normal_cdf_sql(z: str) -> str:
     )
 
 
+def normal_quantile(p: np.ndarray) -> np.ndarray:
+    """AS 241 over an array; NaN outside (0, 1)."""
+    q = p - 0.5
+    with np.errstate(invalid="ignore", divide="ignore"):
+        tail = np.sqrt(-np.log(np.minimum(p, 1.0 - p)))
+        central = 0.180625 - q * q
+        inner = q * np.polyval(AS241_CENTRAL[0], central) / np.polyval(AS241_CENTRAL[1], central)
+        near = np.polyval(AS241_TAIL[0], tail - 1.6) / np.polyval(AS241_TAIL[1], tail - 1.6)
+        far = np.polyval(AS241_FAR_TAIL[0], tail - 5.0) / np.polyval(AS241_FAR_TAIL[1], tail - 5.0)
+        outer = np.sign(q) * np.where(tail <= 5.0, near, far)
+    inside = (p > 0) & (p < 1)
+    return np.where(inside, np.where(np.abs(q) <= 0.425, inner, outer), np.nan)
+
+
 def normal_quantiles(name: str) -> Column:
     """Normal quantiles of the array column ``name``, entry by entry; null outside (0, 1)."""
-    tails = f"transform(`{name}`, _p -> {probit_tail_sql('_p')})"
-    inside = f"CASE WHEN _t IS NOT NULL THEN {probit_sql('_p', '_t')} END"
-    return F.expr(f"zip_with(`{name}`, {tails}, (_p, _t) -> {inside})")
+    # what the rational functions run over is found first: they name it often
+    middle = "abs(_p - 0.5e0) <= 0.425e0"
+    over = f"CASE WHEN {middle} THEN 0.180625e0 - (_p - 0.5e0) * (_p - 0.5e0) ELSE {probit_tail_sql('_p')} END"
+    value = (
+        f"CASE WHEN {middle} THEN (_p - 0.5e0) * {_ratio('_r', AS241_CENTRAL)} "
+        f"WHEN _r <= 5 THEN sign(_p - 0.5e0) * {_ratio('(_r - 1.6e0)', AS241_TAIL)} "
+        f"ELSE sign(_p - 0.5e0) * {_ratio('(_r - 5)', AS241_FAR_TAIL)} END"
+    )
+    return F.expr(f"zip_with(`{name}`, transform(`{name}`, _p -> {over}), (_p, _r) -> {value})")
 
 
 def normal_probabilities(name: str) -> Column:

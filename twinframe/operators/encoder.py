@@ -22,11 +22,12 @@ from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from twinframe.functions.normal import (
     normal_probabilities,
-    normal_quantiles,
+    normal_quantile,
     with_normal_cdf,
     with_probit,
 )
@@ -164,68 +165,63 @@ def _fit_stats(rows: DataFrame, state: EncoderState) -> DataFrame:
     return rows.sparkSession.createDataFrame(found, schema)
 
 
-def _constant_array(values: np.ndarray) -> Column:
-    """A constant array<double>, read once by the optimizer from the shortest exact text of its entries."""
-    return F.split(F.lit(",".join(map(repr, values.tolist()))), ",").cast("array<double>")
+def _struct_of(n: int) -> T.StructType:
+    return T.StructType([T.StructField(f"v{i}", T.DoubleType()) for i in range(n)])
 
 
-def _curves(state: EncoderState) -> list[dict]:
-    """Per numeric column the ascending arrays value, p_min and p_max of its grid and the number of entries.
-
-    They are constants of the plan: at most ``points`` entries per column, whatever the
-    size of the table.  A column without numbers has one empty entry.
-    """
-    none = (np.array([np.nan]),) * 3
-    grids = [state.grids.get(c, none) for c in state.numeric]
-    names = ("value", "p_min", "p_max")
-    return [
-        {"size": len(grid[0]), "empty": bool(np.isnan(grid[0][0]))}
-        | {name: _constant_array(a) for name, a in zip(names, grid)}
-        for grid in grids
-    ]
+def _grid_probability(x: np.ndarray, grid, weight) -> np.ndarray:
+    """Position of values on a collapsed grid; a tied value takes ``weight`` of its span."""
+    values, low, high = grid
+    at = np.clip(np.searchsorted(values, x, side="right") - 1, 0, len(values) - 1)
+    following = np.minimum(at + 1, len(values) - 1)
+    gap = values[following] - values[at]
+    part = np.clip((x - values[at]) / np.where(gap > 0, gap, 1.0), 0.0, 1.0)
+    between = high[at] + part * (low[following] - high[at])
+    return np.where(x == values[at], low[at] + weight * (high[at] - low[at]), between)
 
 
-def _rank(ordered: Column, x: Column, curve: dict) -> Column:
-    """Number, from 0, of the last entry not above ``x``, or of the first; null on an empty grid."""
-    if curve["empty"]:
-        return F.lit(None).cast("int")
-    return F.greatest(count_not_above(ordered, x, curve["size"]) - 1, F.lit(0))
+def _score_udf(grids: list, spread: bool):
+    """Struct of values (and uniforms) -> struct of clipped normal scores, by Arrow batch."""
 
+    @F.pandas_udf(_struct_of(len(grids)))
+    def scores(frame: pd.DataFrame) -> pd.DataFrame:
+        out = {}
+        for i, grid in enumerate(grids):
+            x = frame[f"x{i}"].to_numpy(float)
+            if grid is None:
+                out[f"v{i}"] = np.full(len(x), np.nan)
+                continue
+            if spread:
+                p = _grid_probability(x, grid, frame[f"u{i}"].to_numpy(float))
+                edge = 0.5 / POINTS
+            else:
+                p, edge = _grid_probability(x, grid, 0.5), EDGE
+                p = np.where(x > grid[0][-1] - EDGE, 1.0, p)
+                p = np.where(x < grid[0][0] + EDGE, 0.0, p)
+            z = normal_quantile(np.clip(p, edge, 1.0 - edge))
+            out[f"v{i}"] = np.where(np.isnan(x), np.nan, np.clip(z, -LATENT_LIMIT, LATENT_LIMIT))
+        return pd.DataFrame(out)
 
-def _grid_probability(x: Column, at: Column, curve: dict, weight: Column) -> Column:
-    """Position of a value on a collapsed grid, ``at`` the entry not above it; a tied value takes ``weight`` of its span."""
-    here = {name: F.get(curve[name], at) for name in ("value", "p_min", "p_max")}
-    there = {name: F.coalesce(F.get(curve[name], at + 1), here[name]) for name in ("value", "p_min")}
-    gap = there["value"] - here["value"]
-    part = clip((x - here["value"]) / F.when(gap > 0, gap).otherwise(1.0), 0.0, 1.0)
-    between = here["p_max"] + part * (there["p_min"] - here["p_max"])
-    return F.when(x == here["value"], here["p_min"] + weight * (here["p_max"] - here["p_min"])).otherwise(between)
+    return scores
 
 
 def _with_scores(rows: DataFrame, state: EncoderState, seed=None, ids=()) -> DataFrame:
-    """Add ``_s<i>``, the clipped normal score of every numeric column; null for null, NaN or an empty grid."""
-    curves, index = _curves(state), range(len(state.numeric))
-    number = lambda c: F.col(f"`{c}`").cast("double")
-    read = rows.withColumns({f"_x{i}": F.when(~F.isnan(number(c)), number(c)) for i, c in enumerate(state.numeric)})
-    found = read.withColumns({f"_at{i}": _rank(curves[i]["value"], F.col(f"_x{i}"), curves[i]) for i in index})
-
-    def probability(i: int) -> Column:
-        x, values = F.col(f"_x{i}"), curves[i]["value"]
-        if seed is not None:
-            drawn = hash_uniform(hash_key(seed, [*ids, F.lit(state.numeric[i])]))
-            return clip(_grid_probability(x, F.col(f"_at{i}"), curves[i], drawn), 0.5 / POINTS, 1.0 - 0.5 / POINTS)
-        p = _grid_probability(x, F.col(f"_at{i}"), curves[i], F.lit(0.5))
-        first, last = F.get(values, F.lit(0)), F.get(values, F.lit(curves[i]["size"] - 1))
-        ended = F.when(x < first + EDGE, 0.0).when(x > last - EDGE, 1.0).otherwise(p)
-        return clip(F.when(F.col(f"_at{i}").isNotNull(), ended), EDGE, 1.0 - EDGE)
-
-    placed = found.withColumn("_p", F.array(*[probability(i) for i in index])).drop(
-        *[f"_{x}{i}" for i in index for x in ("x", "at")]
-    )
-    scored = placed.withColumn("_p", normal_quantiles("_p"))
-    return scored.withColumns(
-        {f"_s{i}": clip(F.get("_p", F.lit(i)), -LATENT_LIMIT, LATENT_LIMIT) for i in index}
-    ).drop("_p")
+    """Add ``_s<i>``, the clipped normal score of every numeric column."""
+    spread = seed is not None
+    fields = [F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(state.numeric)]
+    if spread:
+        fields += [
+            hash_uniform(hash_key(seed, [*ids, F.lit(c)])).alias(f"u{i}")
+            for i, c in enumerate(state.numeric)
+        ]
+    find = _score_udf([state.grids.get(c) for c in state.numeric], spread)
+    return rows.withColumn("_s", find(F.struct(*fields))).withColumns(
+        {
+            f"_s{i}": F.when(~F.isnan(v), v)
+            for i in range(len(state.numeric))
+            for v in [F.col(f"_s.v{i}")]
+        }
+    ).drop("_s")
 
 
 def encode_numeric(rows: DataFrame, state: EncoderState) -> DataFrame:
@@ -294,6 +290,34 @@ def encode(
     return coded.select(*[f"`{k}`" for k in keep], F.array(*parts).alias("z"))
 
 
+def _constant_array(values: np.ndarray) -> Column:
+    """A constant array<double>, read once by the optimizer from the shortest exact text of its entries."""
+    return F.split(F.lit(",".join(map(repr, values.tolist()))), ",").cast("array<double>")
+
+
+def _curves(state: EncoderState) -> list[dict]:
+    """Per numeric column the ascending arrays value, p_min and p_max of its grid and the number of entries.
+
+    They are constants of the plan: at most ``points`` entries per column, whatever the
+    size of the table.  A column without numbers has one empty entry.
+    """
+    none = (np.array([np.nan]),) * 3
+    grids = [state.grids.get(c, none) for c in state.numeric]
+    names = ("value", "p_min", "p_max")
+    return [
+        {"size": len(grid[0]), "empty": bool(np.isnan(grid[0][0]))}
+        | {name: _constant_array(a) for name, a in zip(names, grid)}
+        for grid in grids
+    ]
+
+
+def _rank(ordered: Column, x: Column, curve: dict) -> Column:
+    """Number, from 0, of the last entry not above ``x``, or of the first; null on an empty grid."""
+    if curve["empty"]:
+        return F.lit(None).cast("int")
+    return F.greatest(count_not_above(ordered, x, curve["size"]) - 1, F.lit(0))
+
+
 def _grid_value(p: Column, at: Column, curve: dict) -> Column:
     """Value at a probability of a collapsed grid, ``at`` the entry whose span starts not above it."""
     value, end = F.get(curve["value"], at), F.get(curve["p_max"], at)
