@@ -131,6 +131,27 @@ def test_vectors(spark, monkeypatch, cell, block):
     assert sorted_rows(op4_vectors.vector_components(table), "id", "n_links", "component") == sorted(want, key=repr)
 
 
+def test_vectors_of_repeated_and_null_ids(spark):
+    """Brute force over rows: links and components belong to vectors, not to their ids."""
+    random = np.random.default_rng(5)
+    base = random.normal(size=(12, 6))
+    rows = []
+    for i in range(90):
+        vector = base[i % 12] + random.normal(size=6) * random.choice([0.0, 0.05, 0.1, 0.4])
+        vec_id = None if i % 3 == 0 else int(random.integers(0, 25))
+        rows.append((vec_id, [float(x) for x in vector], i % 2))
+    rows += [(5, [1.0] * 6, 1), (2, [1.0] * 6, 1), (5, [1.0] * 6, 2), (9, [1.0] * 6, 2), (None, [7.0, -7.0, 0.0, 0.0, 0.0, 0.0], 9), (None, [7.0, -7.0, 0.0, 0.0, 0.0, 0.0], 9)]
+    unit = [np.array(v) / np.linalg.norm(v) for _, v, _ in rows]
+    near = lambda a, b: a != b and rows[a][2] == rows[b][2] and unit[a] @ unit[b] >= 0.98
+    root = _components(len(rows), near)
+    least = {r: min((rows[i][0] for i in range(len(rows)) if root[i] == r and rows[i][0] is not None), default=None) for r in set(root)}
+    want = [(rows[i][0], sum(near(i, j) for j in range(len(rows))), least[root[i]]) for i in range(len(rows))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(5)
+    found = sorted_rows(op4_vectors.vector_components(table), "id", "n_links", "component")
+    assert found == sorted(want, key=repr)
+    assert (9, 1, 5) in found and (2, 1, 2) in found
+
+
 def test_empty_tables(spark, no_docs):
     assert op2_suffix.repeats_removed(no_docs).count() == 0
     assert op8_substring.windows_removed(no_docs).count() == 0

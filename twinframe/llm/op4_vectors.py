@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from twinframe.llm.components import connected_components
 from twinframe.llm.op10_simhash import spanning_links
 from twinframe.llm.tables import table
-from twinframe.session import materialize
+from twinframe.operators.lookup import lookup
+from twinframe.session import fits_broadcast, materialize
 
 THRESHOLD = 0.98
 #: Vectors per label that centres are fitted to (those of smallest hash), and rounds of the fit.
@@ -190,18 +191,24 @@ def vector_components(
 
     Two vectors of equal label and length link if their cosine, in double
     precision, is at least ``threshold``; the component is the smallest id
-    reachable. Equal vectors are compared as one and counted by their copies.
-    A null label, a null, empty or zero vector, a null or non-finite component
-    or a null id links with nothing: no links, its own component. Other columns
-    are not read. An empty table gives an empty table.
+    reachable. Equal vectors are compared as one and counted by their copies;
+    what is compared is the vector and not its id, so that an id in several rows
+    ties none of them together: each row has the links and component of its own
+    vector. A row of null id links and is counted like any other, but names no
+    component; one of null ids alone is null. A null label, a null, empty or zero
+    vector or a null or non-finite component links with nothing: no links, its
+    own component. Other columns are not read. An empty table gives an empty table.
     """
     rows = vectors.select(
         F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"),
         F.col(vector_col).cast("array<double>").alias("raw"),
     )
-    usable = rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & _valid("raw"))
+    is_usable = F.col("label").isNotNull() & _valid("raw")
+    usable = rows.where(is_usable)
+    # numbers are final once they are written
     groups = materialize(
-        usable.groupBy("label", "raw").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
+        usable.groupBy("label", "raw").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+        .withColumn("node", F.monotonically_increasing_id())
     )
 
     def unit(batches):
@@ -220,17 +227,24 @@ def vector_components(
     )
     found = materialize(_block_links(_cells(nodes, threshold), threshold))
     linked = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
-    component = connected_components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "a")
+    component = materialize(
+        connected_components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "a")
+    )
+    joined = groups.join(component, groups["node"] == component["a"], "left").drop("a")
+    least = materialize(
+        joined.where("component is not null").groupBy(F.col("component").alias("root")).agg(F.min("least").alias("smallest"))
+    )
+    # a component may hold most vectors: its row is looked up without a hot key
     named = (
-        groups.join(linked, groups["node"] == linked["a"], "left").drop("a")
-        .join(component, F.col("node") == component["a"], "left").drop("a")
+        lookup(joined, least, "component", "root", ["smallest"], fits_broadcast(least))
+        .join(linked, F.col("node") == linked["a"], "left")
         .select(
             "label", "raw", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-            F.coalesce("component", "node").alias("component"),
+            F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("smallest")).alias("component"),
         )
     )
     inside = usable.join(named, ["label", "raw"]).select("id", "n_links", "component")
-    outside = rows.where(~(F.col("id").isNotNull() & F.col("label").isNotNull() & _valid("raw")))
+    outside = rows.where(~is_usable)
     return inside.unionByName(outside.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component")))
 
 
