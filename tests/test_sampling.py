@@ -83,6 +83,17 @@ def test_row_ids_number_rows_without_a_key(spark):
     assert sorted(r[1:] for r in got) == sorted((a or "", b or "") for a, b in rows)
 
 
+def test_copies_of_a_row_are_numbered_in_runs_over_many_tasks(spark, monkeypatch):
+    rows = spark.range(5000).selectExpr("CASE WHEN id < 4000 THEN 'hot' ELSE string(id % 300) END AS a")
+    whole = sorted(tuple(r) for r in sampling.with_row_id(rows).collect())
+    assert [r[0] for r in whole] == list(range(5000))
+    monkeypatch.setattr(sampling, "RUN_ROWS", 7)
+    numbered = sampling.with_row_id(rows)
+    assert sorted(tuple(r) for r in numbered.collect()) == whole
+    tasks = numbered.where("a = 'hot'").groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in tasks) == 4000 and max(r["count"] for r in tasks) < 2000
+
+
 def test_hashes_tell_nulls_and_separators_apart(spark):
     from twinframe.functions.scalars import hash_key
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from twinframe.functions.scalars import hash_key
 from twinframe.operators.cumulative import rank_cuts, running_totals
 from twinframe.operators.lookup import lookup
-from twinframe.session import fits_broadcast, materialize
+from twinframe.session import default_buckets, fits_broadcast, materialize
 
 SEEDS = (42, 123, 456)
 RATIOS = (0.70, 0.15, 0.15)
@@ -22,6 +22,9 @@ RATIOS = (0.70, 0.15, 0.15)
 #: Leading hex digits that form a range: 4,096 even ranges of the hash per look.
 RANGE_DIGITS = 3
 
+#: Copies of one row that are written out in one piece.
+RUN_ROWS = 65_536
+
 
 def _cuts(
     rows: DataFrame, key: Sequence[str], ids: Sequence[str], seed, wanted: Column, small: bool = True
@@ -201,11 +204,20 @@ def with_row_id(rows: DataFrame, name: str = "row_id") -> DataFrame:
     """Number the rows 0..n-1 by content, for tables without a key.
 
     The order is the md5 of all columns as text. Equal rows are counted before
-    anything is shuffled and numbered in turn, so reruns agree and a row with
-    many copies is no hot key.
+    anything is shuffled and numbered in turn, so reruns agree. The copies of a row
+    are written out in runs of at most ``RUN_ROWS``, dealt over the tasks, so a row
+    with many copies is neither a hot key nor one long array.
     """
-    counted = rows.groupBy(*[F.col(f"`{c}`") for c in rows.columns]).agg(F.count(F.lit(1)).alias("_copies"))
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    counted = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
     hashed = counted.withColumn("_all", F.lit(0)).withColumn("_at", hash_key(0, rows.columns))
     placed = running_totals(hashed, ["_all"], "_at", ["_copies"])
-    numbers = F.sequence(F.col("cum__copies") - F.col("_copies"), F.col("cum__copies") - 1)
-    return placed.withColumn(name, F.explode(numbers)).select(name, *[F.col(f"`{c}`") for c in rows.columns])
+    first, last = F.col("cum__copies") - F.col("_copies"), F.col("cum__copies") - 1
+    few = placed.where(F.col("_copies") <= RUN_ROWS).select(*columns, first.alias("_from"), last.alias("_to"))
+    many = placed.where(F.col("_copies") > RUN_ROWS).withColumn(
+        "_from", F.explode(F.sequence(first, last, F.lit(RUN_ROWS).cast("long")))
+    )
+    runs = many.select(*columns, "_from", F.least(F.col("_from") + (RUN_ROWS - 1), last).alias("_to"))
+    dealt = runs.repartition(default_buckets(rows.sparkSession), "_from")
+    numbered = few.unionByName(dealt).withColumn(name, F.explode(F.sequence("_from", "_to")))
+    return numbered.select(name, *columns)
