@@ -190,3 +190,18 @@ def test_a_column_without_numbers_encodes_and_decodes_to_null(spark):
     assert {(r["x"], r["c"]) for r in decode(encoded, state, ["id"]).collect()} == {(None, "a"), (None, "b")}
     some = spark.createDataFrame([(1, [0.3, 0.0])], "id long, z array<double>")
     assert decode(some, state, ["id"]).first()["x"] is None
+
+
+def test_cells_of_many_levels_take_a_slice_each(spark):
+    """One level in a third of the rows beside 900 rare ones; every value decodes to the level whose share holds it."""
+    levels = ["hot"] * 450 + [f"r{i:03d}" for i in range(900)]
+    frame = table(spark, [(i, 1.0, c) for i, c in enumerate(levels)])
+    state = fit_encoder(frame, ["x"], ["c"])
+    ordered, n = sorted(levels), len(levels)
+    # off the borders of the cells
+    p = [(i + 0.5) / n for i in range(0, n, 3)]
+    rows = spark.createDataFrame([(i, [0.0, NORMAL.inv_cdf(q)]) for i, q in enumerate(p)], "id long, z array<double>")
+    decoded = decode(rows, state, ["id"], "cells")
+    got = {r["id"]: r["c"] for r in decoded.collect()}
+    assert [got[i] for i in range(len(p))] == [ordered[int(q * n)] for q in p]
+    assert decoded.count() == len(p)

@@ -43,7 +43,7 @@ LATENT_LIMIT = 4.5
 #: Probabilities this close to an end of the training range count as the end itself.
 EDGE = 1e-7
 
-#: Slices of the probability scale by which level cells are found when decoding.
+#: Slices of the probability scale by which level cells are found when decoding: one per level, at least these.
 SLICES = 256
 
 
@@ -393,9 +393,12 @@ def _level_of_cell(rows: DataFrame, state: EncoderState, column: str, p: str) ->
     """Range join of a probability to the level whose cumulative share holds it.
 
     Both sides are cut into slices of the probability scale, which makes it an
-    equi-join; a frequent level spans many slices, so its rows spread out.
+    equi-join; a frequent level spans many slices, so its rows spread out.  There are
+    as many slices as levels, so all cells together make two rows a level at most
+    (beside those of the fewest slices).
     """
-    slice_of = lambda x: F.least(F.floor(x * SLICES), F.lit(SLICES - 1))
+    slices = max(SLICES, state.level_sizes.get(column, 0))
+    slice_of = lambda x: F.least(F.floor(x * slices), F.lit(slices - 1))
     cells = (
         state.entries(column, "below", "n", "total")
         .withColumns(
