@@ -28,6 +28,7 @@ from twinframe.operators import (  # noqa: E402
     profile,
     sampling,
     scores,
+    sketches,
 )
 from twinframe.plans import evaluate, generate  # noqa: E402
 from twinframe.session import materialize  # noqa: E402
@@ -165,6 +166,16 @@ def quantile_grid(spark, folder):
     return _rounded(cumulative.quantile_grid(long), {"value": 4, "p_min": 8, "p_max": 8})
 
 
+def sketch_ranks(spark, folder):
+    """Sketches of two parts of the lines, merged: their grid against the true ranks of all rows."""
+    lines = table(spark, folder, "lineitem")
+    first = F.coalesce(F.col("l_linestatus") == "F", F.lit(False))
+    parts = [sketches.sketch_encoder(lines.where(c), LINE_NUMERIC, LINE_CATEGORICAL) for c in (first, ~first)]
+    merged = parts[0].merged(parts[1])
+    errors = sketches.rank_errors(lines, LINE_NUMERIC, merged.grid())
+    return errors.select("column", "n_rows", (F.col("rank_error") <= sketches.RANK_ERROR).alias("within"))
+
+
 def probit_column(spark, folder):
     orders = table(spark, folder, "orders").select("o_orderkey")
     drawn = orders.withColumn("p", hash_uniform(hash_key(42, ORDER)))
@@ -628,7 +639,7 @@ def entry(spark: SparkSession) -> DataFrame:
 def queries() -> dict[str, Query]:
     plain = [
         completeness, numeric_bounds, clip_columns, category_freq, category_levels, out_of_domain,
-        head_n, train_summary, labelled_union, quantile_grid, probit_column,
+        head_n, train_summary, labelled_union, quantile_grid, sketch_ranks, probit_column,
         one_hot, label_encode, ordinal_encode, zscore, encode_mixed,
         corr_matrix, ks_exact,
         sample_exact, split_train_val_test, split_by_seed, split_stratified, balanced_pair,

@@ -426,6 +426,9 @@ UNION ALL SELECT 'levels', col, count(DISTINCT level) FROM ({long('household', H
 SELECT side, o_orderstatus, count(*) AS n, {r4('avg(o_totalprice)', 2)} AS mean_price FROM pair GROUP BY side, o_orderstatus"""
     sql["quantile_grid"] = f"""WITH {LINES}, {grid_ctes('pair', LINE_NUMERIC)}
 SELECT col AS "column", {r4('value')} AS value, {r4('p_min', 8)} AS p_min, {r4('p_max', 8)} AS p_max FROM grid"""
+    sql["sketch_ranks"] = " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count({c}) AS n_rows, true AS within FROM lineitem" for c in LINE_NUMERIC
+    )
     sql["probit_column"] = f"""WITH ranks AS (
   SELECT o_orderkey, row_number() OVER (ORDER BY {hash_rank('o_orderkey')}) AS rk, count(*) OVER () AS n FROM orders),
 probs AS (SELECT o_orderkey, ({number(hash_rank('o_orderkey'))} + 0.5e0) / {HASH_RANGE} AS p FROM ranks),

@@ -290,7 +290,7 @@ def encode(
     return coded.select(*[f"`{k}`" for k in keep], F.array(*parts).alias("z"))
 
 
-def _constant_array(values: np.ndarray) -> Column:
+def constant_array(values: np.ndarray) -> Column:
     """A constant array<double>, read once by the optimizer from the shortest exact text of its entries."""
     return F.split(F.lit(",".join(map(repr, values.tolist()))), ",").cast("array<double>")
 
@@ -306,7 +306,7 @@ def _curves(state: EncoderState) -> list[dict]:
     names = ("value", "p_min", "p_max")
     return [
         {"size": len(grid[0]), "empty": bool(np.isnan(grid[0][0]))}
-        | {name: _constant_array(a) for name, a in zip(names, grid)}
+        | {name: constant_array(a) for name, a in zip(names, grid)}
         for grid in grids
     ]
 
