@@ -134,3 +134,13 @@ def test_streams_encode_and_decode_like_tables(spark, household, fitted, tmp_pat
     decode_stream(back, state, str(tmp_path / "out"), str(tmp_path / "c2"), ID).awaitTermination(120)
     decoded = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(map(str, decoded.collect())) == sorted(map(str, decode(encoded, state, ID).collect()))
+
+
+def test_trees_grow_in_many_tasks(spark):
+    """Encoded rows are narrow: dealt by bytes they would be one task, whatever their number."""
+    rows = spark.range(0, 9000, 1, 1).selectExpr("double(id % 3) AS y", "double(id) AS v")
+    dealt = evaluate._spread(rows)
+    sizes = dealt.groupBy(F.spark_partition_id()).count().select("count").collect()
+    assert len(sizes) == 5 and max(r["count"] for r in sizes) <= 2 * evaluate.TASK_ROWS
+    assert sorted(dealt.collect()) == sorted(rows.collect())
+    assert evaluate._spread(rows.limit(100)).rdd.getNumPartitions() == 1

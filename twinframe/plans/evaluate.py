@@ -40,6 +40,10 @@ DETECTION_TREES = 200
 UTILITY_TREES = 500
 DEPTH = 6
 
+#: Rows of a task that grows trees, while their tasks are few: a task also adds up the bins of all open nodes.
+TASK_ROWS = 2000
+TASK_SHARE = 50
+
 
 @dataclass(frozen=True)
 class FeatureModel:
@@ -108,6 +112,19 @@ def _rows(summary: DataFrame, method: str, family: str) -> DataFrame:
     )
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Computed once and dealt over tasks by their number: encoded rows are narrow, so by bytes all would be one task's.
+
+    Every row costs a step of each tree, and every task the bins of all open nodes; so
+    tasks grow with the rows while few, and with the root of them beyond. The cluster
+    plays no part, for the draws of a forest follow its partitions.
+    """
+    rows = materialize(rows)
+    n = rows.count()
+    tasks = min(-(-n // TASK_ROWS), int((n / TASK_SHARE) ** 0.5))
+    return materialize(rows.repartition(tasks)) if tasks > 1 else rows
+
+
 def _union(frames: Sequence[DataFrame]) -> DataFrame:
     whole = frames[0]
     for frame in frames[1:]:
@@ -144,9 +161,7 @@ def run_detection(
     rows = even.withColumn("y", F.when(F.col("side") == "synth", 1.0).otherwise(0.0))
     scores = []
     for s in seeds:
-        split = materialize(
-            features.transform(split_stratified(rows, ids, "side", s), ["y", "split"])
-        )
+        split = _spread(features.transform(split_stratified(rows, ids, "side", s), ["y", "split"]))
         model = RandomForestClassifier(
             labelCol="y", numTrees=trees, maxDepth=DEPTH, seed=s
         ).fit(split.where("split = 'train'"))
@@ -180,7 +195,7 @@ def score_classification(
     )
     model = RandomForestClassifier(
         labelCol="y", numTrees=trees, maxDepth=DEPTH, seed=seed
-    ).fit(materialize(encode(train)))
+    ).fit(_spread(encode(train)))
     tested = model.transform(encode(test)).select("y", F.col("prediction").alias("yhat"))
     return long_scores(classification_metrics(tested), ["accuracy", "macro_f1"], [])
 
@@ -200,7 +215,7 @@ def score_regression(
     encode = lambda rows: features.transform(rows.withColumn("y", value), ["y"])
     model = RandomForestRegressor(
         labelCol="y", numTrees=trees, maxDepth=DEPTH, seed=seed
-    ).fit(materialize(encode(train)))
+    ).fit(_spread(encode(train)))
     tested = model.transform(encode(test)).select("y", F.col("prediction").alias("yhat"))
     return long_scores(regression_metrics(tested), ["rmse", "r2"], [])
 
