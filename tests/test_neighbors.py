@@ -128,3 +128,41 @@ def test_both_sides_may_use_the_same_ids(spark, block):
     assert len(got) == 120 * 4
     for r in got:
         assert r["dist"] == pytest.approx(d[2 * r["id"] + (r["side"] == "synth"), r["rank"] - 1], abs=1e-12)
+
+
+def test_queries_travel_packed(spark, monkeypatch):
+    """A query visiting many blocks is not copied to each of them: groups of queries meet runs of blocks."""
+    monkeypatch.setattr(neighbors, "BLOCK", 20)
+    monkeypatch.setattr(neighbors, "TILE", 16)
+    points = np.random.default_rng(7).normal(size=(300, 16))
+    sides = np.arange(300) % 2 == 1
+    made = []
+    search = neighbors._search_far
+
+    def watched(bounded, placed, *rest):
+        made.append(search(bounded, placed, *rest))
+        return made[-1]
+
+    monkeypatch.setattr(neighbors, "_search_far", watched)
+    d, order = brute(points, sides, 3)
+    got = neighbors.knn_pooled(pair_of(spark, points, sides), "id", 3).collect()
+    assert len(got) == 900 and all(r["neighbor"] == order[r["id"], r["rank"] - 1] for r in got)
+    assert made and made[0].columns == ["query", "dist", "neighbor", "synth"]
+
+
+@pytest.mark.parametrize("scale", [1e-9, 1.0, 1e20])
+def test_close_pairs_are_measured_in_full(scale):
+    """Short numbers only choose: far from the origin and at any scale the pairs are those of full distances."""
+    rng = np.random.default_rng(9)
+    points, targets = (rng.normal(size=(n, 8)) * scale + 1000 * scale for n in (60, 90))
+    targets[:30] = points[:30]
+    targets[5, 2] = np.nan
+    away = neighbors._pivot_distances(points, targets)
+    bounds = np.sort(np.where(np.isnan(away), np.inf, away), axis=1)[:, 4]
+    point, target, dist = neighbors._close(points, targets, bounds, 5)
+    with np.errstate(invalid="ignore"):
+        assert sorted(zip(point, target)) == list(zip(*np.nonzero(away <= bounds[:, None])))
+    assert (dist == away[point, target]).all()
+    point, target, _ = neighbors._close(points, targets, np.full(60, np.inf), 5)
+    with np.errstate(invalid="ignore"):
+        assert set(zip(*np.nonzero(away <= bounds[:, None]))) <= set(zip(point, target))

@@ -4,14 +4,16 @@ Vectors are reduced to distinct ones first: copies share their neighbours, so a
 group of copies of any size costs one search.  The pool is split into cells
 around sampled pivots and each cell into blocks of bounded size.  Every query is
 first searched in one block near its own pivot, which bounds its k-th distance;
-then it visits only the blocks that can hold something closer.  Distances are
-computed block against block inside tasks and only the k best per query leave
-them.  Ties go to the smaller id.
+then it visits only the blocks that can hold something closer.  Groups of queries
+meet packed blocks inside tasks, where only tiles whose boxes are near enough are
+compared, by a matrix product that leaves few pairs to measure; only the k best per
+query leave a task.  Ties go to the smaller id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,6 +32,9 @@ MAX_PIVOTS = 1024
 
 #: Rows of one distance tile.
 TILE = 256
+#: Blocks' worth of queries that travel together, and blocks that meet them in one task.
+GROUP = 8
+RUN = 16
 SALTS = 32
 
 NEIGHBOUR = "struct<dist:double,neighbor:bigint,side:string>"
@@ -87,6 +92,59 @@ def _pivot_distances(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(total, out=total)
 
 
+def _close(
+    points: np.ndarray, targets: np.ndarray, bounds: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(point, target, distance) of all pairs within the point's bound and its k-th distance here.
+
+    A product in short numbers with room for its rounding leaves few pairs; only those
+    are measured, in full numbers.  Vectors with a non-finite part are near to nothing.
+    """
+    sound = np.flatnonzero(np.isfinite(targets).all(axis=1))
+    if not len(sound):
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    center = targets[sound].mean(axis=0)
+    left, right = points - center, targets[sound] - center
+    far_left = np.sqrt((left * left).sum(axis=1))
+    reach = far_left + np.sqrt((right * right).sum(axis=1)).max()
+    kind = np.float32 if np.nanmax(reach, initial=0.0) < 1e15 else np.float64
+    slack = (reach * reach) * (2 * (points.shape[1] + 8) * np.finfo(kind).eps)
+    left, right = left.astype(kind), right.astype(kind)
+    square = left @ right.T
+    square *= -2
+    square += (left * left).sum(axis=1)[:, None]
+    square += (right * right).sum(axis=1)[None, :]
+    limit = bounds * bounds * (1 + 1e-6) + slack
+    if len(sound) > k and not np.isfinite(bounds).all():
+        limit = np.fmin(limit, np.partition(square, k - 1, axis=1)[:, k - 1] + 2 * slack)
+    with np.errstate(over="ignore"):
+        point, target = np.nonzero(square <= np.nextafter(limit.astype(kind), kind(np.inf))[:, None])
+    target = sound[target]
+    total = np.zeros(len(point))
+    for d in range(points.shape[1]):
+        gap = points[point, d] - targets[target, d]
+        total += gap * gap
+    dist = np.sqrt(total)
+    kept = (dist <= bounds[point]) & np.isfinite(dist)
+    return point[kept], target[kept], dist[kept]
+
+
+def _first_k(query, dist, ids, synth, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the ``k`` best of every query, in order, and their ranks."""
+    order = np.lexsort((synth, ids, dist, query))
+    query = query[order]
+    rank = np.arange(len(query)) - np.searchsorted(query, query, side="left")
+    return order[rank < k], rank[rank < k]
+
+
+def _members(vector: np.ndarray, lengths: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every close vector stands for its members: (index into ``vector``, member)."""
+    times = lengths[vector]
+    found = np.repeat(np.arange(len(vector)), times)
+    place = np.arange(len(found)) - np.repeat(np.cumsum(times) - times, times)
+    return found, starts[vector[found]] + place
+
+
 def _assign(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Add ``cell`` (nearest pivot) and ``radius`` (distance to it)."""
 
@@ -126,22 +184,13 @@ def _search(queries: DataFrame, pool: DataFrame, k: int, skip_self: bool) -> Dat
         found = []
         for start in range(0, len(points), TILE):
             tile = slice(start, start + TILE)
-            away = _pivot_distances(points[tile], targets)
+            query, vector, dist = _close(points[tile], targets, bounds[tile], k + skip_self)
             if skip_self:
-                away[queries[tile, None] == names[None, :]] = np.inf
-            keep = min(k, away.shape[1])
-            limit = np.partition(away, keep - 1, axis=1)[:, keep - 1 : keep]
-            limit = np.minimum(limit, bounds[tile, None])
-            query, vector = np.nonzero((away <= limit) & np.isfinite(away))
-            # every close vector stands for its members
-            times = lengths[vector]
-            query, dist = np.repeat(query, times), np.repeat(away[query, vector], times)
-            place = np.arange(len(query)) - np.repeat(np.cumsum(times) - times, times)
-            member = np.repeat(starts[vector], times) + place
-            order = np.lexsort((synth[member], ids[member], dist, query))
-            query, dist, member = query[order], dist[order], member[order]
-            rank = np.arange(len(query)) - np.searchsorted(query, query, side="left")
-            kept = rank < k
+                other = queries[tile][query] != names[vector]
+                query, vector, dist = query[other], vector[other], dist[other]
+            at, member = _members(vector, lengths, starts)
+            query, dist = query[at], dist[at]
+            kept, _ = _first_k(query, dist, ids[member], synth[member], k)
             found.append(
                 pd.DataFrame(
                     {"query": queries[tile][query[kept]], "dist": dist[kept],
@@ -230,8 +279,7 @@ def nearest_vectors(queries: DataFrame, pool: DataFrame, k: int, skip_self: bool
     far = F.when(F.count(F.lit(1)) >= k, F.max("dist")).otherwise(F.lit(float("inf")))
     reached = near.groupBy(F.col("query").alias("vec")).agg(far.alias("bound"))
     bounded = home.drop("bound").join(reached, "vec", "left").fillna(float("inf"), ["bound"])
-    visits = _visits(bounded, pivots, here, cells, parts)
-    more = _search(visits, _to_chunks(placed, visits), k, skip_self)
+    more = _search_far(bounded, placed, pivots, here, cells, parts, homes, block, k, skip_self)
     return _merge(near.unionByName(more), k)
 
 
@@ -247,56 +295,212 @@ def _to_chunks(pool: DataFrame, queries: DataFrame) -> DataFrame:
     return pool.join(needed, ["cell", "block"])
 
 
-def _visits(bounded: DataFrame, pivots, here, cells, parts) -> DataFrame:
-    """Rows of (query, cell, block) for cells the triangle inequality cannot exclude.
-
-    A cell's points lie between ``low`` and ``high`` from its pivot and nearer to it
-    than to any other pivot; both facts bound their distance to the query.
+def _in_turn(points: np.ndarray) -> np.ndarray:
+    """An order in which every run of ``TILE`` lies close together: halved along the widest dimension."""
+    done, left = [], [np.arange(len(points))]
+    while left:
+        some = left.pop()
+        if len(some) <= TILE:
+            done.append(some)
+            continue
+        part = points[some]
+        with np.errstate(invalid="ignore"):
+            wide = int(np.argmax(np.nan_to_num(np.ptp(part, axis=0))))
+        half = (len(some) // 2 + TILE - 1) // TILE * TILE
+        order = np.argpartition(part[:, wide], half - 1)
+        left += [some[order[half:]], some[order[:half]]]
+    return np.concatenate(done)
+
+
+def _boxes(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest coordinates of every run of ``TILE``."""
+    starts = np.arange(0, len(points), TILE)
+    return np.fmin.reduceat(points, starts), np.fmax.reduceat(points, starts)
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Pivots, and the distance range of the pool around those that have any."""
+
+    pivots: np.ndarray
+    here: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def admitted(self, points: np.ndarray, home: np.ndarray, own: np.ndarray, bound: np.ndarray, which) -> np.ndarray:
+        """(point, cell): cells that the triangle inequality cannot exclude.
+
+        A cell's points lie between ``low`` and ``high`` from its pivot and nearer to it
+        than to any other pivot; both facts bound their distance to the query.
+        """
+        targets, low, high = self.pivots[self.here[which]], self.low[which], self.high[which]
+        away = _pivot_distances(points, targets)
+        gap = np.maximum(np.maximum(away - high, low - away), 0.0)
+        apart = _pivot_distances(self.pivots, targets)[home]
+        plane = np.where(
+            apart > 0, (away * away - (own * own)[:, None]) / (2 * np.where(apart > 0, apart, 1.0)), 0.0
+        )
+        return np.maximum(gap, plane) <= bound[:, None]
+
+
+def _turns(pivots: np.ndarray, homes: dict[int, int], size: int) -> tuple[dict[int, int], dict[int, int]]:
+    """First group, and number of groups, of the queries of every cell: near cells share one of about ``size``."""
+    order = [c for c in _nearby(pivots) if c in homes]
+    first, count, group, held = {}, {}, 0, 0
+    for c in order:
+        if held and held + homes[c] > size:
+            group, held = group + 1, 0
+        first[c], count[c] = group, -(-homes[c] // size)
+        held += homes[c]
+        if count[c] > 1:
+            group, held = group + count[c], 0
+    return first, count
+
+
+def _nearby(points: np.ndarray) -> list[int]:
+    """Numbers of the points in an order that keeps near ones together."""
+    done, left = [], [np.arange(len(points))]
+    while left:
+        some = left.pop()
+        if len(some) < 2:
+            done += some.tolist()
+            continue
+        part = points[some]
+        order = np.argsort(part[:, int(np.argmax(np.nan_to_num(np.ptp(part, axis=0))))], kind="stable")
+        left += [some[order[len(some) // 2 :]], some[order[: len(some) // 2]]]
+    return done
+
+
+def _search_far(bounded, placed, pivots, here, cells, parts, homes, block: int, k: int, skip_self: bool) -> DataFrame:
+    """Best ``k`` members within ``bound`` per query and run of blocks, beyond the block searched first.
+
+    Queries travel in groups of ``GROUP`` blocks, the pool in packed blocks, one copy
+    per group that may find something there; ``RUN`` blocks meet a group in one task,
+    which narrows the bounds from block to block.
     """
-    targets = pivots[here]
-    low = np.array([cells[c]["low"] for c in here])
-    high = np.array([cells[c]["high"] for c in here])
-    blocks = np.array([parts[c] for c in here])
-    here = np.array(here)
-    between = _pivot_distances(pivots, targets)
-
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for start in range(0, len(batch), TILE):
-                part = batch.iloc[start : start + TILE]
-                points, bound = np.stack(part["z"].to_numpy()), part["bound"].to_numpy(float)
-                home = part["cell"].to_numpy()
-                away = _pivot_distances(points, targets)
-                own = part["radius"].to_numpy(float)
-                gap = np.maximum(np.maximum(away - high, low - away), 0.0)
-                apart = between[home]
-                plane = np.where(
-                    apart > 0,
-                    (away * away - (own * own)[:, None]) / (2 * np.where(apart > 0, apart, 1.0)),
-                    0.0,
-                )
-                # a little slack: rounding must not exclude a tie
-                reach = bound * (1 + 1e-9) + 1e-9
-                admitted = np.maximum(gap, plane) <= reach[:, None]
-                query, cell = np.nonzero(admitted)
-                times = blocks[cell]
-                query, cell = np.repeat(query, times), np.repeat(cell, times)
-                block = np.arange(len(cell)) - np.repeat(np.cumsum(times) - times, times)
-                chosen = part.iloc[query]
-                searched = (chosen["cell"].to_numpy() == here[cell]) & (
-                    chosen["block"].to_numpy() == block
-                )
-                out = pd.DataFrame(
-                    {"vec": chosen["vec"].to_numpy(), "z": chosen["z"].to_numpy(),
-                     "chunk": chosen["chunk"].to_numpy(), "cell": here[cell], "block": block,
-                     "bound": reach[query]}
-                )
-                yield out[~searched]
+    map_ = Cells(
+        pivots, np.array(here), np.array([cells[c]["low"] for c in here]), np.array([cells[c]["high"] for c in here])
+    )
+    index = {c: i for i, c in enumerate(here)}
+    turn = [c for c in _nearby(pivots) if c in index]
+    firsts = dict(zip(turn, np.cumsum([0] + [parts[c] for c in turn]).tolist()))
+
+    def pack_pool(rows: pd.DataFrame) -> pd.DataFrame:
+        z = np.stack(rows["z"].to_numpy())
+        order = _in_turn(z)
+        rows, z = rows.iloc[order], z[order]
+        lengths = rows["ids"].map(len).to_numpy("<i8")
+        ids, synth = (np.concatenate(rows[c].to_numpy()) for c in ("ids", "synths"))
+        return pd.DataFrame([{
+            "cell": int(rows["cell"].iloc[0]), "block": int(rows["block"].iloc[0]), "z": z.astype("<f8").tobytes(),
+            "vec": rows["vec"].to_numpy("<i8").tobytes(), "lengths": lengths.tobytes(),
+            "ids": ids.astype("<i8").tobytes(), "synths": synth.astype("u1").tobytes(),
+        }])
+
+    blocks = (
+        placed.select("cell", "block", "vec", "z", F.col("members.id").alias("ids"),
+                      F.transform("members.side", lambda s: s == "synth").alias("synths"))
+        .groupBy("cell", "block")
+        .applyInPandas(pack_pool, "cell int, block int, z binary, vec binary, lengths binary, ids binary, synths binary")
+    )
 
-    return bounded.select("vec", "z", "chunk", "cell", "block", "radius", "bound").mapInPandas(
-        visit, "vec bigint, z array<double>, chunk int, cell int, block int, bound double"
+    def pack_queries(rows: pd.DataFrame) -> pd.DataFrame:
+        z = np.stack(rows["z"].to_numpy())
+        order = _in_turn(z)
+        rows, z = rows.iloc[order], z[order]
+        # a little slack: rounding must not exclude a tie
+        reach = rows["bound"].to_numpy("<f8") * (1 + 1e-9) + 1e-9
+        home, own = rows["cell"].to_numpy("<i4"), rows["radius"].to_numpy("<f8")
+        met = np.zeros(len(map_.here), bool)
+        for start in range(0, len(z), TILE):
+            tile = slice(start, start + TILE)
+            met |= map_.admitted(z[tile], home[tile], own[tile], reach[tile], slice(None)).any(axis=0)
+        return pd.DataFrame([{
+            "group": int(rows["group"].iloc[0]), "z": z.astype("<f8").tobytes(), "vec": rows["vec"].to_numpy("<i8").tobytes(),
+            "bound": reach.tobytes(), "home": home.tobytes(), "own": own.tobytes(),
+            "searched": rows["block"].to_numpy("<i4").tobytes(), "cells": map_.here[met].tolist(),
+        }])
+
+    first, count = _turns(pivots, homes, GROUP * block)
+    group = _number_map(first)[F.col("cell")] + F.pmod(
+        F.xxhash64("vec", F.lit("group")), _number_map(count)[F.col("cell")]
+    )
+    asked = materialize(
+        bounded.withColumn("group", group.cast("int"))
+        .select("group", "vec", "z", "cell", "block", "radius", "bound")
+        .groupBy("group")
+        .applyInPandas(
+            pack_queries,
+            "group int, z binary, vec binary, bound binary, home binary, own binary, searched binary, cells array<int>",
+        )
+    )
+    visits = (
+        asked.select("group", F.explode("cells").alias("cell"))
+        .withColumn("block", F.explode(F.sequence(F.lit(0), (_number_map(parts)[F.col("cell")] - 1).cast("int"))))
+        .withColumn("run", F.floor((_number_map(firsts)[F.col("cell")] + F.col("block")) / RUN).cast("int"))
     )
 
+    def best(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"query": [], "dist": [], "neighbor": [], "synth": []})
+        if not len(left) or not len(right):
+            return empty
+        asked = left.iloc[0]
+        names = np.frombuffer(asked["vec"], "<i8")
+        points = np.frombuffer(asked["z"], "<f8").reshape(len(names), -1)
+        bound = np.frombuffer(asked["bound"], "<f8").copy()
+        home, own = np.frombuffer(asked["home"], "<i4"), np.frombuffer(asked["own"], "<f8")
+        searched = np.frombuffer(asked["searched"], "<i4")
+        held = [np.zeros(0, int), np.zeros(0), np.zeros(0, "<i8"), np.zeros(0, bool)]
+        pending, waiting = [held], 0
+        for row in right.sort_values(["cell", "block"]).itertuples():
+            vecs, lengths = np.frombuffer(row.vec, "<i8"), np.frombuffer(row.lengths, "<i8")
+            ids, synth = np.frombuffer(row.ids, "<i8"), np.frombuffer(row.synths, "u1").astype(bool)
+            targets, starts = np.frombuffer(row.z, "<f8").reshape(len(vecs), -1), np.cumsum(lengths) - lengths
+            low, high = _boxes(targets)
+            for start in range(0, len(names), TILE):
+                tile = slice(start, start + TILE)
+                seen = (home[tile] == row.cell) & (searched[tile] == row.block)
+                at = [index[row.cell]]
+                asks = start + np.flatnonzero(
+                    map_.admitted(points[tile], home[tile], own[tile], bound[tile], at)[:, 0] & ~seen
+                )
+                if not len(asks):
+                    continue
+                some = points[asks]
+                apart = np.fmax(np.fmax(low - np.fmax.reduce(some), np.fmin.reduce(some) - high), 0.0)
+                inside = np.repeat(np.sqrt((apart * apart).sum(axis=1)) <= bound[asks].max() * (1 + 1e-9) + 1e-9, TILE)
+                chosen = np.flatnonzero(inside[: len(vecs)])
+                query, vector, dist = _close(some, targets[chosen], bound[asks], k + skip_self)
+                query, vector = asks[query], chosen[vector]
+                if skip_self:
+                    other = names[query] != vecs[vector]
+                    query, vector, dist = query[other], vector[other], dist[other]
+                if not len(query):
+                    continue
+                place, member = _members(vector, lengths, starts)
+                pending.append([query[place], dist[place], ids[member], synth[member]])
+                waiting += len(place)
+            if waiting > len(names):
+                pending, waiting = [_narrow(pending, bound, k)], 0
+        query, dist, neighbor, synths = _narrow(pending, bound, k)
+        return pd.DataFrame({"query": names[query], "dist": dist, "neighbor": neighbor, "synth": synths})
+
+    # both sides stem from the same visits: rename to get distinct columns
+    left = asked.drop("cells").join(visits.select("group", "run").distinct(), "group")
+    left = left.toDF(*left.columns)
+    right = blocks.join(visits.toDF(*visits.columns), ["cell", "block"])
+    right = right.toDF(*right.columns)
+    return left.groupBy("group", "run").cogroup(right.groupBy("group", "run")).applyInPandas(best, FOUND)
+
+
+def _narrow(pending: list, bound: np.ndarray, k: int) -> list[np.ndarray]:
+    """The ``k`` best so far of every query; ``bound`` falls to the k-th distance."""
+    query, dist, ids, synth = (np.concatenate(x) for x in zip(*pending))
+    kept, rank = _first_k(query, dist, ids, synth, k)
+    full = kept[rank == k - 1]
+    bound[query[full]] = np.minimum(bound[query[full]], dist[full] * (1 + 1e-9) + 1e-9)
+    return [query[kept], dist[kept], ids[kept], synth[kept]]
+
 
 def _to_rows(rows: DataFrame, answers: DataFrame) -> DataFrame:
     """Give every row the answer of its vector; rows of one vector spread over salts.
