@@ -9,7 +9,8 @@ larger than a block is searched block by block: none is capped.
 
 How many tables are needed is measured: hash-chosen queries are searched exactly as
 well, and tables are added until enough of their neighbours are found.  Where no
-number of tables suffices the search is exact.
+number of tables suffices, or those of a large pool would compare more than a fixed
+share of it, the search is exact.
 """
 
 from __future__ import annotations
@@ -34,6 +35,9 @@ PROBES = 12
 #: Of so many nearest planes every set is considered for a probe.
 FLIPS = 6
 MAX_PLANES = 40
+#: A pool of over so many blocks is searched exactly where its tables would compare over 1 / SHARE of it.
+LARGE = 8
+SHARE = 8
 #: The measured recall must exceed the wanted one by this much, for it is an estimate.
 SPARE = 0.02
 
@@ -117,9 +121,20 @@ def _best(found: DataFrame) -> DataFrame:
     return found.groupBy("query", "neighbor", "synth").agg(F.min("dist").alias("dist")).select("query", "dist", "neighbor", "synth")
 
 
-def nearest_in_tables(queries: DataFrame, pool: DataFrame, k: int, planes: Planes, probes: int = PROBES) -> DataFrame:
-    """``(query, near)`` like ``neighbors.nearest_vectors``, from the buckets that are visited."""
-    placed = materialize(pool.select("vec", "z", "members", F.explode(_codes(F.col("z"), planes)).alias("cell")))
+def nearest_in_tables(
+    queries: DataFrame, pool: DataFrame, k: int, planes: Planes, probes: int = PROBES, few: bool = False
+) -> DataFrame:
+    """``(query, near)`` like ``neighbors.nearest_vectors``, from the buckets that are visited.
+
+    Of a pool met by ``few`` queries only the buckets they can visit are kept.
+    """
+    named = queries.select("vec", "z", F.lit(float("inf")).alias("bound"), F.explode(_codes(F.col("z"), planes)).alias("cell"))
+    placed = pool.select("vec", "z", "members", F.explode(_codes(F.col("z"), planes)).alias("cell"))
+    if few:
+        unbounded = queries.select("vec", "z", F.lit(float("inf")).alias("bound"))
+        met = materialize(named.select("cell").unionByName(_probes(unbounded, planes, probes).select("cell")).distinct())
+        placed = placed.join(F.broadcast(met), "cell", "left_semi")
+    placed = materialize(placed)
     blocks = F.ceil(F.col("n") / neighbors.BLOCK).cast("int")
     sizes = materialize(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).select("cell", blocks.alias("blocks")))
     placed = placed.join(sizes, "cell").withColumn("block", neighbors._blocks_of(F.col("vec"), F.col("blocks"))).drop("blocks")
@@ -128,8 +143,7 @@ def nearest_in_tables(queries: DataFrame, pool: DataFrame, k: int, planes: Plane
         dealt = _spread(visits, sizes)
         return neighbors._search(dealt, neighbors._to_chunks(placed, dealt), k, False)
 
-    own = queries.select("vec", "z", F.lit(float("inf")).alias("bound"), F.explode(_codes(F.col("z"), planes)).alias("cell"))
-    near = materialize(_best(searched(own)))
+    near = materialize(_best(searched(named)))
     order = Window.partitionBy("query").orderBy("dist", "neighbor", "synth")
     kth = near.withColumn("_place", F.row_number().over(order)).where(F.col("_place") == k).select(
         F.col("query").alias("vec"), F.col("dist").alias("bound")
@@ -165,15 +179,17 @@ def knn_approx(
     vectors = materialize(neighbors.distinct_vectors(rows, k + 1))
     size = vectors.count()
     planes = min(MAX_PLANES, max(0, int(np.ceil(np.log2(max(1, size) / bucket)))))
+    # every visit carries its vector, an exact search only packed groups: beyond this it costs less
+    worth = [t for t in TABLES if size <= LARGE * neighbors.BLOCK or t * PROBES * bucket * SHARE <= size]
     found, measured, used = None, 1.0, 0
-    if planes:
+    if planes and worth:
         turn = [F.xxhash64(F.lit(seed), "z"), F.col("vec")]
         sample = np.array([r["z"] for r in vectors.orderBy(*turn).limit(SAMPLE).select("z").collect()], float)
         chosen = materialize(vectors.orderBy(*turn).limit(MEASURED))
         exact = materialize(neighbors.nearest_vectors(chosen, vectors, k + 1, skip_self=False))
-        for tables in TABLES:
+        for tables in worth:
             fitted = Planes(sample, tables, planes, seed)
-            reached = _recall(nearest_in_tables(chosen, vectors, k + 1, fitted), exact)
+            reached = _recall(nearest_in_tables(chosen, vectors, k + 1, fitted, few=True), exact)
             if reached >= min(1.0, recall + SPARE):
                 found, measured, used = nearest_in_tables(vectors, vectors, k + 1, fitted), reached, tables
                 break
