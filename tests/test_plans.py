@@ -144,3 +144,21 @@ def test_trees_grow_in_many_tasks(spark):
     assert len(sizes) == 5 and max(r["count"] for r in sizes) <= 2 * evaluate.TASK_ROWS
     assert sorted(dealt.collect()) == sorted(rows.collect())
     assert evaluate._spread(rows.limit(100)).rdd.getNumPartitions() == 1
+
+
+def test_tasks_of_a_forest_grow_slower_than_large_tables():
+    assert [evaluate._tasks(n) for n in (0, 2000, 2001, 80_000, 630_000)] == [0, 1, 2, 40, 40]
+    assert evaluate._tasks(5_400_000) < 120
+
+
+def test_tested_rows_walk_the_trees_in_many_tasks(spark, monkeypatch):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = spark.range(400).select(F.col("id").cast("double").alias("x"), (F.col("id") % 2).cast("double").alias("y"))
+    rows = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows).coalesce(1)
+    model = RandomForestClassifier(labelCol="y", numTrees=3, seed=1).fit(rows)
+    monkeypatch.setattr(evaluate, "TASK_ROWS", 100)
+    found = evaluate._predicted(model, rows)
+    assert found.rdd.getNumPartitions() == 4
+    assert found.count() == 400 and found.columns == ["y", "yhat"]

@@ -40,9 +40,10 @@ DETECTION_TREES = 200
 UTILITY_TREES = 500
 DEPTH = 6
 
-#: Rows of a task that grows trees, while their tasks are few: a task also adds up the bins of all open nodes.
+#: Rows of a task that grows or walks trees, while their tasks are few: a task also adds up the bins of all open nodes.
 TASK_ROWS = 2000
-TASK_SHARE = 50
+TASKS = 40
+TASK_SHARE = 400
 
 
 @dataclass(frozen=True)
@@ -116,15 +117,24 @@ def _spread(rows: DataFrame) -> DataFrame:
     """Computed once and dealt over tasks by their number: encoded rows are narrow, so by bytes all would be one task's.
 
     Every row costs a step of each tree, and every task the bins of all open nodes; so
-    tasks grow with the rows while few, and with the root of them beyond. The cluster
-    plays no part, for the draws of a forest follow its partitions.
+    tasks grow with the rows while few, and with the root of them once that asks for
+    more. The cluster plays no part, for the draws of a forest follow its partitions.
     """
     rows = materialize(rows)
-    n = rows.count()
-    tasks = min(-(-n // TASK_ROWS), int((n / TASK_SHARE) ** 0.5))
+    tasks = _tasks(rows.count())
     return materialize(rows.repartition(tasks)) if tasks > 1 else rows
 
 
+def _tasks(n: int) -> int:
+    few = max(TASKS, int((n / TASK_SHARE) ** 0.5))
+    return min(-(-n // TASK_ROWS), few)
+
+
+def _predicted(model: Model, rows: DataFrame) -> DataFrame:
+    """Tested rows with their prediction; every one walks all trees, so they are dealt as training rows are."""
+    return model.transform(_spread(rows)).select("y", F.col("prediction").alias("yhat"))
+
+
 def _union(frames: Sequence[DataFrame]) -> DataFrame:
     whole = frames[0]
     for frame in frames[1:]:
@@ -163,7 +173,7 @@ def run_detection(
     for s in seeds:
         split = _spread(features.transform(split_stratified(rows, ids, "side", s), ["y", "split"]))
         model = RandomForestClassifier(
-            labelCol="y", numTrees=trees, maxDepth=DEPTH, seed=s
+            labelCol="y", numTrees=trees, maxDepth=DEPTH, seed=s, cacheNodeIds=True
         ).fit(split.where("split = 'train'"))
         tested = materialize(
             model.transform(split.where("split = 'test'")).select(
@@ -194,9 +204,9 @@ def score_classification(
         features.transform(_target(rows, target), ["_target"])
     )
     model = RandomForestClassifier(
-        labelCol="y", numTrees=trees, maxDepth=DEPTH, seed=seed
+        labelCol="y", numTrees=trees, maxDepth=DEPTH, seed=seed, cacheNodeIds=True
     ).fit(_spread(encode(train)))
-    tested = model.transform(encode(test)).select("y", F.col("prediction").alias("yhat"))
+    tested = _predicted(model, encode(test))
     return long_scores(classification_metrics(tested), ["accuracy", "macro_f1"], [])
 
 
@@ -214,9 +224,9 @@ def score_regression(
     value = F.col(f"`{target}`").cast("double")
     encode = lambda rows: features.transform(rows.withColumn("y", value), ["y"])
     model = RandomForestRegressor(
-        labelCol="y", numTrees=trees, maxDepth=DEPTH, seed=seed
+        labelCol="y", numTrees=trees, maxDepth=DEPTH, seed=seed, cacheNodeIds=True
     ).fit(_spread(encode(train)))
-    tested = model.transform(encode(test)).select("y", F.col("prediction").alias("yhat"))
+    tested = _predicted(model, encode(test))
     return long_scores(regression_metrics(tested), ["rmse", "r2"], [])
 
 
