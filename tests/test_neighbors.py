@@ -166,3 +166,38 @@ def test_close_pairs_are_measured_in_full(scale):
     point, target, _ = neighbors._close(points, targets, np.full(60, np.inf), 5)
     with np.errstate(invalid="ignore"):
         assert set(zip(*np.nonzero(away <= bounds[:, None]))) <= set(zip(point, target))
+
+
+def test_points_meet_only_the_tiles_they_may_find_something_in(monkeypatch):
+    """Points of one tile apart from each other each visit their own tiles, not those of all."""
+    tile = neighbors.TILE
+    rng = np.random.default_rng(5)
+    targets = np.concatenate([rng.random((tile, 3)) + 10 * i for i in range(8)])
+    points = targets[:: tile // 4] + 0.01
+    bounds = np.full(len(points), 0.3)
+    compared = []
+    close = neighbors._close
+
+    def counted(some, others, *rest):
+        compared.append(len(some) * len(others))
+        return close(some, others, *rest)
+
+    monkeypatch.setattr(neighbors, "_close", counted)
+    asks = np.arange(1, len(points))
+    found = {(int(p), int(t)) for q, v, _ in neighbors._in_block(points, bounds, asks, targets, 3) for p, t in zip(q, v)}
+    away = neighbors._pivot_distances(points, targets)
+    assert found == {(int(p), int(t)) for p, t in np.argwhere(away <= 0.3) if p}
+    assert sum(compared) == len(asks) * tile
+
+
+def test_points_meet_whole_blocks_where_boxes_leave_nothing_out():
+    rng = np.random.default_rng(6)
+    targets, points = rng.normal(size=(600, 16)), rng.normal(size=(70, 16))
+    targets[5, 2] = np.nan
+    bounds = np.where(np.arange(70) % 2, np.inf, 4.0)
+    kept = {}
+    for query, vector, dist in neighbors._in_block(points, bounds, np.arange(70), targets, 600):
+        kept |= {(int(p), int(t)): d for p, t, d in zip(query, vector, dist)}
+    away = neighbors._pivot_distances(points, targets)
+    assert kept == {(int(p), int(t)): away[p, t] for p, t in np.argwhere(away <= bounds[:, None])}
+    assert not list(neighbors._in_block(points, bounds, np.arange(0), targets, 3))

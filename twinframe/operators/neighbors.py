@@ -32,6 +32,8 @@ MAX_PIVOTS = 1024
 
 #: Rows of one distance tile.
 TILE = 256
+#: One point in so many shows whether boxes of tiles leave anything out.
+PROBE = 64
 #: Blocks' worth of queries that travel together, and blocks that meet them in one task.
 GROUP = 8
 RUN = 16
@@ -110,15 +112,16 @@ def _close(
     kind = np.float32 if np.nanmax(reach, initial=0.0) < 1e15 else np.float64
     slack = (reach * reach) * (2 * (points.shape[1] + 8) * np.finfo(kind).eps)
     left, right = left.astype(kind), right.astype(kind)
-    square = left @ right.T
-    square *= -2
-    square += (left * left).sum(axis=1)[:, None]
-    square += (right * right).sum(axis=1)[None, :]
+    # one product gives |x|^2 - 2 xy + |y|^2
+    square = np.column_stack([-2 * left, (left * left).sum(axis=1), np.ones(len(left), kind)]) @ np.column_stack(
+        [right, np.ones(len(right), kind), (right * right).sum(axis=1)]
+    ).T
     limit = bounds * bounds * (1 + 1e-6) + slack
     if len(sound) > k and not np.isfinite(bounds).all():
         limit = np.fmin(limit, np.partition(square, k - 1, axis=1)[:, k - 1] + 2 * slack)
     with np.errstate(over="ignore"):
-        point, target = np.nonzero(square <= np.nextafter(limit.astype(kind), kind(np.inf))[:, None])
+        within = square <= np.nextafter(limit.astype(kind), kind(np.inf))[:, None]
+    point, target = np.divmod(np.flatnonzero(within), len(sound))
     target = sound[target]
     total = np.zeros(len(point))
     for d in range(points.shape[1]):
@@ -318,6 +321,42 @@ def _boxes(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.fmin.reduceat(points, starts), np.fmax.reduceat(points, starts)
 
 
+def _near_tiles(points: np.ndarray, bounds: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """(point, tile): tiles whose box is not farther from the point than its bound."""
+    total = np.zeros((len(points), len(low)))
+    for d in range(points.shape[1]):
+        value = points[:, d, None]
+        gap = np.fmax(np.fmax(low[:, d] - value, value - high[:, d]), 0.0)
+        total += gap * gap
+    # a little slack: rounding must not exclude a tie
+    return np.sqrt(total) <= (bounds * (1 + 1e-9) + 1e-9)[:, None]
+
+
+def _in_block(points: np.ndarray, bounds: np.ndarray, asks: np.ndarray, targets: np.ndarray, k: int):
+    """Runs of (point, target, distance) as of ``_close``, for the points numbered ``asks``.
+
+    Every point meets only the tiles it may find something in; where a few points show
+    that this leaves most of them, as in many dimensions, all are compared.
+    """
+    if not len(asks):
+        return
+    low, high = _boxes(targets)
+    few = asks[::PROBE]
+    if _near_tiles(points[few], bounds[few], low, high).mean() > 0.5:
+        for start in range(0, len(asks), TILE):
+            some = asks[start : start + TILE]
+            point, target, dist = _close(points[some], targets, bounds[some], k)
+            yield some[point], target, dist
+        return
+    for start in range(0, len(asks), BLOCK):
+        some = asks[start : start + BLOCK]
+        near = _near_tiles(points[some], bounds[some], low, high)
+        for tile in np.flatnonzero(near.any(axis=0)):
+            those, first = some[near[:, tile]], tile * TILE
+            point, target, dist = _close(points[those], targets[first : first + TILE], bounds[those], k)
+            yield those[point], first + target, dist
+
+
 @dataclass(frozen=True)
 class Cells:
     """Pivots, and the distance range of the pool around those that have any."""
@@ -336,7 +375,8 @@ class Cells:
         targets, low, high = self.pivots[self.here[which]], self.low[which], self.high[which]
         away = _pivot_distances(points, targets)
         gap = np.maximum(np.maximum(away - high, low - away), 0.0)
-        apart = _pivot_distances(self.pivots, targets)[home]
+        homes, at = np.unique(home, return_inverse=True)
+        apart = _pivot_distances(self.pivots[homes], targets)[at]
         plane = np.where(
             apart > 0, (away * away - (own * own)[:, None]) / (2 * np.where(apart > 0, apart, 1.0)), 0.0
         )
@@ -456,22 +496,9 @@ def _search_far(bounded, placed, pivots, here, cells, parts, homes, block: int,
             vecs, lengths = np.frombuffer(row.vec, "<i8"), np.frombuffer(row.lengths, "<i8")
             ids, synth = np.frombuffer(row.ids, "<i8"), np.frombuffer(row.synths, "u1").astype(bool)
             targets, starts = np.frombuffer(row.z, "<f8").reshape(len(vecs), -1), np.cumsum(lengths) - lengths
-            low, high = _boxes(targets)
-            for start in range(0, len(names), TILE):
-                tile = slice(start, start + TILE)
-                seen = (home[tile] == row.cell) & (searched[tile] == row.block)
-                at = [index[row.cell]]
-                asks = start + np.flatnonzero(
-                    map_.admitted(points[tile], home[tile], own[tile], bound[tile], at)[:, 0] & ~seen
-                )
-                if not len(asks):
-                    continue
-                some = points[asks]
-                apart = np.fmax(np.fmax(low - np.fmax.reduce(some), np.fmin.reduce(some) - high), 0.0)
-                inside = np.repeat(np.sqrt((apart * apart).sum(axis=1)) <= bound[asks].max() * (1 + 1e-9) + 1e-9, TILE)
-                chosen = np.flatnonzero(inside[: len(vecs)])
-                query, vector, dist = _close(some, targets[chosen], bound[asks], k + skip_self)
-                query, vector = asks[query], chosen[vector]
+            seen = (home == row.cell) & (searched == row.block)
+            asks = np.flatnonzero(map_.admitted(points, home, own, bound, [index[row.cell]])[:, 0] & ~seen)
+            for query, vector, dist in _in_block(points, bound, asks, targets, k + skip_self):
                 if skip_self:
                     other = names[query] != vecs[vector]
                     query, vector, dist = query[other], vector[other], dist[other]
