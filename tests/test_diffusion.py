@@ -168,3 +168,20 @@ def test_held_out_rows_choose_the_components(spark):
         best = [r["components"] for r in found if r["chosen"]]
         assert len(best) == 1 and best[0] in want
         assert best[0] == max(found, key=lambda r: r["log_likelihood"])["components"]
+
+
+def test_one_noise_level_is_worked_out_once(monkeypatch):
+    """A level's factors serve all rows, and a single component needs no likelihoods."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(50, 4))
+    covariances = [np.diag([0.5, 1.0, 1.5, 2.0]), np.eye(4)]
+    two = MixtureModel.of([0.3, 0.7], rng.normal(size=(2, 4)), covariances)
+    assert (two.predict_noise(x, 0.4) == two.predict_noise(x, np.full(50, 0.4))).all()
+    assert two.predict_noise(x[:0], 0.4).shape == (0, 4)
+    one = MixtureModel.of([1.0], two.means[:1], covariances[:1])
+    sizes, log = [], np.log
+    monkeypatch.setattr(diffusion.np, "log", lambda v: sizes.append(np.size(v)) or log(v))
+    one.predict_noise(x, 0.4)
+    assert not sizes
+    two.predict_noise(x, 0.4)
+    assert max(sizes) == 4

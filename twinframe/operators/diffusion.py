@@ -153,7 +153,8 @@ class MixtureModel:
 
     def predict_noise(self, x: np.ndarray, alpha_bar) -> np.ndarray:
         """Expected noise in rows ``x`` at noise level ``alpha_bar`` (scalar or per row)."""
-        a = np.broadcast_to(np.asarray(alpha_bar, float), (len(x),))[:, None]
+        # one row of factors serves all rows of one noise level
+        a = np.asarray(alpha_bar, float).reshape(-1, 1)
         logs, guesses = [], []
         for weight, mean, values, vectors in zip(
             self.weights, self.means, self.values, self.vectors
@@ -162,9 +163,9 @@ class MixtureModel:
             turned = (x - np.sqrt(a) * mean) @ vectors
             scaled = turned / spread
             guesses.append(np.sqrt(1 - a) * (scaled @ vectors.T))
+            if len(self.weights) == 1:
+                return guesses[0]
             logs.append(np.log(weight) - 0.5 * (np.log(spread) + turned * scaled).sum(axis=1))
-        if len(logs) == 1:
-            return guesses[0]
         logs = np.array(logs)
         share = np.exp(logs - logs.max(axis=0))
         share /= share.sum(axis=0)
@@ -340,12 +341,17 @@ def reverse_sample(
     def draw(number: int, size: int) -> np.ndarray:
         random = _stream(seed, number, 1)
         x = random.standard_normal((size, model.width))
+        drawn = np.empty_like(x)
         for t in range(steps - 1, -1, -1):
-            step = beta[t] / np.sqrt(1 - alpha_bar[t])
-            x = (x - step * model.predict_noise(x, alpha_bar[t])) / np.sqrt(1 - beta[t])
+            noise = model.predict_noise(x, alpha_bar[t])
+            noise *= beta[t] / np.sqrt(1 - alpha_bar[t])
+            x -= noise
+            x /= np.sqrt(1 - beta[t])
             if t > 0:
-                x = x + np.sqrt(beta[t]) * random.standard_normal(x.shape)
-            x = np.clip(x, -SAMPLE_LIMIT, SAMPLE_LIMIT)
+                random.standard_normal(out=drawn)
+                drawn *= np.sqrt(beta[t])
+                x += drawn
+            np.clip(x, -SAMPLE_LIMIT, SAMPLE_LIMIT, out=x)
         return x
 
     return _draw_blocks(spark, n, block, draw)
