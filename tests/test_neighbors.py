@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 
@@ -201,3 +203,57 @@ def test_points_meet_whole_blocks_where_boxes_leave_nothing_out():
     away = neighbors._pivot_distances(points, targets)
     assert kept == {(int(p), int(t)): away[p, t] for p, t in np.argwhere(away <= bounds[:, None])}
     assert not list(neighbors._in_block(points, bounds, np.arange(0), targets, 3))
+
+
+def test_a_block_is_made_ready_once_for_all_its_points(monkeypatch):
+    """Targets are centered and rounded once a block, not once for every tile of points that meets it."""
+    rng = np.random.default_rng(11)
+    targets, points = rng.normal(size=(500, 16)), rng.normal(size=(5 * neighbors.TILE, 16))
+    made = []
+    ready = neighbors.Ready
+    monkeypatch.setattr(neighbors, "Ready", lambda some: made.append(len(some)) or ready(some))
+    found = list(neighbors._in_block(points, np.full(len(points), 3.0), np.arange(len(points)), targets, 4))
+    away = neighbors._pivot_distances(points, targets)
+    pairs = {(int(p), int(t)) for q, v, _ in found for p, t in zip(q, v)}
+    assert pairs == set(map(tuple, np.argwhere(away <= 3.0).tolist())) and len(found) == 5 and made == [500]
+
+
+@pytest.mark.parametrize("pairs", [1, 2, 300])
+def test_pairs_are_measured_as_pivots_are(monkeypatch, pairs):
+    """To the last bit, and a bounded run of pairs at a time."""
+    monkeypatch.setattr(neighbors, "MEASURED", 64 * 7)
+    rng = np.random.default_rng(12)
+    points, targets = rng.normal(size=(40, 64)), rng.normal(size=(50, 64))
+    point, target = rng.integers(0, 40, pairs), rng.integers(0, 50, pairs)
+    assert (neighbors._measured(points, targets, point, target) == neighbors._pivot_distances(points, targets)[point, target]).all()
+
+
+def test_small_tables_are_dealt_over_all_cores():
+    for asked, blocks in ((26, 40), (150, 270), (9, 9)):
+        group, run = neighbors._task_shape(asked, blocks, 12)
+        assert group == 1 or -(-asked // group) * -(-blocks // run) >= 48
+    assert neighbors._task_shape(1500, 2700, 12) == (neighbors.GROUP, neighbors.RUN)
+
+
+def test_a_table_searched_in_itself_is_assigned_once(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "BLOCK", 20)
+    points, sides = cloud(13, 90, 3, True)
+    made = []
+    assign = neighbors._assign
+    monkeypatch.setattr(neighbors, "_assign", lambda rows, pivots: made.append(1) or assign(rows, pivots))
+    d, order = brute(points, sides, 2)
+    got = neighbors.knn_pooled(pair_of(spark, points, sides), "id", 2).collect()
+    assert len(got) == 180 and all(r["neighbor"] == order[r["id"], r["rank"] - 1] for r in got) and len(made) == 1
+
+
+def test_equal_vectors_meet_however_they_are_written(spark):
+    """Keys by hash tell apart what equality tells apart, and nothing else: zeros, not-a-numbers and missing parts."""
+    nan = float("nan")
+    rows = [[0.0, 1.0], [-0.0, 1.0], [nan, 1.0], [-nan, 1.0], [None, 1.0], [1.0, None], [0.0, 1.0]]
+    pair = spark.createDataFrame([(i, "real", z) for i, z in enumerate(rows)], "id long, side string, z array<double>")
+    vectors = neighbors.distinct_vectors(pair, 5)
+    assert sorted([m["id"] for m in r["members"]] for r in vectors.collect()) == [[0, 1, 6], [2, 3], [4], [5]]
+    answers = vectors.select("z", "n_real")
+    assert {r["id"]: r["n_real"] for r in neighbors._to_rows(pair, answers).collect()} == {0: 3, 1: 3, 2: 2, 3: 2, 4: 1, 5: 1, 6: 3}
+    plan = vectors._jdf.queryExecution().sparkPlan().toString()
+    assert re.search(r"Window \[.*\], \[_h#\d+L, ", plan)

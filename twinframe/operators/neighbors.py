@@ -38,13 +38,19 @@ PROBE = 64
 GROUP = 8
 RUN = 16
 SALTS = 32
+#: Numbers of close pairs that are measured at a time.
+MEASURED = 1 << 20
+#: Tasks of the second search per core, where the table gives as many.
+SHARES = 4
+MAX_TASKS = 4096
 
 NEIGHBOUR = "struct<dist:double,neighbor:bigint,side:string>"
 FOUND = "query bigint, dist double, neighbor bigint, synth boolean"
 
 
-def _vector_key(z: Column) -> Column:
-    return F.xxhash64(z)
+def _keyed(rows: DataFrame) -> DataFrame:
+    """Add ``_h``, the hash of ``z``: with it first, sorts by vector compare numbers, and arrays only where they are equal."""
+    return rows.withColumn("_h", F.xxhash64("z"))
 
 
 def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
@@ -55,19 +61,19 @@ def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
     ``vec`` numbers the vectors; callers materialize the result, which fixes it.
     A row is told apart by side and id, since both sides may use the same ids.
     """
-    order = Window.partitionBy("z").orderBy("id", "side")
+    rows = _keyed(rows.select("z", "id", "side"))
+    order = Window.partitionBy("_h", "z").orderBy("id", "side")
     members = (
-        rows.select("z", "id", "side")
-        .withColumn("_place", F.row_number().over(order))
+        rows.withColumn("_place", F.row_number().over(order))
         .where(F.col("_place") <= keep)
-        .groupBy("z")
+        .groupBy("_h", "z")
         .agg(F.array_sort(F.collect_list(F.struct("id", "side"))).alias("members"))
     )
-    sizes = rows.groupBy("z").agg(
+    sizes = rows.groupBy("_h", "z").agg(
         F.count_if(F.col("side") == "real").alias("n_real"),
         F.count_if(F.col("side") == "synth").alias("n_synth"),
     )
-    return members.join(sizes, "z").select(
+    return members.join(sizes, ["_h", "z"]).select(
         F.monotonically_increasing_id().alias("vec"), "z", "n_real", "n_synth", "members"
     )
 
@@ -94,28 +100,43 @@ def _pivot_distances(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(total, out=total)
 
 
+class Ready:
+    """Targets of products: the sound ones around their center, in the kinds of numbers asked for so far."""
+
+    def __init__(self, targets: np.ndarray):
+        self.sound = np.flatnonzero(np.isfinite(targets).all(axis=1))
+        if len(self.sound):
+            self.center = targets[self.sound].mean(axis=0)
+            self.right = targets[self.sound] - self.center
+            self.reach = np.sqrt((self.right * self.right).sum(axis=1)).max()
+        self.factors: dict[type, np.ndarray] = {}
+
+    def factor(self, kind: type) -> np.ndarray:
+        if kind not in self.factors:
+            right = self.right.astype(kind)
+            self.factors[kind] = np.column_stack([right, np.ones(len(right), kind), (right * right).sum(axis=1)]).T
+        return self.factors[kind]
+
+
 def _close(
-    points: np.ndarray, targets: np.ndarray, bounds: np.ndarray, k: int
+    points: np.ndarray, targets: np.ndarray, bounds: np.ndarray, k: int, ready: Ready | None = None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(point, target, distance) of all pairs within the point's bound and its k-th distance here.
 
     A product in short numbers with room for its rounding leaves few pairs; only those
     are measured, in full numbers.  Vectors with a non-finite part are near to nothing.
     """
-    sound = np.flatnonzero(np.isfinite(targets).all(axis=1))
+    ready = ready or Ready(targets)
+    sound = ready.sound
     if not len(sound):
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-    center = targets[sound].mean(axis=0)
-    left, right = points - center, targets[sound] - center
-    far_left = np.sqrt((left * left).sum(axis=1))
-    reach = far_left + np.sqrt((right * right).sum(axis=1)).max()
+    left = points - ready.center
+    reach = np.sqrt((left * left).sum(axis=1)) + ready.reach
     kind = np.float32 if np.nanmax(reach, initial=0.0) < 1e15 else np.float64
     slack = (reach * reach) * (2 * (points.shape[1] + 8) * np.finfo(kind).eps)
-    left, right = left.astype(kind), right.astype(kind)
+    left = left.astype(kind)
     # one product gives |x|^2 - 2 xy + |y|^2
-    square = np.column_stack([-2 * left, (left * left).sum(axis=1), np.ones(len(left), kind)]) @ np.column_stack(
-        [right, np.ones(len(right), kind), (right * right).sum(axis=1)]
-    ).T
+    square = np.column_stack([-2 * left, (left * left).sum(axis=1), np.ones(len(left), kind)]) @ ready.factor(kind)
     limit = bounds * bounds * (1 + 1e-6) + slack
     if len(sound) > k and not np.isfinite(bounds).all():
         limit = np.fmin(limit, np.partition(square, k - 1, axis=1)[:, k - 1] + 2 * slack)
@@ -123,15 +144,24 @@ def _close(
         within = square <= np.nextafter(limit.astype(kind), kind(np.inf))[:, None]
     point, target = np.divmod(np.flatnonzero(within), len(sound))
     target = sound[target]
-    total = np.zeros(len(point))
-    for d in range(points.shape[1]):
-        gap = points[point, d] - targets[target, d]
-        total += gap * gap
-    dist = np.sqrt(total)
+    dist = _measured(points, targets, point, target)
     kept = (dist <= bounds[point]) & np.isfinite(dist)
     return point[kept], target[kept], dist[kept]
 
 
+def _measured(points: np.ndarray, targets: np.ndarray, point: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Distances of the numbered pairs, summed in the order of ``_pivot_distances``; a bounded run of pairs at a time."""
+    dist = np.zeros(len(point))
+    step = max(1, MEASURED // max(1, points.shape[1]))
+    for start in range(0, len(point) if points.shape[1] else 0, step):
+        run = slice(start, start + step)
+        gap = points[point[run]] - targets[target[run]]
+        np.multiply(gap, gap, out=gap)
+        # a running sum adds one by one; a plain sum would add by halves and round otherwise
+        dist[run] = np.sqrt(np.cumsum(gap, axis=1, out=gap)[:, -1])
+    return dist
+
+
 def _first_k(query, dist, ids, synth, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the ``k`` best of every query, in order, and their ranks."""
     order = np.lexsort((synth, ids, dist, query))
@@ -185,9 +215,10 @@ def _search(queries: DataFrame, pool: DataFrame, k: int, skip_self: bool) -> Dat
         queries, names = left["vec"].to_numpy(), right["vec"].to_numpy()
         bounds = left["bound"].to_numpy(float)
         found = []
+        ready = Ready(targets)
         for start in range(0, len(points), TILE):
             tile = slice(start, start + TILE)
-            query, vector, dist = _close(points[tile], targets, bounds[tile], k + skip_self)
+            query, vector, dist = _close(points[tile], targets, bounds[tile], k + skip_self, ready)
             if skip_self:
                 other = queries[tile][query] != names[vector]
                 query, vector, dist = query[other], vector[other], dist[other]
@@ -240,9 +271,13 @@ def nearest_vectors(queries: DataFrame, pool: DataFrame, k: int, skip_self: bool
     block = _block_size(pool, size)
     pivots = _choose_pivots(pool, -(-size // block))
     placed = _assign(pool.select("vec", "z", "members"), pivots)
-    asked = _assign(queries.select("vec", "z"), pivots)
     if len(pivots) > 1:
-        placed, asked = materialize(placed), materialize(asked)
+        placed = materialize(placed)
+    if queries is pool:
+        asked = placed.drop("members")
+    else:
+        asked = _assign(queries.select("vec", "z"), pivots)
+        asked = materialize(asked) if len(pivots) > 1 else asked
 
     # one row per pivot: how many blocks a cell has, and its distance range
     cells = {
@@ -343,9 +378,10 @@ def _in_block(points: np.ndarray, bounds: np.ndarray, asks: np.ndarray, targets:
     low, high = _boxes(targets)
     few = asks[::PROBE]
     if _near_tiles(points[few], bounds[few], low, high).mean() > 0.5:
+        ready = Ready(targets)
         for start in range(0, len(asks), TILE):
             some = asks[start : start + TILE]
-            point, target, dist = _close(points[some], targets, bounds[some], k)
+            point, target, dist = _close(points[some], targets, bounds[some], k, ready)
             yield some[point], target, dist
         return
     for start in range(0, len(asks), BLOCK):
@@ -366,8 +402,8 @@ class Cells:
     low: np.ndarray
     high: np.ndarray
 
-    def admitted(self, points: np.ndarray, home: np.ndarray, own: np.ndarray, bound: np.ndarray, which) -> np.ndarray:
-        """(point, cell): cells that the triangle inequality cannot exclude.
+    def least(self, points: np.ndarray, home: np.ndarray, own: np.ndarray, which) -> np.ndarray:
+        """(point, cell): no point of the cell is nearer than this, by the triangle inequality.
 
         A cell's points lie between ``low`` and ``high`` from its pivot and nearer to it
         than to any other pivot; both facts bound their distance to the query.
@@ -380,7 +416,7 @@ class Cells:
         plane = np.where(
             apart > 0, (away * away - (own * own)[:, None]) / (2 * np.where(apart > 0, apart, 1.0)), 0.0
         )
-        return np.maximum(gap, plane) <= bound[:, None]
+        return np.maximum(gap, plane)
 
 
 def _turns(pivots: np.ndarray, homes: dict[int, int], size: int) -> tuple[dict[int, int], dict[int, int]]:
@@ -411,13 +447,24 @@ def _nearby(points: np.ndarray) -> list[int]:
     return done
 
 
+def _task_shape(asked: int, blocks: int, cores: int) -> tuple[int, int]:
+    """Blocks' worth of queries per group and blocks per run: less of both while a small table leaves cores idle."""
+    group, run = GROUP, RUN
+    while group > 1 and -(-asked // group) * -(-blocks // run) < SHARES * cores:
+        group, run = group // 2, run // 2
+    return group, run
+
+
 def _search_far(bounded, placed, pivots, here, cells, parts, homes, block: int, k: int, skip_self: bool) -> DataFrame:
     """Best ``k`` members within ``bound`` per query and run of blocks, beyond the block searched first.
 
-    Queries travel in groups of ``GROUP`` blocks, the pool in packed blocks, one copy
-    per group that may find something there; ``RUN`` blocks meet a group in one task,
+    Queries travel in groups of up to ``GROUP`` blocks, the pool in packed blocks, one copy
+    per group that may find something there; up to ``RUN`` blocks meet a group in one task,
     which narrows the bounds from block to block.
     """
+    total = sum(parts.values())
+    cores = bounded.sparkSession.sparkContext.defaultParallelism
+    group_blocks, run_blocks = _task_shape(-(-sum(homes.values()) // block), total, cores)
     map_ = Cells(
         pivots, np.array(here), np.array([cells[c]["low"] for c in here]), np.array([cells[c]["high"] for c in here])
     )
@@ -454,14 +501,16 @@ def _search_far(bounded, placed, pivots, here, cells, parts, homes, block: int,
         met = np.zeros(len(map_.here), bool)
         for start in range(0, len(z), TILE):
             tile = slice(start, start + TILE)
-            met |= map_.admitted(z[tile], home[tile], own[tile], reach[tile], slice(None)).any(axis=0)
+            met |= (map_.least(z[tile], home[tile], own[tile], slice(None)) <= reach[tile, None]).any(axis=0)
+            if met.all():
+                break
         return pd.DataFrame([{
             "group": int(rows["group"].iloc[0]), "z": z.astype("<f8").tobytes(), "vec": rows["vec"].to_numpy("<i8").tobytes(),
             "bound": reach.tobytes(), "home": home.tobytes(), "own": own.tobytes(),
             "searched": rows["block"].to_numpy("<i4").tobytes(), "cells": map_.here[met].tolist(),
         }])
 
-    first, count = _turns(pivots, homes, GROUP * block)
+    first, count = _turns(pivots, homes, group_blocks * block)
     group = _number_map(first)[F.col("cell")] + F.pmod(
         F.xxhash64("vec", F.lit("group")), _number_map(count)[F.col("cell")]
     )
@@ -477,7 +526,7 @@ def _search_far(bounded, placed, pivots, here, cells, parts, homes, block: int,
     visits = (
         asked.select("group", F.explode("cells").alias("cell"))
         .withColumn("block", F.explode(F.sequence(F.lit(0), (_number_map(parts)[F.col("cell")] - 1).cast("int"))))
-        .withColumn("run", F.floor((_number_map(firsts)[F.col("cell")] + F.col("block")) / RUN).cast("int"))
+        .withColumn("run", F.floor((_number_map(firsts)[F.col("cell")] + F.col("block")) / run_blocks).cast("int"))
     )
 
     def best(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -492,12 +541,15 @@ def _search_far(bounded, placed, pivots, here, cells, parts, homes, block: int,
         searched = np.frombuffer(asked["searched"], "<i4")
         held = [np.zeros(0, int), np.zeros(0), np.zeros(0, "<i8"), np.zeros(0, bool)]
         pending, waiting = [held], 0
+        # bounds fall from block to block, the distances to cells stay
+        cells_here = np.unique(right["cell"])
+        least = map_.least(points, home, own, [index[c] for c in cells_here])
         for row in right.sort_values(["cell", "block"]).itertuples():
             vecs, lengths = np.frombuffer(row.vec, "<i8"), np.frombuffer(row.lengths, "<i8")
             ids, synth = np.frombuffer(row.ids, "<i8"), np.frombuffer(row.synths, "u1").astype(bool)
             targets, starts = np.frombuffer(row.z, "<f8").reshape(len(vecs), -1), np.cumsum(lengths) - lengths
             seen = (home == row.cell) & (searched == row.block)
-            asks = np.flatnonzero(map_.admitted(points, home, own, bound, [index[row.cell]])[:, 0] & ~seen)
+            asks = np.flatnonzero((least[:, np.searchsorted(cells_here, row.cell)] <= bound) & ~seen)
             for query, vector, dist in _in_block(points, bound, asks, targets, k + skip_self):
                 if skip_self:
                     other = names[query] != vecs[vector]
@@ -517,6 +569,9 @@ def _search_far(bounded, placed, pivots, here, cells, parts, homes, block: int,
     left = left.toDF(*left.columns)
     right = blocks.join(visits.toDF(*visits.columns), ["cell", "block"])
     right = right.toDF(*right.columns)
+    # a number of its own keeps what is small in bytes, but long to compare, from being put together
+    tasks = max(first[c] + count[c] for c in first) * -(-total // run_blocks)
+    left, right = (side.repartition(min(tasks, MAX_TASKS), "group", "run") for side in (left, right))
     return left.groupBy("group", "run").cogroup(right.groupBy("group", "run")).applyInPandas(best, FOUND)
 
 
@@ -535,9 +590,10 @@ def _to_rows(rows: DataFrame, answers: DataFrame) -> DataFrame:
     ``answers`` has (z, ...), one row per vector.  It is copied only to the salts
     that a vector's rows really use.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("id", F.lit("salt")), F.lit(SALTS)))
-    used = salted.select("z", "_salt").distinct()
-    return salted.join(answers.join(used, "z"), ["z", "_salt"]).drop("_salt")
+    salted = _keyed(rows).withColumn("_salt", F.pmod(F.xxhash64("id", F.lit("salt")), F.lit(SALTS)))
+    used = salted.select("_h", "z", "_salt").distinct()
+    copied = _keyed(answers).join(used, ["_h", "z"])
+    return salted.join(copied, ["_h", "z", "_salt"]).drop("_h", "_salt")
 
 
 def _rows(table: DataFrame, id: str, vector: str) -> DataFrame:
