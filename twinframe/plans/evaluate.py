@@ -1,8 +1,9 @@
 """Score a synthetic table: fidelity, detection, utility; and compare methods.
 
 Results are long ``(method, family, metric, column, mean, std)`` rows.  Trees are
-Spark ML's forests: all trees grow level by level in the same few passes, where as
-many boosted trees would read the rows once per tree and level.
+forests: all trees grow level by level in the same few passes, where as many boosted
+trees would read the rows once per tree and level.  Small tables take Spark ML's,
+which keeps counts and nodes per row and tree; larger ones those of ``forests``.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
+from twinframe.operators import forests
 from twinframe.operators.features import level_dictionary, with_codes
 from twinframe.operators.fidelity import fidelity_summary
 from twinframe.operators.sampling import (
@@ -45,6 +47,10 @@ TASK_ROWS = 2000
 TASKS = 40
 TASK_SHARE = 400
 
+#: Training rows up to which a forest is Spark ML's, and features above which it is at any size.
+FOREST_ROWS = TASKS * TASK_ROWS
+FOREST_WIDTH = 256
+
 
 @dataclass(frozen=True)
 class FeatureModel:
@@ -130,7 +136,17 @@ def _tasks(n: int) -> int:
     return min(-(-n // TASK_ROWS), few)
 
 
-def _predicted(model: Model, rows: DataFrame) -> DataFrame:
+def _forest(rows: DataFrame, continuous: int, classes: bool, trees: int, seed: int) -> Model | forests.Forest:
+    """A forest of dealt training rows (y, features), of which the first ``continuous`` are numbers."""
+    size = F.size(vector_to_array("features"))
+    n, width, top = rows.agg(F.count(F.lit(1)), F.max(size), F.max("y")).first()
+    if n > FOREST_ROWS and width <= FOREST_WIDTH:
+        return forests.grow(rows, continuous, max(2, int(top) + 1) if classes else 0, trees, DEPTH, seed)
+    kind = RandomForestClassifier if classes else RandomForestRegressor
+    return kind(labelCol="y", numTrees=trees, maxDepth=DEPTH, seed=seed, cacheNodeIds=True).fit(rows)
+
+
+def _predicted(model: Model | forests.Forest, rows: DataFrame) -> DataFrame:
     """Tested rows with their prediction; every one walks all trees, so they are dealt as training rows are."""
     return model.transform(_spread(rows)).select("y", F.col("prediction").alias("yhat"))
 
@@ -172,9 +188,7 @@ def run_detection(
     scores = []
     for s in seeds:
         split = _spread(features.transform(split_stratified(rows, ids, "side", s), ["y", "split"]))
-        model = RandomForestClassifier(
-            labelCol="y", numTrees=trees, maxDepth=DEPTH, seed=s, cacheNodeIds=True
-        ).fit(split.where("split = 'train'"))
+        model = _forest(split.where("split = 'train'"), len(numeric), True, trees, s)
         tested = materialize(
             model.transform(split.where("split = 'test'")).select(
                 "y", F.col("prediction").alias("yhat"),
@@ -203,9 +217,7 @@ def score_classification(
     encode = lambda rows: labels.transform(
         features.transform(_target(rows, target), ["_target"])
     )
-    model = RandomForestClassifier(
-        labelCol="y", numTrees=trees, maxDepth=DEPTH, seed=seed, cacheNodeIds=True
-    ).fit(_spread(encode(train)))
+    model = _forest(_spread(encode(train)), len(numeric), True, trees, seed)
     tested = _predicted(model, encode(test))
     return long_scores(classification_metrics(tested), ["accuracy", "macro_f1"], [])
 
@@ -223,9 +235,7 @@ def score_regression(
     features = fit_features(train.unionByName(test), numeric, categorical)
     value = F.col(f"`{target}`").cast("double")
     encode = lambda rows: features.transform(rows.withColumn("y", value), ["y"])
-    model = RandomForestRegressor(
-        labelCol="y", numTrees=trees, maxDepth=DEPTH, seed=seed, cacheNodeIds=True
-    ).fit(_spread(encode(train)))
+    model = _forest(_spread(encode(train)), len(numeric), False, trees, seed)
     tested = _predicted(model, encode(test))
     return long_scores(regression_metrics(tested), ["rmse", "r2"], [])
 
