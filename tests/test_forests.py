@@ -63,8 +63,9 @@ def test_votes_are_the_leaf_shares_of_all_trees(spark):
 
 
 @pytest.mark.parametrize("classes", [0, 3])
-def test_a_tree_is_that_of_all_copies_of_its_rows(spark, classes):
+def test_a_tree_is_that_of_all_copies_of_its_rows(spark, monkeypatch, classes):
     """Every node of a tree grown over many blocks and tasks, against one search over all its rows."""
+    monkeypatch.setattr(forests, "_merge", lambda *tree: None)
     rows = table(spark, 1500).withColumn("y", F.col("label" if classes else "value"))
     forest = forests.grow(rows, 2, classes, 2, 3, 5)
     x = rows.select(F.col("y"), forests.vector_to_array("features").alias("x"))
@@ -126,6 +127,25 @@ def test_one_class_or_value_makes_leaves_only(spark):
         assert {r["prediction"] for r in forest.transform(rows).collect()} == {1.0}
 
 
+def test_sibling_leaves_of_one_class_are_merged():
+    ends = np.array([[4, 5, 6]], np.uint8)
+    features = np.array([[0, 1, 2]])
+    found = np.zeros((1, 7, 2))
+    found[0] = [[9, 6], [8, 1], [1, 5], [3, 1], [5, 0], [1, 2], [0, 3]]
+    forests._merge(features, ends, found)
+    assert ends.tolist() == [[4, forests.BINS, forests.BINS]] and features.tolist() == [[0, 0, 0]]
+    found[0, 2] = [4, 2]
+    forests._merge(features, ends, found)
+    assert ends.tolist() == [[forests.BINS] * 3]
+
+
+def test_unknown_values_are_refused(spark):
+    rows = table(spark, 300)
+    for missing in (None, float("nan")):
+        with pytest.raises(ValueError):
+            forests.grow(rows.withColumn("y", F.when(F.col("b") > 0, F.col("value")).otherwise(F.lit(missing).cast("double"))), 2, 0, 2, 2, 1)
+
+
 def test_wide_rows_stay_with_spark_ml(spark, monkeypatch):
     monkeypatch.setattr(evaluate, "FOREST_ROWS", 0)
     monkeypatch.setattr(evaluate, "FOREST_WIDTH", 3)

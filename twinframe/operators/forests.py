@@ -2,7 +2,7 @@
 
 The same forest: rows binned at up to 32 quantiles, Poisson(1) copies of a row in each
 tree, a fresh choice of features at each node, Gini or variance gain, votes by the
-classes of a leaf or the mean of its values.  Binned rows are packed into blocks; a
+classes of a leaf or the mean of its values, sibling leaves of one class merged.  Binned rows are packed into blocks; a
 level is one pass, in which a task adds up a share of the blocks for some of the trees,
 and the sums of a tree meet in one group.  Copies come from a stream per (tree, block),
 so nothing is kept per row and tree between levels.
@@ -39,9 +39,13 @@ _BOUNDS = np.array(
 )
 
 
+def _stream(seed: int, tree: int, purpose: int, place: int) -> np.random.Philox:
+    return np.random.Philox(key=np.array([seed % 2**64, tree], np.uint64), counter=[0, 0, purpose, place])
+
+
 def _copies(seed: int, tree: int, block: int, n: int) -> np.ndarray:
     """How often each row of a block is in a tree: Poisson(1)."""
-    raw = np.random.Philox(key=[seed, tree], counter=[0, 0, 0, block]).random_raw(-(-n // 2))
+    raw = _stream(seed, tree, 0, block).random_raw(-(-n // 2))
     uniform = raw.view(np.uint32)[:n]
     found = np.zeros(n, np.uint8)
     for bound in _BOUNDS[:5]:
@@ -53,7 +57,7 @@ def _copies(seed: int, tree: int, block: int, n: int) -> np.ndarray:
 
 def _chosen(seed: int, tree: int, level: int, width: int, m: int) -> np.ndarray:
     """(nodes, m): the features that each node of a level may split on."""
-    random = np.random.Generator(np.random.Philox(key=[seed, tree], counter=[0, 0, 1, level]))
+    random = np.random.Generator(_stream(seed, tree, 1, level))
     return np.argsort(random.random((1 << level, width)), axis=1, kind="stable")[:, :m]
 
 
@@ -236,6 +240,17 @@ def _best(sums: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.where(place[each, best] < 0, -1, j), end, left[j, each, end], right[j, each, end], whole[0, :, 0]
 
 
+def _merge(features: np.ndarray, ends: np.ndarray, found: np.ndarray) -> None:
+    """Make a leaf of every node whose children are leaves of the same class, from the bottom up."""
+    inner, best = features.shape[1], found.argmax(axis=2)
+    leaf = np.ones(best.shape, bool)
+    leaf[:, :inner] = ends == BINS
+    for node in reversed(range(inner)):
+        left, right = 2 * node + 1, 2 * node + 2
+        same = ~leaf[:, node] & leaf[:, left] & leaf[:, right] & (best[:, left] == best[:, right])
+        leaf[same, node], ends[same, node], features[same, node] = True, BINS, 0
+
+
 def grow(
     rows: DataFrame, continuous: int, classes: int, trees: int, depth: int, seed: int
 ) -> Forest:
@@ -244,7 +259,10 @@ def grow(
     The first ``continuous`` features are numbers, the others 0 or 1.
     """
     rows = rows.select(F.col("y").cast("double").alias("y"), vector_to_array("features").alias("x"))
-    n, width, center = rows.agg(F.count(F.lit(1)), F.max(F.size("x")), F.avg("y")).first()
+    known = F.col("y").isNotNull() & ~F.isnan("y")
+    n, width, center, unknown = rows.agg(F.count(F.lit(1)), F.max(F.size("x")), F.avg("y"), F.count_if(~known)).first()
+    if unknown:
+        raise ValueError(f"{unknown} rows have no value to learn")
     cuts = _cuts(rows, width, continuous)
     shares = max(1, ceil(n / SHARE_ROWS))
     blocks = _blocks(rows, cuts, shares)
@@ -263,7 +281,8 @@ def grow(
         state |= {"features": features, "ends": ends, "open": is_open}
 
         def split(frame: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(s) for s in frame["sums"])
+            # in an order of their own, so that rounding does not follow the shuffle
+            total = sum(np.frombuffer(s) for s in sorted(frame["sums"]))
             shape = (m, nodes, BINS, stats) if classes else (m, stats, nodes, BINS)
             total = total.reshape(shape)
             j, end, *sides = _best(total if classes else np.moveaxis(total, 1, 3), classes)
@@ -287,10 +306,13 @@ def grow(
                 found[t, after + side : after + 2 * nodes : 2][cut] = part[cut]
                 mixed = (part > 0).sum(axis=1) > 1 if classes else part[:, 0] > 1
                 following[t, side::2] = cut & mixed
-        # rows of a leaf go left, level by level
-        uncut = ends[:, first:after] == BINS
-        found[:, after : after + 2 * nodes : 2][uncut] = found[:, first:after][uncut]
         is_open = following
+    if classes:
+        _merge(features, ends, found)
+    # rows of a leaf go left, level by level
+    for node in range(inner):
+        uncut = ends[:, node] == BINS
+        found[uncut, 2 * node + 1] = found[uncut, node]
     leaves = found[:, inner:]
     if classes:
         leaves = leaves / np.maximum(leaves.sum(axis=2, keepdims=True), 1.0)

@@ -47,9 +47,10 @@ TASK_ROWS = 2000
 TASKS = 40
 TASK_SHARE = 400
 
-#: Training rows up to which a forest is Spark ML's, and features above which it is at any size.
+#: Training rows up to which a forest is Spark ML's, and features and classes above which it is at any size.
 FOREST_ROWS = TASKS * TASK_ROWS
 FOREST_WIDTH = 256
+FOREST_CLASSES = 64
 
 
 @dataclass(frozen=True)
@@ -140,8 +141,9 @@ def _forest(rows: DataFrame, continuous: int, classes: bool, trees: int, seed: i
     """A forest of dealt training rows (y, features), of which the first ``continuous`` are numbers."""
     size = F.size(vector_to_array("features"))
     n, width, top = rows.agg(F.count(F.lit(1)), F.max(size), F.max("y")).first()
-    if n > FOREST_ROWS and width <= FOREST_WIDTH:
-        return forests.grow(rows, continuous, max(2, int(top) + 1) if classes else 0, trees, DEPTH, seed)
+    levels = max(2, int(top) + 1) if classes and n else 0
+    if n > FOREST_ROWS and width <= FOREST_WIDTH and levels <= FOREST_CLASSES:
+        return forests.grow(rows, continuous, levels, trees, DEPTH, seed)
     kind = RandomForestClassifier if classes else RandomForestRegressor
     return kind(labelCol="y", numTrees=trees, maxDepth=DEPTH, seed=seed, cacheNodeIds=True).fit(rows)
 
